@@ -104,6 +104,6 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
                CAST(sum(CASE WHEN conflict THEN escaped ELSE length(text) END
-                   + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
+                   + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
 }
