@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, substring_dedup, url_filter
+from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, minhash, substring_dedup, url_filter
 from geolith.llm.common import read_table, shared_dir
 
 URL_RULES = [
@@ -49,6 +49,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
