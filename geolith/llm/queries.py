@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, minhash, substring_dedup, url_filter
+from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, minhash, quality, substring_dedup, url_filter
 from geolith.llm.common import read_table, shared_dir
 
 URL_RULES = [
@@ -33,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES_SCHEMA)
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_token_output": op3_token_output,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
