@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, minhash, quality, substring_dedup, url_filter
+from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, line_dedup, minhash, quality, substring_dedup, url_filter
 from geolith.llm.common import read_table, shared_dir
 
 URL_RULES = [
@@ -23,6 +23,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "tokens")
     dac.write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
@@ -64,6 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_output": op3_token_output,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
@@ -75,6 +80,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, lines[i] AS line, trim(lines[i], ' ') <> '' AS is_full
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(i)),
+        n AS (SELECT *, CAST(sum(CASE WHEN is_full THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS k FROM l),
+        run AS (
+            SELECT doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS two FROM n WHERE is_full),
+        copies AS (
+            SELECT doc_id, k FROM (
+                SELECT doc_id, k, row_number() OVER (PARTITION BY two ORDER BY doc_id, k) AS occurrence FROM run WHERE two IS NOT NULL)
+            WHERE occurrence > 1),
+        gone AS (SELECT doc_id, k FROM copies UNION SELECT doc_id, k + 1 FROM copies)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN (
+            SELECT n.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed,
+                   string_agg(CASE WHEN gone.k IS NULL THEN line END, chr(10) ORDER BY i) AS kept
+            FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.k = gone.k GROUP BY n.doc_id) r ON d.doc_id = r.doc_id""",
     "op4_decontamination": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,
