@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,27 +108,52 @@ SCAN_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, max_block_chars: int = MAX_BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(id_and_text(benchmark, item_col, item_text_col), max_block_chars)]
+    judge = _judge(docs, benchmark, window, share, max_block_chars, item_col, item_text_col)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Windows(b.value, window) for b in blocks] if len(blocks) == 1 else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, judged in judge(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *judged], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCAN_SCHEMA)
+
+
+def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, max_block_chars: int = MAX_BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows that are not contaminated, with all their columns; each is judged where it stands."""
+    judge = _judge(docs, benchmark, window, share, max_block_chars, item_col, item_text_col)
+    n, names = len(docs.columns), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, judged in judge(batches, n):
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pc.invert(judged[-1]))
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_normal_text")
+    return docs.select("*", text).mapInArrow(run, docs.schema)
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, window: int, share: int, max_block_chars: int, item_col: str, item_text_col: str):
+    """A function of batches and the place of their text column: each batch with the columns of SCAN_SCHEMA behind doc_id."""
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in _blocks(id_and_text(benchmark, item_col, item_text_col), max_block_chars)]
+
+    def judge(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        alone = Windows(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            words = [words_of(t) for t in batch.column(at).to_pylist()]
             ranges: list[list] = [[] for _ in words]
             items: list[list] = [[] for _ in words]
-            for k in range(len(blocks)):
-                automaton = automata[k] if automata else Windows(blocks[k].value, window)
+            for block in blocks:
+                automaton = alone or Windows(block.value, window)
                 for n, w in enumerate(words):
                     r, i = automaton.scan(w)
                     ranges[n] += r
                     items[n] += [automaton.items[x] for x in i]
             hits = [sum(b - a for a, b in _united(r)) for r in ranges]
             digests = [hashlib.sha256(",".join(sorted(str(x) for x in i if x is not None)).encode()).hexdigest() for i in items]
-            cols = [pa.array([len(w) for w in words], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 and share * h >= len(w) for h, w in zip(hits, words, strict=True)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            contaminated = [h > 0 and share * h >= len(w) for h, w in zip(hits, words, strict=True)]
+            counts = [pa.array(c, pa.int64()) for c in ([len(w) for w in words], hits, [len(i) for i in items])]
+            yield batch, [*counts, pa.array(digests, pa.string()), pa.array(contaminated, pa.bool_())]
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(judge, SCAN_SCHEMA)
+    return judge
 
 
 def _blocks(items: DataFrame, max_chars: int) -> Iterator[list[tuple[int | None, str]]]:

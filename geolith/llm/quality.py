@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.llm.common import Remembered
@@ -190,12 +190,14 @@ SCORE_SCHEMA = "doc_id long, p_quality double, p_toxic double, score double, kep
 _VIEW_SCHEMA = "id long, quality double, toxic double, content array<long>, metadata array<long>"
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def column(name: str, kind: str):
-        return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind).alias(name)
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """id, text, source, lang and n_chars under names of their own."""
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text, column("source", "string"), column("lang", "string"), column("n_chars", "long"))
+    def column(name: str, kind: str) -> Column:
+        return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind).alias(f"_view_{name}")
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_view_text")
+    return [F.col(f"`{id_col}`").cast("long").alias("_view_id"), text, column("source", "string"), column("lang", "string"), column("n_chars", "long")]
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +213,15 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, CoTrained]:
-    inputs = _inputs(docs, id_col, text_col)
+    inputs = docs.select(*_inputs(docs, id_col, text_col))
     known = labels.select(F.col(id_col).cast("long").alias("pick"), F.col("quality").cast("double"), F.col("toxic").cast("double"))
     known = known.where("pick IS NOT NULL").groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    order = F.xxhash64("pick")
-    first = known.orderBy(order, "pick").limit(max_labelled)
-    others = inputs.select(F.col("id").alias("pick")).where("id IS NOT NULL").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_unlabelled)
+    first = known.orderBy(F.xxhash64("pick"), "pick").limit(max_labelled)
+    others = inputs.select(F.col("_view_id").alias("pick")).where("pick IS NOT NULL").orderBy(F.xxhash64("pick", F.lit(1)), "pick").limit(max_unlabelled)
     none = F.lit(None).cast("double")
-    picked = first.withColumn("given", F.lit(True)).unionByName(others.select("pick", none.alias("quality"), none.alias("toxic"), F.lit(False).alias("given")))
+    picked = first.unionByName(others.select("pick", none.alias("quality"), none.alias("toxic")))
     picked = picked.groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = inputs.join(F.broadcast(picked), F.col("id") == F.col("pick")).drop("pick").mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
+    sample = inputs.join(F.broadcast(picked), F.col("_view_id") == F.col("pick")).drop("pick").mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
     rows = sample.toArrow().sort_by("id")
     y = {t: rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS}
     views = [[np.asarray(s, np.uint32) for s in rows.column(c).to_pylist()] for c in ("content", "metadata")]
@@ -232,26 +233,52 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return {t: CoTrained(labelled, y[t][spread][given], unlabelled, rounds) for t in TARGETS}
 
 
-def _scored(batches: Iterator[pa.RecordBatch], models: dict[str, CoTrained], min_quality: float, max_toxic: float) -> Iterator[pa.RecordBatch]:
-    tables = [[dict(zip(v.names.tolist(), v.weights.tolist(), strict=True)) for v in models[t].views] for t in TARGETS]
-    # the weights of a token for both targets, by view
-    weights = [Remembered(lambda token, k=k: tuple(tables[t][k].get(_hash(token), 0.0) for t in (0, 1)), 200_000) for k in (0, 1)]
-    for batch in batches:
-        out = []
-        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            distinct, shape = content_tokens(t)
-            raws = []
-            for k, tokens in enumerate(([*distinct, *shape], metadata_tokens(t, *m))):
-                q, x = zip(*map(weights[k].__getitem__, tokens), strict=True)
-                raws.append((models["quality"].views[k].bias + math.fsum(q), models["toxic"].views[k].bias + math.fsum(x)))
-            quality = models["quality"].combined([r[0] for r in raws]) if models["quality"].seen else 1.0
-            toxic = models["toxic"].combined([r[1] for r in raws]) if models["toxic"].seen else 0.0
-            out.append((quality, toxic, quality * (1 - toxic), quality >= min_quality and toxic <= max_toxic))
-        cols = [pa.array([o[i] for o in out], pa.float64()) for i in range(3)] + [pa.array([o[3] for o in out], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "p_quality", "p_toxic", "score", "kept"])
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, p_quality, p_toxic, score, kept``."""
-    models = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled, max_unlabelled, rounds, id_col, text_col))
-    return _inputs(docs, id_col, text_col).mapInArrow(lambda batches: _scored(batches, models.value, min_quality, max_toxic), SCORE_SCHEMA)
+class Scorer:
+    """Scores texts with the trained models; a Python worker builds it once a task."""
+
+    def __init__(self, models: dict[str, CoTrained], min_quality: float, max_toxic: float):
+        self.models, self.min_quality, self.max_toxic = models, min_quality, max_toxic
+        tables = [[dict(zip(v.names.tolist(), v.weights.tolist(), strict=True)) for v in models[t].views] for t in TARGETS]
+        # the weights of a token for both targets, by view
+        self.weights = [Remembered(lambda token, k=k: tuple(tables[t][k].get(_hash(token), 0.0) for t in (0, 1)), 200_000) for k in (0, 1)]
+
+    def score(self, text: str, *metadata) -> tuple[float, float, float, bool]:
+        distinct, shape = content_tokens(text)
+        raws = []
+        for k, tokens in enumerate(([*distinct, *shape], metadata_tokens(text, *metadata))):
+            sums = map(math.fsum, zip(*map(self.weights[k].__getitem__, tokens), strict=True))
+            raws.append([self.models[t].views[k].bias + x for t, x in zip(TARGETS, sums, strict=True)])
+        q, x = (self.models[t].combined([r[i] for r in raws]) if self.models[t].seen else float(t == "quality") for i, t in enumerate(TARGETS))
+        return q, x, q * (1 - x), q >= self.min_quality and x <= self.max_toxic
+
+
+def _trained(docs: DataFrame, labels: DataFrame, **options):
+    return docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: ``doc_id, p_quality, p_toxic, score, kept``. ``options`` are those of ``train``."""
+    models = _trained(docs, labels, id_col=id_col, text_col=text_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(models.value, min_quality, max_toxic)
+        for batch in batches:
+            out = [scorer.score(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)]
+            cols = [pa.array([o[i] for o in out], pa.float64()) for i in range(3)] + [pa.array([o[3] for o in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "p_quality", "p_toxic", "score", "kept"])
+
+    return docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(run, SCORE_SCHEMA)
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that are kept, with all their columns; each is judged where it stands, without a shuffle."""
+    models = _trained(docs, labels, id_col=id_col, text_col=text_col, **options)
+    n, names = len(docs.columns), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(models.value, min_quality, max_toxic)
+        for batch in batches:
+            kept = [scorer.score(*x)[3] for x in zip(*(batch.column(n + i).to_pylist() for i in range(1, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pa.array(kept, pa.bool_()))
+
+    return docs.select("*", *_inputs(docs, id_col, text_col)).mapInArrow(run, docs.schema)
