@@ -275,31 +275,53 @@ def _match(window: int, block_words: int):
     return run
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc, runs``: matching windows as packed pairs of start and number of windows in a row."""
-    if (cols := _gathered(batches, 5)) is None:
-        return
-    full, more, docs, starts, run = cols
-    order = np.lexsort((starts, docs, more, full))
-    order = order[run[order] == 0]
-    same = (full[order][1:] == full[order][:-1]) & (more[order][1:] == more[order][:-1])
-    copy = order[1:][same]
-    known = np.flatnonzero(run > 0)
-    at = np.concatenate([copy, known])
-    at = at[np.lexsort((starts[at], docs[at]))]
-    if not len(at):
+def _dealt(docs: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each document, the same in every task."""
+    return (_mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _matches(parts: int):
+    """``part, found``: matching windows as packed (document, start, number of windows in a row), one row for each part of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (cols := _gathered(batches, 5)) is None:
+            return
+        full, more, docs, starts, run = cols
+        order = np.lexsort((starts, docs, more, full))
+        order = order[run[order] == 0]
+        same = (full[order][1:] == full[order][:-1]) & (more[order][1:] == more[order][:-1])
+        at = np.concatenate([order[1:][same], np.flatnonzero(run > 0)])
+        if not len(at):
+            return
+        part = _dealt(docs[at], parts)
+        at = at[np.lexsort((starts[at], docs[at], part))]
+        part = np.sort(part)
+        found = np.stack([docs[at], starts[at], np.maximum(run[at], 1)], 1).astype("<i8")
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        packed = [p.tobytes() for p in np.split(found, heads[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(packed, pa.binary())], names=["part", "found"])
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, runs``: all matches of each document of the parts that this task got, one row a document."""
+    found = [np.frombuffer(x, "<i8").reshape(-1, 3) for b in batches for x in b.column(1).to_pylist()]
+    if not found:
         return
-    pairs = np.stack([starts[at], np.maximum(run[at], 1)], 1).astype("<i8")
-    heads = np.flatnonzero(np.concatenate([[True], docs[at][1:] != docs[at][:-1]]))
-    packed = [p.tobytes() for p in np.split(pairs, heads[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array(docs[at][heads]), pa.array(packed, pa.binary())], names=["doc", "runs"])
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    docs = rows[:, 0]
+    heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    packed = [p.tobytes() for p in np.split(np.ascontiguousarray(rows[:, 1:]), heads[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.array(packed, pa.binary())], names=["doc", "runs"])
 
 
-def _factors_of(n: int, offset: int, window: int, runs: list[bytes]) -> list[tuple[int, int]]:
+def _factors_of(n: int, offset: int, window: int, runs: bytes | None) -> list[tuple[int, int]]:
     """Greedy factors [start, end) in words of a row that starts at ``offset`` of its document."""
     if not runs or n < window:
         return []
-    pairs = np.frombuffer(b"".join(runs), "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(runs, "<i8").reshape(-1, 2)
     pairs = pairs[(pairs[:, 0] >= offset) & (pairs[:, 0] < offset + n)]
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, pairs[:, 0] - offset, 1)
@@ -369,8 +391,8 @@ def _parse(docs: DataFrame, finish, schema: str, window: int, block_words: int,
     known = met(anchors, F.when(F.col("kind") == _KNOWN, F.col("doc")).otherwise(F.col("value"))).mapInArrow(_repeated_anchors, "doc long, value long")
     known = known.groupBy("doc").agg(F.collect_list("value").alias("values"))
     windows = texts.join(known, F.col("id") == F.col("doc"), "left").select("id", "text", "values").mapInArrow(_match(window, block_words), WINDOW_SCHEMA)
-    runs = met(windows, F.when(F.col("run") > 0, F.col("doc")).otherwise(F.col("hash"))).mapInArrow(_matches, "doc long, runs binary")
-    runs = runs.groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    runs = met(windows, F.when(F.col("run") > 0, F.col("doc")).otherwise(F.col("hash"))).mapInArrow(_matches(parts), "part int, found binary")
+    runs = met(runs, F.col("part")).mapInArrow(_by_document, "doc long, runs binary")
     return texts.join(runs, F.col("id") == F.col("doc"), "left").select("id", "text", "runs").mapInArrow(_parsed(window, finish, schema), schema)
 
 
