@@ -1,4 +1,7 @@
-"""The event model as views over the test tables, in text that Spark and DuckDB read alike but for ``{shift}``."""
+"""The event model as views over the test tables, in text that Spark and DuckDB read alike but for ``{shift}``.
+
+Distances are divided by a prime, so that averages rounded to four digits are no exact ties.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ _EVENTS = """
            case when event_type = 'error' then 4 when event_type = 'purchase' then 3 when event_type = 'signup' then 1 else 2 end as severity,
            {shift} as start_time,
            concat('City', cast(user_id % 40 as varchar(20))) as city,
-           value / 100e0 as distance_mi,
+           value / 997e0 as distance_mi,
            case when user_id % 11 = 0 then null else concat('S', cast(user_id % 7 as varchar(20))) end as state,
            case event_id % 5 when 0 then 'Light Rain' when 1 then 'Clear' when 2 then 'Heavy rain' when 3 then null else 'Fog' end as weather
     from events"""
