@@ -15,9 +15,10 @@ documents it does not fill get a later bound.
 1. Bands of ``ROWS`` components make buckets. Every member of a bucket is paired with its smallest id
    only, pairs far below the threshold by their signatures go, the rest is verified exactly
    (sum of minima over sum of maxima of the shingle counts), and the components of the links are found.
-2. Buckets that still hold several components are read again: all pairs of different components with
-   near enough signatures are verified too, large buckets in blocks. So a link between two texts that
-   share a bucket is either found or joins documents that are in one class already.
+2. Buckets that still hold several components are read again, large ones in blocks: every document outside
+   the largest component is compared exactly with all others through the postings of its shingles, and
+   each link that joins two components is kept. So a link between two texts that share a bucket is either
+   found or joins documents that are in one class already, and no pairs within a class are listed.
 
 Classes are connected components of links of at least ``threshold``; the class id is the smallest
 doc_id. Two texts at the threshold miss each other in all bands with probability 5e-8.
@@ -144,17 +145,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(ids), BANDS))
         for r in range(ROWS):
             keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, r])
-        band = np.tile(np.arange(BANDS, dtype=np.int8), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), pa.array(np.repeat(ids, BANDS))], names=["key", "band", "id"])
-
-
-def _cut(threshold: float) -> int:
-    """Components that must agree."""
-    return int(SIZE * (threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "id"])
 
 
 def _near_enough(threshold: float):
-    least = _cut(threshold)
+    least = int(SIZE * (threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,47 +182,72 @@ def _verified(threshold: float):
     return run
 
 
-def _cross_pairs(threshold: float):
-    """Near enough pairs of different components in each (key, x, y) block. Rows in order of the block."""
-    least = _cut(threshold)
-
-    def pairs(band: int, cross: bool, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, sigs: np.ndarray) -> Iterator[np.ndarray]:
-        names, sizes = np.unique(comp, return_counts=True)
-        if len(names) < 2:
-            return
-        largest = comp == names[sizes.argmax()]
-        rest = np.flatnonzero(~largest)
-        rank = np.where(largest, -1, np.arange(len(ids)))
-        for i in rest:  # against the largest component and the rest before it
-            other = np.flatnonzero((rank < i) & (comp != comp[i]) & ((part != part[i]) if cross else True))
-            if not len(other):
-                continue
-            other = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
-            if len(other):
-                first = (sigs[other] == sigs[i]).reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                other = other[first == band]  # in the first band that the two share
-                yield np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])])
+class _Labels(dict):
+    """Component labels that are joined as links are found."""
+
+    def of(self, x: int) -> int:
+        while (y := self.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.of(x), self.of(y)
+        self[max(x, y)] = min(x, y)
+
+
+def _joining_links(ids: np.ndarray, comp: np.ndarray, part: np.ndarray, cross: bool, texts: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Links of at least the threshold that join the components of one block, each join once.
+
+    Every document outside the largest component meets all others at once: the postings of its
+    shingles give the exact overlap with each of them.
+    """
+    names, sizes = np.unique(comp, return_counts=True)
+    if len(names) < 2:
+        return []
+    owner, found, count = shingles(texts)
+    total = np.bincount(owner, weights=count, minlength=len(ids))
+    order = np.argsort(found, kind="stable")
+    values, who, many = found[order], owner[order], count[order]
+    bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
+    labels, links = _Labels(), []
+    for i in np.flatnonzero(comp != names[sizes.argmax()]).tolist():
+        mine = slice(bounds[i], bounds[i + 1])
+        lo, hi = np.searchsorted(values, found[mine]), np.searchsorted(values, found[mine], side="right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(who[at], weights=np.minimum(many[at], np.repeat(count[mine], n)), minlength=len(ids))
+        near = shared >= threshold * (total[i] + total - shared) - 1e-9
+        near &= (part != part[i]) if cross else True
+        for j in np.flatnonzero(near & (comp != comp[i])).tolist():
+            x, y = int(comp[i]), int(comp[j])
+            if labels.of(x) != labels.of(y):
+                labels.join(x, y)
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _block_links(threshold: float):
+    """Links between components in each (key, x, y) block. Rows in order of the block: key, x, y, part, id, comp, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list] = []
 
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate([h[i] for h in held]) for i in range(8)]
-            key, x, y = cols[0], cols[1], cols[2]
+            key, x, y, part, ids, comp = (np.concatenate([h[i] for h in held]) for i in range(6))
+            texts = [t for h in held for t in h[6]]
             heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             ends = np.concatenate([heads[1:], [len(key)]])
             done = len(heads) if last else len(heads) - 1
-            found = []
+            links = []
             for a, b in zip(heads[:done].tolist(), ends[:done].tolist(), strict=True):
-                found += pairs(int(cols[3][a]), bool(x[a] != y[a]), *(c[a:b] for c in cols[4:]))
-            held[:] = [] if last else [[c[heads[-1] :] for c in cols]]
-            if found:
-                p = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                links += _joining_links(ids[a:b], comp[a:b], part[a:b], bool(x[a] != y[a]), texts[a:b], threshold)
+            at = heads[-1]
+            held[:] = [] if last else [[*(c[at:] for c in (key, x, y, part, ids, comp)), texts[at:]]]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, SIZE)
-            held.append([batch.column(i).to_numpy() for i in range(7)] + [sigs])
+            held.append([batch.column(i).to_numpy() for i in range(6)] + [batch.column(6).to_pylist()])
             yield from groups(False)
         if held:
             yield from groups(True)
@@ -264,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     members = stored(sigs.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).select("id", "rep"), "members")
     reps = sigs.join(members.where("id = rep").select(F.col("id").alias("rep")), F.col("id") == F.col("rep"), "left_semi")
 
-    in_bands = reps.select("id", "sig").mapInArrow(_buckets, "key long, band byte, id long")
+    in_bands = reps.select("id", "sig").mapInArrow(_buckets, "key long, id long")
     shared = in_bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     bucketed = stored(in_bands.join(shared, "key"), "buckets")
     wanted = bucketed.select(F.col("id").alias("want")).distinct()
@@ -285,15 +305,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     links = stored(verified(stars), "links")
 
     first = components(links)
-    placed = stored(bucketed.join(first, F.col("id") == F.col("node"), "left").select("key", "band", "id", "n", F.coalesce("c", "id").alias("comp")), "placed")
+    placed = bucketed.where("n > 2").join(first, F.col("id") == F.col("node"), "left")
+    placed = stored(placed.select("key", "id", "n", F.coalesce("c", "id").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     again = placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     again = again.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    again = again.join(sig_of.select(F.col("id").alias("i"), "sig"), F.col("id") == F.col("i"))
-    again = again.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "band", "part", "id", "comp", "sig")
+    again = again.join(text_of.select(F.col("id").alias("i"), "text"), F.col("id") == F.col("i"))
+    again = again.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "comp", "text")
     again = again.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = verified(again.mapInArrow(_cross_pairs(threshold), "a long, b long"))
+    more = again.mapInArrow(_block_links(threshold), "a long, b long")
 
     classes = components(links.union(more))
     out = members.join(classes, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("c", "rep").alias("class"))
