@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from geolith.llm.common import shuffle_partitions, stored
+from geolith.llm.common import fresh_names, shuffle_partitions, stored
 
 MIN_LINES = 2
 _NO_ID = -(1 << 63)
@@ -109,7 +110,7 @@ def _deleted(lines: list[str], starts: list[int], min_lines: int) -> np.ndarray:
     return gone[np.cumsum(full)]  # a blank line goes with the line above it
 
 
-def _cut(batches: Iterator[pa.RecordBatch], at: int, min_lines: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], at: int, min_lines: int, n_lines: str, n_removed: str) -> Iterator[pa.RecordBatch]:
     """Replaces column ``at``, the text; the last column holds the starts and becomes the numbers of lines and of deleted lines."""
     for batch in batches:
         texts, counts, removed = [], [], []
@@ -125,24 +126,25 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, min_lines: int) -> Iterator
             counts.append(len(lines))
         cols = list(batch.columns[:-1])
         cols[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "_n_lines", "_n_removed"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], n_lines, n_removed])
 
 
 def _without_copies(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
-    """The table with new texts, and ``_n_lines`` and ``_n_removed``."""
-    later = later_copies(docs, min_lines, id_col, text_col)
-    later = later.select(F.col("id").alias("_later_id"), F.col("th").alias("_later_th"), F.col("starts").alias("_starts"))
+    """The table with new texts and two more columns at its end: the numbers of lines and of deleted lines."""
+    names = fresh_names(docs, "_later_id", "_later_th", "_starts", "_n_lines", "_n_removed")
+    later_id, later_th, starts, n_lines, n_removed = names
+    later = later_copies(docs, min_lines, id_col, text_col).toDF(later_id, later_th, starts)
     doc, th = _keys(docs, id_col, text_col)
-    joined = docs.join(later, (doc == F.col("_later_id")) & (th == F.col("_later_th")), "left").drop("_later_id", "_later_th")
+    joined = docs.join(later, (doc == F.col(later_id)) & (th == F.col(later_th)), "left").drop(later_id, later_th)
     at = docs.columns.index(text_col)
-    schema = joined.drop("_starts").schema.add("_n_lines", "long").add("_n_removed", "long")
-    schema[at].nullable = True
-    return joined.mapInArrow(lambda batches: _cut(batches, at, min_lines), schema)
+    schema = StructType([*docs.schema.fields, StructField(n_lines, LongType()), StructField(n_removed, LongType())])
+    return joined.mapInArrow(lambda batches: _cut(batches, at, min_lines, n_lines, n_removed), schema)
 
 
 def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns, without the later copies of repeated runs of at least ``min_lines`` lines."""
-    return _without_copies(docs, min_lines, id_col, text_col).drop("_n_lines", "_n_removed")
+    out = _without_copies(docs, min_lines, id_col, text_col)
+    return out.drop(*out.columns[-2:])
 
 
 def digest_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
