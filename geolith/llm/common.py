@@ -34,8 +34,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in one Arrow batch; JVM and Python hold a few batches for each task at once.
+TEXT_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in smaller batches than its default for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``id`` long and ``text`` string (null: empty), whatever else the table holds."""
+    text_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import id_and_text
+from geolith.llm.common import id_and_text, text_batches
 
 WINDOW = 13
 SHARE = 20
@@ -132,6 +132,7 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 def _judge(docs: DataFrame, benchmark: DataFrame, window: int, share: int, max_block_chars: int, item_col: str, item_text_col: str):
     """A function of batches and the place of their text column: each batch with the columns of SCAN_SCHEMA behind doc_id."""
+    text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in _blocks(id_and_text(benchmark, item_col, item_text_col), max_block_chars)]
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from geolith.llm.common import fresh_names, shuffle_partitions, stored
+from geolith.llm.common import fresh_names, shuffle_partitions, stored, text_batches
 
 MIN_LINES = 2
 _NO_ID = -(1 << 63)
@@ -131,6 +131,7 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, min_lines: int, n_lines: st
 
 def _without_copies(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
     """The table with new texts and two more columns at its end: the numbers of lines and of deleted lines."""
+    text_batches(docs.sparkSession)
     names = fresh_names(docs, "_later_id", "_later_th", "_starts", "_n_lines", "_n_removed")
     later_id, later_th, starts, n_lines, n_removed = names
     later = later_copies(docs, min_lines, id_col, text_col).toDF(later_id, later_th, starts)

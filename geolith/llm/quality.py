@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import Remembered
+from geolith.llm.common import Remembered, text_batches
 
 MAX_LABELLED = 6000
 MAX_UNLABELLED = 4000
@@ -193,6 +193,8 @@ _VIEW_SCHEMA = "id long, quality double, toxic double, content array<long>, meta
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """id, text, source, lang and n_chars under names of their own."""
 
+    text_batches(docs.sparkSession)
+
     def column(name: str, kind: str) -> Column:
         return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind).alias(f"_view_{name}")
 
