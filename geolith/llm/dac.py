@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from geolith.llm.byte_bpe import byte_table
 from geolith.llm.common import Remembered, id_and_text, shuffle_partitions
 
 #: Bits of each level's chunks; together they hold an unsigned 32-bit id.
@@ -36,7 +38,8 @@ WIDTHS = (8, 8, 16)
 RANK_RUN = 512
 BLOCK_TOKENS = 1 << 20
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHE_ENTRIES = 300_000
+#: Entries in each generation of words and of pieces that a Python worker keeps.
+CACHE_ENTRIES = 450_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -108,19 +111,32 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        #: Whether a run of a-z is one piece, also before a full stop or comma.
-        self.runs_are_pieces = all([p for p, _ in cut(f"ab{c}")] == ["ab", *c] for c in ("", ".", ","))
+        written = byte_table()
+        self.written = dict(enumerate(written))
+        latin = "".join(chr(c) for c in range(0xC0, 0x130) if chr(c).isalpha())
+        self.latin = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(f"AZ{latin}") == f"AZ{latin}".lower()
+        #: Whether a run of letters below U+0130 is one piece of its bytes, also before a full stop or comma.
+        self.runs = self.latin and all([p for p, _ in cut(f"az{latin.lower()}{c}")] == [self._bytes(f"az{latin.lower()}"), *c] for c in ("", ".", ","))
         self.pieces = Remembered(self._piece, CACHE_ENTRIES)
         self.words = Remembered(self._word, CACHE_ENTRIES)
 
+    def _bytes(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.written)
+
+    def _normal(self, text: str) -> str:
+        return text if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
+
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        run = plain.rstrip(".,") if self.runs_are_pieces and plain.isascii() and not plain.endswith(("..", ",,", ".,", ",.")) else ""
-        if run.isalpha():
-            return self.pieces[run] + (self.pieces[plain[-1]] if len(run) < len(plain) else b"")
+        latin = self.latin and max(word) < "\u0130"
+        plain = word.lower() if latin else self._normal(word)
+        if latin and self.runs:
+            run = plain[:-1] if plain[-1] in ".," else plain
+            if run.isalpha():
+                ids = self.pieces[run if run.isascii() else self._bytes(run)]
+                return ids if run is plain else ids + self.pieces[plain[-1]]
         return b"".join([self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)])
 
     def encode(self, text: str) -> bytes:
