@@ -41,9 +41,9 @@ _CENTRES = """
     select s_suppkey as centre_id, 33.60e0 + ((s_suppkey * 7919) % 900) / 1e3 as centre_lat, -118.70e0 + ((s_suppkey * 6007) % 900) / 1e3 as centre_lon
     from supplier"""
 _REGIONS = """
-    select c_custkey as region_id, -118.70e0 + ((c_custkey * 131) % 80) / 1e2 as x1, 33.60e0 + ((c_custkey * 37) % 80) / 1e2 as y1,
-           -118.60e0 + ((c_custkey * 131) % 80) / 1e2 as x2, 33.70e0 + ((c_custkey * 37) % 80) / 1e2 as y2
-    from customer where c_custkey % 10 = 0"""
+    select s_suppkey as region_id, -118.70e0 + ((s_suppkey * 131) % 80) / 1e2 as x1, 33.60e0 + ((s_suppkey * 37) % 80) / 1e2 as y1,
+           -118.60e0 + ((s_suppkey * 131) % 80) / 1e2 as x2, 33.70e0 + ((s_suppkey * 37) % 80) / 1e2 as y2
+    from supplier"""
 
 
 def duckdb(view: str) -> str:
@@ -70,4 +70,4 @@ def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region_id and the box as a multipolygon."""
     ring = "array(array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2), array(x1, y1))"
-    return _view(spark, sf_dir, _REGIONS, "customer").selectExpr("region_id", f"array(array({ring})) as polygons")
+    return _view(spark, sf_dir, _REGIONS, "supplier").selectExpr("region_id", f"array(array({ring})) as polygons")
