@@ -39,7 +39,7 @@ _NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
 def _bin(x: Column) -> Column:
