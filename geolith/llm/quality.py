@@ -187,7 +187,7 @@ class CoTrained:
 
 
 SCORE_SCHEMA = "doc_id long, p_quality double, p_toxic double, score double, kept boolean"
-_VIEW_SCHEMA = "id long, quality double, toxic double, content array<long>, metadata array<long>"
+_VIEW_SCHEMA = "id long, quality double, toxic double, content array<int>, metadata array<int>"
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -208,12 +208,17 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, metadata = [], []
         for t, *m in zip(*(c.to_pylist() for c in (texts, source, lang, n_chars)), strict=True):
             distinct, shape = content_tokens(t)
-            content.append(np.array([*map(_hash, distinct), *map(_hash, shape)], np.int64))
-            metadata.append(np.array([*map(_hash, metadata_tokens(t, *m))], np.int64))
-        cols = [ids, quality, toxic, pa.array(content, pa.list_(pa.int64())), pa.array(metadata, pa.list_(pa.int64()))]
+            content.append(np.array([*map(_hash, distinct), *map(_hash, shape)], np.uint32).view(np.int32))
+            metadata.append(np.array([*map(_hash, metadata_tokens(t, *m))], np.uint32).view(np.int32))
+        cols = [ids, quality, toxic, pa.array(content, pa.list_(pa.int32())), pa.array(metadata, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "quality", "toxic", "content", "metadata"])
 
 
+def _token_sets(lists: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, CoTrained]:
     inputs = docs.select(*_inputs(docs, id_col, text_col))
     known = labels.select(F.col(id_col).cast("long").alias("pick"), F.col("quality").cast("double"), F.col("toxic").cast("double"))
@@ -226,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     sample = inputs.join(F.broadcast(picked), F.col("_view_id") == F.col("pick")).drop("pick").mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
     rows = sample.toArrow().sort_by("id")
     y = {t: rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS}
-    views = [[np.asarray(s, np.uint32) for s in rows.column(c).to_pylist()] for c in ("content", "metadata")]
+    views = [_token_sets(rows.column(c).combine_chunks()) for c in ("content", "metadata")]
     spread = np.argsort([xxhash.xxh32_intdigest(str(i)) for i in rows.column("id").to_pylist()], kind="stable")
     views = [[v[i] for i in spread] for v in views]
     given = np.isfinite(y["quality"][spread]) | np.isfinite(y["toxic"][spread])
