@@ -75,6 +75,7 @@ def suffix_intervals(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str =
     lines = lines.select("id", "th", F.posexplode("lines").alias("pos", "line")).select("id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
     place = F.struct("id", "th", "pos")
     repeated = lines.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h1", "h2")
+    repeated = stored(repeated, "repeated")  # a table of its own, so that Spark can split the rows of a hot line in the join
     rows = lines.join(repeated, ["h1", "h2"]).dropDuplicates(["id", "th", "pos"])
     rows = _ranked(stored(rows, "lines"), "h1", "h2", "rank").select("id", "th", "pos", "rank")
     depth = 1
@@ -96,7 +97,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc
     suffixes = stored(suffix_intervals(docs, min_lines, id_col, text_col), "suffixes")
     place = F.struct("id", "th", "pos")
     earliest = suffixes.groupBy("rank").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("rank", "lo")
-    later = suffixes.join(earliest, "rank").where(place > F.col("lo"))
+    later = suffixes.join(stored(earliest, "earliest"), "rank").where(place > F.col("lo"))
     return later.groupBy("id", "th").agg(F.collect_list("pos").alias("starts"))
 
 

@@ -280,13 +280,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     sigs = texts.mapInArrow(_signatures, SIGNATURE_SCHEMA)
     sigs = sigs.groupBy("id").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("id", "s.*")
     sigs = stored(sigs, "signatures")
-    firsts = sigs.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # firsts and shared are tables of their own, so that Spark can split the rows of a hot key in the joins
+    firsts = stored(sigs.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "firsts")
     members = stored(sigs.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).select("id", "rep"), "members")
     reps = sigs.join(members.where("id = rep").select(F.col("id").alias("rep")), F.col("id") == F.col("rep"), "left_semi")
 
     in_bands = reps.select("id", "sig").mapInArrow(_buckets, "key long, id long")
     shared = in_bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    bucketed = stored(in_bands.join(shared, "key"), "buckets")
+    bucketed = stored(in_bands.join(stored(shared, "shared"), "key"), "buckets")
     wanted = bucketed.select(F.col("id").alias("want")).distinct()
     sig_of = stored(sigs.join(wanted, F.col("id") == F.col("want"), "left_semi"), "signatures")
     want = sig_of.select(F.col("id").alias("want"), "k1")
