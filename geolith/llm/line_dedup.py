@@ -68,8 +68,12 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(f"`{text_col}`"))
 
 
-def suffix_intervals(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The suffix array at depth ``min_lines``: ``id, th, pos, rank`` of positions that have so many repeated lines before them."""
+def suffix_array(docs: DataFrame, depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, th, pos, segment, rank`` of all positions in segments of repeated lines, ranked by their next ``depth`` lines.
+
+    Without a depth the doubling goes on until it splits no rank any more: then the ranks order whole
+    suffixes of segments, and only suffixes that are equal to their end share one.
+    """
     doc, th = _keys(docs, id_col, text_col)
     lines = docs.select(doc.alias("id"), th.alias("th"), F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: F.trim(x) != "").alias("lines"))
     lines = lines.select("id", "th", F.posexplode("lines").alias("pos", "line")).select("id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
@@ -78,18 +82,29 @@ def suffix_intervals(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str =
     repeated = stored(repeated, "repeated")  # a table of its own, so that Spark can split the rows of a hot line in the join
     rows = lines.join(repeated, ["h1", "h2"]).dropDuplicates(["id", "th", "pos"])
     rows = _ranked(stored(rows, "lines"), "h1", "h2", "rank").select("id", "th", "pos", "rank")
-    depth = 1
+    have, ranks = 1, -1
     while True:
         by_doc = Window.partitionBy("id", "th").orderBy("pos")
         rows = rows.withColumn("segment", F.col("pos") - F.row_number().over(by_doc))
+        if depth is not None and have >= depth:
+            return rows
+        if depth is None:
+            rows = stored(rows, "ranked")
+            before, ranks = ranks, rows.select("rank").distinct().count()
+            if ranks == before:
+                return rows
+        shift = have if depth is None else min(have, depth - have)
         in_segment = Window.partitionBy("id", "th", "segment").orderBy("pos")
-        if depth >= min_lines:
-            last = F.lead("pos", min_lines - 1).over(in_segment)
-            return rows.withColumn("last", last).where("last IS NOT NULL").select("id", "th", "pos", "rank")
-        shift = min(depth, min_lines - depth)
         rows = stored(rows.select("id", "th", "pos", "rank", F.coalesce(F.lead("rank", shift).over(in_segment), F.lit(-1).cast("long")).alias("then")), "pairs")
         rows = _ranked(rows, "rank", "then", "next").select("id", "th", "pos", F.col("next").alias("rank"))
-        depth += shift
+        have += shift
+
+
+def suffix_intervals(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, th, pos, rank``: equal ranks are the intervals of the suffix array whose common prefix has ``min_lines`` lines or more."""
+    rows = suffix_array(docs, min_lines, id_col, text_col)
+    last = F.lead("pos", min_lines - 1).over(Window.partitionBy("id", "th", "segment").orderBy("pos"))
+    return rows.withColumn("last", last).where("last IS NOT NULL").select("id", "th", "pos", "rank")
 
 
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,6 +116,15 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc
     return later.groupBy("id", "th").agg(F.collect_list("pos").alias("starts"))
 
 
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, th, start, n_lines``: the maximal runs of lines that stand earlier too, counted in lines that are not blank."""
+    starts = later_copies(docs, min_lines, id_col, text_col).select("id", "th", F.explode("starts").alias("pos"))
+    by_doc = Window.partitionBy("id", "th").orderBy("pos")
+    fresh = F.coalesce(F.col("pos") > F.lag("pos").over(by_doc) + min_lines, F.lit(True))
+    runs = starts.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(by_doc))
+    return runs.groupBy("id", "th", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_lines).alias("n_lines")).drop("run")
+
+
 def _deleted(lines: list[str], starts: list[int], min_lines: int) -> np.ndarray:
     """Which of all lines go."""
     full = np.array([bool(x.strip(" ")) for x in lines], bool)

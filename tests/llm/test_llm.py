@@ -152,6 +152,30 @@ def test_line_dedup_equals_brute_force(spark, k):
     assert {r.doc_id: r.text for r in got} == brute_lines(rows, k)
 
 
+def test_suffix_array_orders_whole_suffixes(spark):
+    rnd = random.Random(12)
+    rows = [(i, "\n".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 25)))) for i in range(25)]
+    rows += [(100, rows[0][1]), (101, "only here")]
+    got = line_dedup.suffix_array(spark.createDataFrame(rows, DOCS)).collect()
+    texts = {i: t.split("\n") for i, t in rows}
+    suffixes = {(r.id, r.pos): tuple(texts[r.id][r.pos :]) for r in got}
+    assert len(got) == sum(map(len, texts.values())) - 1  # all lines but the one that occurs once
+    by_rank = {}
+    for r in got:
+        by_rank.setdefault(r.rank, set()).add(suffixes[(r.id, r.pos)])
+    assert all(len(s) == 1 for s in by_rank.values()) and len(by_rank) == len(set(suffixes.values()))
+    names = [s.pop() for _, s in sorted(by_rank.items())]
+    for depth in (1, 2, 3):  # equal beginnings stand together
+        heads = [x[:depth] for x in names]
+        assert len({*heads}) == 1 + sum(a != b for a, b in zip(heads, heads[1:], strict=False))
+
+
+def test_repeated_runs_are_maximal(spark):
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nc\ny\nd\ne"), (3, "b\nc")]
+    got = line_dedup.repeated_runs(spark.createDataFrame(rows, DOCS), 2).collect()
+    assert sorted((r.id, r.start, r.n_lines) for r in got) == [(2, 1, 3), (2, 5, 2), (3, 0, 2)]
+
+
 def test_line_dedup_of_awkward_texts(awkward, empty):
     out = line_dedup.remove_repeated_lines(awkward)
     assert out.columns == awkward.columns and out.count() == len(AWKWARD)
