@@ -224,11 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     known = labels.select(F.col(id_col).cast("long").alias("pick"), F.col("quality").cast("double"), F.col("toxic").cast("double"))
     known = known.where("pick IS NOT NULL").groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     first = known.orderBy(F.xxhash64("pick"), "pick").limit(max_labelled)
-    others = inputs.select(F.col("_view_id").alias("pick")).where("pick IS NOT NULL").orderBy(F.xxhash64("pick", F.lit(1)), "pick").limit(max_unlabelled)
+    others = inputs.select(F.col("_view_id").alias("pick")).where("pick IS NOT NULL").distinct().orderBy(F.xxhash64("pick", F.lit(1)), "pick").limit(max_unlabelled)
     none = F.lit(None).cast("double")
     picked = first.unionByName(others.select("pick", none.alias("quality"), none.alias("toxic")))
     picked = picked.groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = inputs.join(F.broadcast(picked), F.col("_view_id") == F.col("pick")).drop("pick").mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
+    order = F.xxhash64(*inputs.columns).alias("th")
+    sample = inputs.join(F.broadcast(picked.select("pick")), F.col("_view_id") == F.col("pick"))
+    sample = sample.groupBy("pick").agg(F.min(F.struct(order, *inputs.columns[1:])).alias("row"))  # one row of each id
+    sample = sample.join(F.broadcast(picked), "pick").select("pick", *(f"row.{c}" for c in inputs.columns[1:]), "quality", "toxic")
+    sample = sample.mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
     rows = sample.toArrow().sort_by("id")
     y = {t: rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS}
     views = [_token_sets(rows.column(c).combine_chunks()) for c in ("content", "metadata")]

@@ -280,6 +280,12 @@ def test_quality_without_labels_and_awkward(spark, awkward, empty):
     assert quality.score_documents(empty, labels).count() == 0
 
 
+def test_quality_fits_one_row_of_each_labelled_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels)["quality"].prior == 0.0  # one of each, not 50 to one
+
+
 # --- 6 ---
 
 
