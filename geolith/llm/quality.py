@@ -2,20 +2,20 @@
 
 The *content* view sees the distinct words, word beginnings and symbol runs of the text and how repetitive it is; the
 *metadata* view sees source, language, length and layout of the page. Each view has a logistic
-classifier of its own. In every round both are fitted and calibrated; each then labels the unlabelled
-documents of which it is sure, and the other view learns from these labels in the next round. At the
+classifier of its own. In every round both are fitted and calibrated; each then scores all documents
+without a label and labels those of which it is sure, and the other view learns from these labels in the next round. At the
 end the calibrated views are combined by adding their log-odds (the prior counts once), and all
 documents are scored. This is done for ``quality`` and for ``toxic``; a document is kept unless it is
 likely of low quality or likely toxic.
 
-The classifiers are fitted on the driver on a bounded sample: at most ``max_labelled`` labelled and
-``max_unlabelled`` other documents, those with the smallest hash of their id. Every document of the
-table is scored, whole.
+The classifiers are fitted on the driver on a bounded sample: at most ``max_labelled`` labelled documents
+and, for each view and target, ``max_unlabelled`` of the documents of which the other view is sure, those with the smallest
+hash. Every document of the table is scored, whole, in each round and at the end.
 
 Edge cases: null text and metadata are values like others; a null label is no label; a document that
 is labelled twice has its lower quality and its higher toxicity; labels without a document are not
 used; without labels, or with one class only, a view knows only the prior and documents are kept;
-repeated rows are scored one by one; an empty table gives an empty result; further columns of the
+rows that share a labelled doc_id are fitted by the one with the smallest hash; repeated rows are scored one by one; an empty table gives an empty result; further columns of the
 table are not looked at, and a table without the metadata columns lacks those features.
 """
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import Remembered, text_batches
+from geolith.llm.common import Remembered, stored, text_batches
 
 MAX_LABELLED = 6000
 MAX_UNLABELLED = 4000
@@ -42,6 +42,7 @@ FEATURES = 4096
 #: Standard deviations by which a token must differ from chance to be a feature.
 TELLING = 4.0
 TARGETS = ("quality", "toxic")
+_NO_ID = -(1 << 63)
 
 #: Lengths of the word beginnings.
 STEMS = (3, 4, 5)
@@ -157,26 +158,17 @@ class View:
 
 
 class CoTrained:
-    """Two views of one target."""
+    """Two views of one target. ``taught`` holds, by view, the documents that the other view labels: order -> (label, tokens)."""
 
-    def __init__(self, labelled: list[list[np.ndarray]], y: np.ndarray, unlabelled: list[list[np.ndarray]], rounds: int = ROUNDS, sure: float = SURE):
-        own = np.isfinite(y)
-        sets = [[s for s, o in zip(view, own, strict=True) if o] for view in labelled]
-        y = y[own]
+    def __init__(self, y: np.ndarray):
         self.prior = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
         self.seen = bool(len(y)) and 0 < y.sum() < len(y)
-        taught: list[dict[int, float]] = [{}, {}]
-        for left in reversed(range(rounds + 1)):
-            self.views = []
-            for k in (0, 1):
-                more = sorted(taught[k])
-                self.views.append(View().fit(sets[k] + [unlabelled[k][i] for i in more], np.append(y, [taught[k][i] for i in more])))
-            if not left or not unlabelled[0] or not self.seen:
-                continue
-            for k in (0, 1):
-                p = self.views[k].probabilities(unlabelled[k])
-                for i in np.flatnonzero((p >= sure) | (p <= 1 - sure)).tolist():
-                    taught[1 - k].setdefault(i, float(p[i] >= 0.5))
+        self.views = [View(), View()]
+
+    def fit(self, sets: list[list[np.ndarray]], y: np.ndarray, taught: list[dict[tuple, tuple[float, np.ndarray]]]) -> None:
+        for k in (0, 1):
+            more = [taught[k][i] for i in sorted(taught[k])]
+            self.views[k] = View().fit(sets[k] + [s for _, s in more], np.append(y, [label for label, _ in more]))
 
     def combined(self, raws: list[float]) -> float:
         """The probability from both views' raw scores."""
@@ -187,7 +179,7 @@ class CoTrained:
 
 
 SCORE_SCHEMA = "doc_id long, p_quality double, p_toxic double, score double, kept boolean"
-_VIEW_SCHEMA = "id long, quality double, toxic double, content array<int>, metadata array<int>"
+_VIEW_SCHEMA = "id long, th long, content array<int>, metadata array<int>"
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -203,15 +195,16 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, text, source, lang, n_chars, th as the tokens of both views."""
+    hashes = Remembered(_hash, 200_000)
     for batch in batches:
-        ids, texts, source, lang, n_chars, quality, toxic = (batch.column(i) for i in range(7))
         content, metadata = [], []
-        for t, *m in zip(*(c.to_pylist() for c in (texts, source, lang, n_chars)), strict=True):
+        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
             distinct, shape = content_tokens(t)
-            content.append(np.array([*map(_hash, distinct), *map(_hash, shape)], np.uint32).view(np.int32))
-            metadata.append(np.array([*map(_hash, metadata_tokens(t, *m))], np.uint32).view(np.int32))
-        cols = [ids, quality, toxic, pa.array(content, pa.list_(pa.int32())), pa.array(metadata, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "quality", "toxic", "content", "metadata"])
+            content.append(np.array([hashes[x] for part in (distinct, shape) for x in part], np.uint32).view(np.int32))
+            metadata.append(np.array([hashes[x] for x in metadata_tokens(t, *m)], np.uint32).view(np.int32))
+        cols = [batch.column(0), batch.column(5), pa.array(content, pa.list_(pa.int32())), pa.array(metadata, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "content", "metadata"])
 
 
 def _token_sets(lists: pa.ListArray) -> list[np.ndarray]:
@@ -219,29 +212,113 @@ def _token_sets(lists: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+class _Batches:
+    """Raw scores of one view's classifiers for many token sets at once."""
+
+    def __init__(self, views: list[View]):
+        self.views = views
+        self.names = np.unique(np.concatenate([v.names for v in views]))
+        self.weights = np.zeros((len(views), len(self.names)))
+        for w, v in zip(self.weights, views, strict=True):
+            w[np.searchsorted(self.names, v.names)] = v.weights
+        self.maybe = np.zeros(1 << 20, bool)  # by the low bits of a token, so that few are looked up
+        self.maybe[self.names & 0xFFFFF] = True
+
+    def raw(self, lists: pa.ListArray) -> list[np.ndarray]:
+        offsets = lists.offsets.to_numpy()
+        values = lists.values.to_numpy().view(np.uint32)[offsets[0] : offsets[-1]]
+        rows = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        near = np.flatnonzero(self.maybe[values & 0xFFFFF])
+        at = np.searchsorted(self.names, values[near])
+        at[at == len(self.names)] = 0
+        hit = self.names[at] == values[near] if len(near) else np.zeros(0, bool)
+        rows, at = rows[near][hit], at[hit]
+        return [v.bias + np.bincount(rows, weights=w[at], minlength=len(lists)) for v, w in zip(self.views, self.weights, strict=True)]
+
+
+def _sure(models, sure: float):
+    """Rows of _VIEW_SCHEMA as id, th and the label of each view for each target, null where it is not sure; rows without labels go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [_Batches([m.views[k] for m in models.value.values()]) for k in (0, 1)]
+        for batch in batches:
+            labels, some = [], np.zeros(len(batch), bool)
+            for k in (0, 1):
+                for view, raw in zip(scorers[k].views, scorers[k].raw(batch.column(2 + k)), strict=True):
+                    p = 1 / (1 + np.exp(-np.clip(view.logit(raw), -30, 30)))
+                    given = (p >= sure) | (p <= 1 - sure)
+                    some |= given
+                    labels.append(pa.array((p >= 0.5).astype(float), mask=~given))
+            cols = [c.filter(pa.array(some)) for c in (batch.column(0), batch.column(1), *labels)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", *(f"{t}_{k}" for k in (0, 1) for t in models.value)])
+
+    return run
+
+
+def _teach(sets: DataFrame, known: DataFrame, models: dict[str, CoTrained], taught: dict[str, list[dict]], most: int, sure: float) -> None:
+    """Lets the views label all documents without a label, and adds those of which they are sure to what the other view is taught.
+
+    Each view keeps ``most`` of all that it was ever taught, those with the smallest hash; the first label counts.
+    """
+    spark = sets.sparkSession
+    columns = [(t, k) for k in (0, 1) for t in models]
+    shared = spark.sparkContext.broadcast(models)
+    schema = "id long, th long, " + ", ".join(f"{t}_{k} double" for t, k in columns)
+    # _sure names only what it needs, so that a row is small; the labels of the table join these rows, not the texts
+    found = sets.mapInArrow(_sure(shared, sure), schema).join(known, F.col("id") == F.col("pick"), "left").drop("pick")
+    found = stored(found.dropDuplicates(["id", "th"]), "sure").withColumn("turn", F.xxhash64("id", "th"))
+    fresh: dict[tuple, list] = {}
+    for t, k in columns:
+        own = found.where(F.col(t).isNull() & F.col(f"{t}_{k}").isNotNull())
+        for r in own.select("turn", "id", "th", F.col(f"{t}_{k}").alias("label")).orderBy("turn", "id", "th").limit(most).collect():
+            key = (r.turn, _NO_ID if r.id is None else r.id, r.th)
+            if key not in taught[t][1 - k]:
+                fresh.setdefault(key, []).append((t, 1 - k, r.label))
+    for t, k in columns:
+        names = sorted([*taught[t][k], *(key for key, uses in fresh.items() if any(u[:2] == (t, k) for u in uses))])
+        last = names[min(most, len(names)) - 1] if names else None
+        taught[t][k] = {key: v for key, v in taught[t][k].items() if key <= last}
+        for key in fresh:
+            fresh[key] = [u for u in fresh[key] if u[:2] != (t, k) or key <= last]
+    fresh = {key: uses for key, uses in fresh.items() if uses}
+    if not fresh:
+        return
+    places = {key[1:]: key for key in fresh}
+    wanted = spark.createDataFrame([*places], "want long, want_th long")
+    rows = sets.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(F.broadcast(wanted), (F.col("id") == F.col("want")) & (F.col("th") == F.col("want_th")))
+    rows = rows.drop("want", "want_th").dropDuplicates(["id", "th"]).toArrow()  # one row of each
+    views = [_token_sets(rows.column(c).combine_chunks()) for c in ("content", "metadata")]
+    for n, place in enumerate(zip(rows.column("id").to_pylist(), rows.column("th").to_pylist(), strict=True)):
+        for t, k, label in fresh[places[place]]:
+            taught[t][k][places[place]] = (label, views[k][n])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, CoTrained]:
     inputs = docs.select(*_inputs(docs, id_col, text_col))
+    inputs = inputs.withColumn("_view_th", F.xxhash64(*inputs.columns))
     known = labels.select(F.col(id_col).cast("long").alias("pick"), F.col("quality").cast("double"), F.col("toxic").cast("double"))
     known = known.where("pick IS NOT NULL").groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     first = known.orderBy(F.xxhash64("pick"), "pick").limit(max_labelled)
-    others = inputs.select(F.col("_view_id").alias("pick")).where("pick IS NOT NULL").distinct().orderBy(F.xxhash64("pick", F.lit(1)), "pick").limit(max_unlabelled)
-    none = F.lit(None).cast("double")
-    picked = first.unionByName(others.select("pick", none.alias("quality"), none.alias("toxic")))
-    picked = picked.groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    order = F.xxhash64(*inputs.columns).alias("th")
-    sample = inputs.join(F.broadcast(picked.select("pick")), F.col("_view_id") == F.col("pick"))
-    sample = sample.groupBy("pick").agg(F.min(F.struct(order, *inputs.columns[1:])).alias("row"))  # one row of each id
-    sample = sample.join(F.broadcast(picked), "pick").select("pick", *(f"row.{c}" for c in inputs.columns[1:]), "quality", "toxic")
-    sample = sample.mapInArrow(_views, _VIEW_SCHEMA)  # at most max_labelled + max_unlabelled rows
-    rows = sample.toArrow().sort_by("id")
+    own = inputs.join(F.broadcast(first.select("pick")), F.col("_view_id") == F.col("pick"))
+    own = own.groupBy("pick").agg(F.min(F.struct("_view_th", *inputs.columns[1:5])).alias("row"))  # one row of each id
+    own = own.select("pick", *(f"row.{c}" for c in inputs.columns[1:5]), "row._view_th").mapInArrow(_views, _VIEW_SCHEMA)
+    rows = own.join(F.broadcast(first), F.col("id") == F.col("pick")).drop("pick").toArrow().sort_by("id")  # at most max_labelled rows
     y = {t: rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS}
     views = [_token_sets(rows.column(c).combine_chunks()) for c in ("content", "metadata")]
     spread = np.argsort([xxhash.xxh32_intdigest(str(i)) for i in rows.column("id").to_pylist()], kind="stable")
-    views = [[v[i] for i in spread] for v in views]
-    given = np.isfinite(y["quality"][spread]) | np.isfinite(y["toxic"][spread])
-    of = lambda mask: [[s for s, m in zip(v, mask, strict=True) if m] for v in views]
-    labelled, unlabelled = of(given), of(~given)
-    return {t: CoTrained(labelled, y[t][spread][given], unlabelled, rounds) for t in TARGETS}
+    given = {t: [i for i in spread.tolist() if np.isfinite(y[t][i])] for t in TARGETS}
+    models = {t: CoTrained(y[t][given[t]]) for t in TARGETS}
+    taught: dict[str, list[dict]] = {t: [{}, {}] for t in TARGETS}
+    learning = {t: m for t, m in models.items() if m.seen}
+    sets = None
+    for left in reversed(range(rounds + 1)):
+        for t, model in models.items():
+            model.fit([[v[i] for i in given[t]] for v in views], y[t][given[t]], taught[t])
+        if left and learning and max_unlabelled > 0:
+            if sets is None:  # the tokens of all documents, so that each round reads numbers instead of texts
+                sets = stored(inputs.mapInArrow(_views, _VIEW_SCHEMA), "views")
+            _teach(sets, known, learning, taught, max_unlabelled, SURE)
+    return models
 
 
 class Scorer:

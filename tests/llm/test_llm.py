@@ -286,6 +286,17 @@ def test_quality_fits_one_row_of_each_labelled_id(spark):
     assert quality.train(docs, labels)["quality"].prior == 0.0  # one of each, not 50 to one
 
 
+def test_quality_views_teach_from_all_documents(spark):
+    word = lambda good: "good words here" if good else "bad words there"
+    rows = [(i, word(i % 2), f"s{i // 2 % 3}") for i in range(1200)]  # labelled: only the content tells
+    rows += [(2000 + i, f"{i * 7919}", "plain") for i in range(3000)]  # no view is sure of these
+    rows += [(9000 + i, word(True), "rare") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    metadata = quality.train(docs, labels, max_unlabelled=60)["quality"].views[1]
+    assert quality._hash("source=rare") in metadata.names and metadata.weights[metadata.names == quality._hash("source=rare")] > 0
+
+
 # --- 6 ---
 
 
