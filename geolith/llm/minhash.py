@@ -13,7 +13,7 @@ documents it does not fill get a later bound.
 ``near_duplicates`` works on distinct texts; copies follow their text.
 
 1. Bands of ``ROWS`` components make buckets. Every member of a bucket is paired with its smallest id
-   only, pairs far below the threshold by their signatures go, the rest is verified exactly
+   only, pairs far below the threshold by their signatures go unless a bucket holds just the two, the rest is verified exactly
    (sum of minima over sum of maxima of the shingle counts), and the components of the links are found.
 2. Buckets that still hold several components are read again, large ones in blocks: every document outside
    the largest component is compared exactly with all others through the postings of its shingles, and
@@ -154,7 +154,7 @@ def _near_enough(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SIZE) for i in (2, 3))
-            near = pa.array((a == b).sum(axis=1) >= least)
+            near = pa.array(((a == b).sum(axis=1) >= least) | (batch.column(4).to_numpy() == 2))  # step 2 does not read buckets of two
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return run
@@ -299,10 +299,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         b = text_of.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long")
 
-    stars = bucketed.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = bucketed.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"), "n").groupBy("a", "b").agg(F.min("n").alias("n"))
     sig_a = sig_of.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     sig_b = sig_of.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    stars = stars.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near_enough(threshold), "a long, b long")
+    stars = stars.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b", "n").mapInArrow(_near_enough(threshold), "a long, b long")
     links = stored(verified(stars), "links")
 
     first = components(links)

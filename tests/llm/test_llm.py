@@ -435,6 +435,14 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_that_the_signatures_rule_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SLACK", -10.0)  # no estimate is high enough: only the second pass finds links
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "something else altogether, all alone")]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates_of_awkward_texts(awkward, empty):
     got = rows_of(minhash.near_duplicates(awkward), "doc_id")
     assert len(got) == 9 and got[5].class_id == 4 and got[2].class_id == 1 and got[3].class_id == 1 and got[None].kept
