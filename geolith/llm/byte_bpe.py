@@ -12,7 +12,9 @@ over several tokens comes back whole because bytes are joined before they are re
 that share a split character all span that character.
 
 Edge cases: a null text is empty and has no ids; texts of any length are encoded whole; repeated
-rows are encoded one by one; an empty table gives an empty result; other columns are not looked at.
+rows are encoded one by one; an empty table gives an empty result; other columns are not looked at; null
+ids and ids outside the vocabulary decode to no bytes. A pattern whose pieces cross white space, unlike those
+of the usual vocabularies, is noticed when the coder is built, and texts are then cut whole.
 The rank file is read by the driver and broadcast; ``MAX_VOCABULARY_BYTES`` bounds it.
 """
 
@@ -24,7 +26,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from geolith.llm.common import Remembered, id_and_text
+from geolith.llm.common import Remembered, id_and_text, pieces
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Entries in each of the two generations that a Python worker keeps of what it has encoded.
@@ -41,6 +43,8 @@ CACHE_ENTRIES = 300_000
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python's ``re`` but not to Unicode.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words, numbers and signs between all sorts of white space, to try a pattern on.
+_PROBE = "".join(f"{gap}{item}" for item in ("ab", "A1b", "12345", "don't", "...", "é中", "_", "(x)", "a-b") for gap in ("", " ", "  ", "   ", "\n", " \n", "\n ", "\n\n", "\t", "\r\n", "\u00a0", "\u3000 ", " \u2003")) + "  \n "
 
 
 def byte_table() -> list[str]:
@@ -87,6 +91,8 @@ class ByteBpe:
             self.bytes_of[i] = bytes(byte_of[c] for c in token)
         self.written = dict(enumerate(byte_table()))
         self.chunks = Remembered(self._ids_of, CACHE_ENTRIES)
+        #: Whether the pattern cuts nothing else than what the chunks are cut into.
+        self.by_chunk = self.pieces(_PROBE) == [p for c in _CHUNK.findall(_PROBE) for p in self.pieces(c)]
 
     def _ids_of(self, chunk: str) -> bytes:
         """Of each piece separately, by the model on the piece's bytes as characters."""
@@ -98,12 +104,14 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if _ODD_SPACE.search(text):
+        if not self.by_chunk or _ODD_SPACE.search(text):
             return self._ids_of(text)
         return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: Iterable[int | None]) -> bytes:
+        """The bytes that the ids stand for; null and what is not in the vocabulary stand for none."""
+        n = len(self.bytes_of)
+        return b"".join([self.bytes_of[i] for i in ids if i is not None and 0 <= i < n])
 
     def spans(self, text: str, ids: bytes) -> list[tuple[int, int]]:
         """[start, end) in characters of ``text`` for each id."""
@@ -129,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(*model.value)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             ids = [bpe.encode(t) for t in texts]
             spans = [bpe.spans(t, i) for t, i in zip(texts, ids, strict=True)]
@@ -146,7 +154,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(*model.value)
         for batch in batches:
-            out = [bpe.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column(1).to_pylist()]
+            out = [bpe.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, "doc_id long, decoded binary")
@@ -155,19 +163,24 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 ROUND_TRIP_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the number and digest of its ids, and the digest of the bytes they decode to."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per document: the number and digest of its ids, and the digest of the bytes they decode to; ``with_ids`` adds the ids themselves."""
     model = _broadcast(docs.sparkSession, ranks_path, pattern)
+    more = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(*model.value)
-        for batch in batches:
-            counts, encoded, decoded = [], [], []
+        for batch in pieces(batches):
+            counts, encoded, decoded, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
-                counts.append(len(ids) // 4)
-                encoded.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, ROUND_TRIP_SCHEMA)
+                data = bpe.encode(text)
+                ids = np.frombuffer(data, "<u4")
+                counts.append(len(ids))
+                encoded.append(hashlib.sha256(data).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
+                lists.append(ids.view(np.int32))
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            cols += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, ROUND_TRIP_SCHEMA + more)

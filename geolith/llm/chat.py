@@ -17,8 +17,8 @@ The loss mask is a list of [start, end) spans over the formatted text: the assis
 their markers.
 
 Edge cases: a null text is empty, a null role is the empty role (an "other" role), null turns come
-first, equal turn numbers are ordered by role and text, rows with a null conversation id form one
-conversation, repeated rows are repeated turns, and an empty table gives an empty result.
+first, equal turn numbers are ordered by role and text, a row with a null conversation id is a
+conversation of its own (however many there are, they meet nowhere), repeated rows are repeated turns, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
+    whole = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    whole = whole.union(rows.where("conv_id IS NULL").select("conv_id", F.array("t"))).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
     schema = "conv_id long, formatted string, loss_spans array<struct<start: int, end: int>>"
     return whole.mapInArrow(_format_batches, schema)
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    A session without that setting (a local test) gets a temporary folder of its own.
+    A session in one process (local[...], as in tests) without that setting gets a temporary folder of its own; a
+    cluster's executors would not see that, so there it is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geolith-"))
-        base = spark.sparkContext.getCheckpointDir()
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="geolith-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -34,20 +41,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of text in one Arrow batch; JVM and Python hold a few batches for each task at once.
-TEXT_BATCH = 1000
+#: Rows and bytes of text that an operator turns into Python objects at a time (a longer text alone).
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Lets the session send texts to Python in smaller batches than its default for narrow rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
+def pieces(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in small batches, by the texts of column ``at``.
+
+    Spark itself bounds what it sends at once, by spark.sql.execution.arrow.maxBytesPerBatch.
+    """
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(batch):
+            before = int(sizes[begin - 1]) if begin else 0
+            end = min(begin + PIECE_ROWS, max(begin + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, side="right"))))
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``id`` long and ``text`` string (null: empty), whatever else the table holds."""
-    text_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geolith.llm.byte_bpe import byte_table
-from geolith.llm.common import Remembered, id_and_text, shuffle_partitions
+from geolith.llm.common import Remembered, id_and_text, pieces, shuffle_partitions
 
 #: Bits of each level's chunks; together they hold an unsigned 32-bit id.
 WIDTHS = (8, 8, 16)
@@ -42,6 +42,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 CACHE_ENTRIES = 450_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words and signs with all sorts of white space about them, to try a tokenizer on.
+_PROBES = ["a", " a", "a ", *(f"Some{gap}words,{gap}12{gap}éa{gap}...{gap}中文{gap}it's" for gap in (" ", "  ", "\n", " \n ", "\t", "\r\n", "\u00a0", "\u3000"))]
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -105,7 +107,7 @@ class DacBlock:
 
 
 class WordCoder:
-    """A tokenizers file whose pieces never cross white space; words met before are looked up."""
+    """A tokenizers file. If its pieces never cross white space (tried when it is read), words met before are looked up; else texts are encoded whole."""
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
@@ -119,6 +121,8 @@ class WordCoder:
         self.runs = self.latin and all([p for p, _ in cut(f"az{latin.lower()}{c}")] == [self._bytes(f"az{latin.lower()}"), *c] for c in ("", ".", ","))
         self.pieces = Remembered(self._piece, CACHE_ENTRIES)
         self.words = Remembered(self._word, CACHE_ENTRIES)
+        #: Whether the tokenizer treats the words between white space one by one.
+        self.by_word = all(b"".join(map(self._word, t.split())) == self._whole(t) for t in _PROBES)
 
     def _bytes(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.written)
@@ -139,10 +143,13 @@ class WordCoder:
                 return ids if run is plain else ids + self.pieces[plain[-1]]
         return b"".join([self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)])
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, as the tokenizer gives for the whole text."""
-        if _ODD_SPACE.search(text) or any(s in text for s in self.specials):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.by_word or _ODD_SPACE.search(text) or any(s in text for s in self.specials):
+            return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -173,7 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([tokens], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_tokens", "doc_ids", "counts", "payload"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(t) + end
                 if held and tokens + len(data) // 4 > block_tokens:
