@@ -8,7 +8,7 @@ actions blocks. A URL that no rule fits gets ``default``.
 Up to ``max_broadcast_rules`` rules travel to the executors as one trie. Larger rule tables are
 joined on the URL's host suffixes instead, with the same answers.
 
-Edge cases: a null URL or one without ``://`` has empty host and path, and only a rule with an
+Edge cases: a URL of any length is read whole; a null URL or one without ``://`` has empty host and path, and only a rule with an
 empty host could fit it, so it gets the default. An empty table gives an empty result. Repeated
 rows are judged one by one. Other columns of the table are not looked at.
 """
@@ -18,22 +18,31 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_RULES = 200_000
 RULES_SCHEMA = "action string, host string, path string"
 
 
-def host_of(url):
+def _rest_of(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
+def _raw_host_of(url: Column) -> Column:
+    return F.regexp_extract(_rest_of(url), r"^[^/?#]*", 0)
+
+
+def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end; A-Z lower-cased."""
-    raw = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(_raw_host_of(url), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def path_of(url):
-    """After the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+def path_of(url: Column) -> Column:
+    """After the host up to ``?``, ``#`` or the end; a later ``://`` is nothing special."""
+    return F.regexp_extract(F.substr(_rest_of(url), F.length(_raw_host_of(url)) + 1), r"^[^?#]*", 0)
 
 
 class RuleTrie:
@@ -52,6 +61,7 @@ class RuleTrie:
             ends = node.setdefault(_ENDS, {})  # beginnings that the next segment must have
             if ends.get(last, ("",))[0] != "block":
                 ends[last] = (action, host + path)
+            node[_LONGEST] = max(node.get(_LONGEST, 0), len(last))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(action, rule) of the longest rule that fits."""
@@ -68,10 +78,9 @@ class RuleTrie:
     def _path_match(node: dict, path: str) -> tuple[str, str] | None:
         best = None
         for segment in path.split("/"):
-            ends = node.get(_ENDS, {})
-            fits = [e for e in ends if segment.startswith(e)]
-            if fits:
-                best = ends[max(fits, key=len)]
+            if ends := node.get(_ENDS):
+                sizes = range(min(len(segment), node[_LONGEST]), -1, -1)
+                best = next((ends[segment[:n]] for n in sizes if segment[:n] in ends), best)
             node = node.get(segment)
             if node is None:
                 break
@@ -79,7 +88,7 @@ class RuleTrie:
 
 
 #: Keys that no label or segment can equal.
-_PATHS, _ENDS = ("paths",), ("ends",)
+_PATHS, _ENDS, _LONGEST = ("paths",), ("ends",), ("longest",)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
@@ -106,19 +115,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 
 def judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by a join of distinct (host, path) on each host's suffixes, for rule tables of any size."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """The same by joins of the distinct (host, path), for rule tables of any size.
+
+    A rule's path is whole segments (its folder) and the beginning of the next one. A URL meets the rules by host suffix, folder
+    and that beginning, all three by equality, so a host with many rules costs no more than one with few.
+    """
+    folder = F.regexp_extract("path", r"(?s)^.*/", 0)
+    r = rules.select("action", "host", folder.alias("folder"), F.substr("path", F.length(folder) + 1).alias("next"))
+    # how deep URLs need to be cut: one row, at most the longest rule's
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.max(F.size(F.split("path", "/"))).alias("folders")).first()
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
+    suffix = F.transform(F.sequence(F.lit(0), F.least(F.size(labels), F.lit(deepest["labels"])) - 1), lambda i: F.array_join(F.slice(labels, -1 - i, i + 1), "."))
+    above = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(deepest["folders"])) - 1), lambda i: F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
     urls = parts.select("host", "path").distinct()
-    r = rules.select(F.col("action").alias("r_action"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
-    rank = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_path"), F.col("r_action") == "block")
-    best = (
-        urls.withColumn("suffix", F.explode(suffixes))
-        .join(r, F.col("suffix") == F.col("r_host"))
-        .where(F.col("path").startswith(F.col("r_path")))
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct("r_action", F.concat("r_host", "r_path").alias("rule")), rank).alias("best"))
-    )
+    places = urls.select("host", "path", F.explode(suffix).alias("r_host")).select("host", "path", "r_host", F.explode(above).alias("r_folder"))
+    sizes = r.groupBy(F.col("host").alias("r_host"), F.col("folder").alias("r_folder")).agg(F.collect_set(F.length("next")).alias("sizes"))  # as many as a segment has characters at most
+    places = places.join(sizes, ["r_host", "r_folder"]).withColumn("size", F.explode("sizes"))
+    rest = F.substr("path", F.length("r_folder") + 1)
+    places = places.where(F.length(rest) >= F.col("size")).withColumn("r_next", F.substr(rest, F.lit(1), F.col("size"))).drop("sizes", "size")
+    r = r.toDF("r_action", "r_host", "r_folder", "r_next").groupBy("r_host", "r_folder", "r_next").agg(F.max("r_action").alias("r_action"))  # block before allow
+    rank = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_folder") + F.length("r_next"))
+    best = places.join(r, ["r_host", "r_folder", "r_next"]).groupBy("host", "path").agg(F.max_by(F.struct("r_action", F.concat("r_host", "r_folder", "r_next").alias("rule")), rank).alias("best"))
     return parts.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_action", F.lit(default)).alias("verdict")
     )
