@@ -10,7 +10,7 @@ likely of low quality or likely toxic.
 
 The classifiers are fitted on the driver on a bounded sample: at most ``max_labelled`` labelled documents
 and, for each view and target, ``max_unlabelled`` of the documents of which the other view is sure, those with the smallest
-hash. Every document of the table is scored, whole, in each round and at the end.
+hash. Every document of the table is scored, whole, in each round and at the end, from its tokens, which are made and stored once.
 
 Edge cases: null text and metadata are values like others; a null label is no label; a document that
 is labelled twice has its lower quality and its higher toxicity; labels without a document are not
@@ -32,7 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import Remembered, stored, text_batches
+from pyspark.sql.types import StructType
+
+from geolith.llm.common import Remembered, pieces, stored
 
 MAX_LABELLED = 6000
 MAX_UNLABELLED = 4000
@@ -153,10 +155,6 @@ class View:
     def logit(self, raw):
         return self.scale * raw + self.shift
 
-    def probabilities(self, sets: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(self._raw(sets)), -30, 30)))
-
-
 class CoTrained:
     """Two views of one target. ``taught`` holds, by view, the documents that the other view labels: order -> (label, tokens)."""
 
@@ -170,12 +168,10 @@ class CoTrained:
             more = [taught[k][i] for i in sorted(taught[k])]
             self.views[k] = View().fit(sets[k] + [s for _, s in more], np.append(y, [label for label, _ in more]))
 
-    def combined(self, raws: list[float]) -> float:
-        """The probability from both views' raw scores."""
-        if not self.seen:
-            return 1 / (1 + math.exp(-self.prior))
+    def combined(self, raws: list[np.ndarray]) -> np.ndarray:
+        """The probabilities from both views' raw scores."""
         logit = sum(view.logit(raw) for view, raw in zip(self.views, raws, strict=True)) - self.prior
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, logit))))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 SCORE_SCHEMA = "doc_id long, p_quality double, p_toxic double, score double, kept boolean"
@@ -183,28 +179,37 @@ _VIEW_SCHEMA = "id long, th long, content array<int>, metadata array<int>"
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """id, text, source, lang and n_chars under names of their own."""
-
-    text_batches(docs.sparkSession)
+    """id, text, source, lang, n_chars and a hash of them all, under names of their own."""
 
     def column(name: str, kind: str) -> Column:
-        return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind).alias(f"_view_{name}")
+        return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind)
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    columns = [F.col(f"`{id_col}`").cast("long"), text, column("source", "string"), column("lang", "string"), column("n_chars", "long")]
+    columns.append(F.xxhash64(*columns))
+    return [c.alias(f"_view_{n}") for c, n in zip(columns, ("id", "text", "source", "lang", "n_chars", "th"), strict=True)]
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_view_text")
-    return [F.col(f"`{id_col}`").cast("long").alias("_view_id"), text, column("source", "string"), column("lang", "string"), column("n_chars", "long")]
 
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The tokens of both views of every row, stored: id, th, content, metadata. ``carry`` puts the table's own columns before, as c0, c1 and so on."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    rows, n = docs.select(*own, *_inputs(docs, id_col, text_col)), len(own)
+    schema = StructType([*rows.schema.fields[:n], *StructType.fromDDL(_VIEW_SCHEMA).fields])
+    return stored(rows.mapInArrow(lambda batches: _views(batches, n), schema), "views")
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows id, text, source, lang, n_chars, th as the tokens of both views."""
+
+def _views(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of n columns to hand on, id, text, source, lang, n_chars, th, with the tokens of both views."""
     hashes = Remembered(_hash, 200_000)
-    for batch in batches:
+    kind = pa.list_(pa.int32())
+    for batch in pieces(batches, n + 1):
         content, metadata = [], []
-        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+        for t, *m in zip(*(batch.column(n + i).to_pylist() for i in range(1, 5)), strict=True):
             distinct, shape = content_tokens(t)
             content.append(np.array([hashes[x] for part in (distinct, shape) for x in part], np.uint32).view(np.int32))
             metadata.append(np.array([hashes[x] for x in metadata_tokens(t, *m)], np.uint32).view(np.int32))
-        cols = [batch.column(0), batch.column(5), pa.array(content, pa.list_(pa.int32())), pa.array(metadata, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "content", "metadata"])
+        cols = [*batch.columns[:n], batch.column(n), batch.column(n + 5), pa.array(content, kind), pa.array(metadata, kind)]
+        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "id", "th", "content", "metadata"])
 
 
 def _token_sets(lists: pa.ListArray) -> list[np.ndarray]:
@@ -293,15 +298,14 @@ def _teach(sets: DataFrame, known: DataFrame, models: dict[str, CoTrained], taug
             taught[t][k][places[place]] = (label, views[k][n])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, CoTrained]:
-    inputs = docs.select(*_inputs(docs, id_col, text_col))
-    inputs = inputs.withColumn("_view_th", F.xxhash64(*inputs.columns))
+def train(sets: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, id_col: str = "doc_id") -> dict[str, CoTrained]:
+    """Models of both targets from the tokens of all documents (``tokenized``) and the labels of some."""
+    sets = sets.select("id", "th", "content", "metadata")
     known = labels.select(F.col(id_col).cast("long").alias("pick"), F.col("quality").cast("double"), F.col("toxic").cast("double"))
     known = known.where("pick IS NOT NULL").groupBy("pick").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     first = known.orderBy(F.xxhash64("pick"), "pick").limit(max_labelled)
-    own = inputs.join(F.broadcast(first.select("pick")), F.col("_view_id") == F.col("pick"))
-    own = own.groupBy("pick").agg(F.min(F.struct("_view_th", *inputs.columns[1:5])).alias("row"))  # one row of each id
-    own = own.select("pick", *(f"row.{c}" for c in inputs.columns[1:5]), "row._view_th").mapInArrow(_views, _VIEW_SCHEMA)
+    own = sets.join(F.broadcast(first.select("pick")), F.col("id") == F.col("pick"))
+    own = own.groupBy("pick").agg(F.min(F.struct("th", "content", "metadata")).alias("row")).select(F.col("pick").alias("id"), "row.content", "row.metadata")  # one row of each id
     rows = own.join(F.broadcast(first), F.col("id") == F.col("pick")).drop("pick").toArrow().sort_by("id")  # at most max_labelled rows
     y = {t: rows.column(t).to_numpy(zero_copy_only=False).astype(float) for t in TARGETS}
     views = [_token_sets(rows.column(c).combine_chunks()) for c in ("content", "metadata")]
@@ -310,63 +314,44 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     models = {t: CoTrained(y[t][given[t]]) for t in TARGETS}
     taught: dict[str, list[dict]] = {t: [{}, {}] for t in TARGETS}
     learning = {t: m for t, m in models.items() if m.seen}
-    sets = None
     for left in reversed(range(rounds + 1)):
         for t, model in models.items():
             model.fit([[v[i] for i in given[t]] for v in views], y[t][given[t]], taught[t])
         if left and learning and max_unlabelled > 0:
-            if sets is None:  # the tokens of all documents, so that each round reads numbers instead of texts
-                sets = stored(inputs.mapInArrow(_views, _VIEW_SCHEMA), "views")
             _teach(sets, known, learning, taught, max_unlabelled, SURE)
     return models
 
 
-class Scorer:
-    """Scores texts with the trained models; a Python worker builds it once a task."""
-
-    def __init__(self, models: dict[str, CoTrained], min_quality: float, max_toxic: float):
-        self.models, self.min_quality, self.max_toxic = models, min_quality, max_toxic
-        tables = [[dict(zip(v.names.tolist(), v.weights.tolist(), strict=True)) for v in models[t].views] for t in TARGETS]
-        # the weights of a token for both targets, by view
-        self.weights = [Remembered(lambda token, k=k: tuple(tables[t][k].get(_hash(token), 0.0) for t in (0, 1)), 200_000) for k in (0, 1)]
-
-    def score(self, text: str, *metadata) -> tuple[float, float, float, bool]:
-        distinct, shape = content_tokens(text)
-        raws = []
-        for k, tokens in enumerate(([*distinct, *shape], metadata_tokens(text, *metadata))):
-            sums = map(math.fsum, zip(*map(self.weights[k].__getitem__, tokens), strict=True))
-            raws.append([self.models[t].views[k].bias + x for t, x in zip(TARGETS, sums, strict=True)])
-        q, x = (self.models[t].combined([r[i] for r in raws]) if self.models[t].seen else float(t == "quality") for i, t in enumerate(TARGETS))
-        return q, x, q * (1 - x), q >= self.min_quality and x <= self.max_toxic
-
-
-def _trained(docs: DataFrame, labels: DataFrame, **options):
-    return docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+def _scored(models: dict[str, CoTrained], content: pa.ListArray, metadata: pa.ListArray) -> list[np.ndarray]:
+    """The probabilities of quality and of toxicity. A target whose labels do not differ decides nothing."""
+    raws = [_Batches([models[t].views[k] for t in TARGETS]).raw(lists) for k, lists in enumerate((content, metadata))]
+    return [models[t].combined([r[i] for r in raws]) if models[t].seen else np.full(len(content), float(t == "quality")) for i, t in enumerate(TARGETS)]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: ``doc_id, p_quality, p_toxic, score, kept``. ``options`` are those of ``train``."""
-    models = _trained(docs, labels, id_col=id_col, text_col=text_col, **options)
+    sets = tokenized(docs, id_col, text_col)
+    models = docs.sparkSession.sparkContext.broadcast(train(sets, labels, id_col=id_col, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(models.value, min_quality, max_toxic)
         for batch in batches:
-            out = [scorer.score(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)]
-            cols = [pa.array([o[i] for o in out], pa.float64()) for i in range(3)] + [pa.array([o[3] for o in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "p_quality", "p_toxic", "score", "kept"])
+            q, x = _scored(models.value, batch.column(1), batch.column(2))
+            kept = (q >= min_quality) & (x <= max_toxic)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (q, x, q * (1 - x), kept))], names=["doc_id", "p_quality", "p_toxic", "score", "kept"])
 
-    return docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(run, SCORE_SCHEMA)
+    return sets.select("id", "content", "metadata").mapInArrow(run, SCORE_SCHEMA)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that are kept, with all their columns; each is judged where it stands, without a shuffle."""
-    models = _trained(docs, labels, id_col=id_col, text_col=text_col, **options)
+    """The rows that are kept, with all their columns, which are stored beside their tokens: each row is judged where it stands, without a shuffle."""
+    sets = tokenized(docs, id_col, text_col, carry=True)
+    models = docs.sparkSession.sparkContext.broadcast(train(sets, labels, id_col=id_col, **options))
     n, names = len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(models.value, min_quality, max_toxic)
         for batch in batches:
-            kept = [scorer.score(*x)[3] for x in zip(*(batch.column(n + i).to_pylist() for i in range(1, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pa.array(kept, pa.bool_()))
+            q, x = _scored(models.value, batch.column(n), batch.column(n + 1))
+            kept = pa.array((q >= min_quality) & (x <= max_toxic))
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(kept)
 
-    return docs.select("*", *_inputs(docs, id_col, text_col)).mapInArrow(run, docs.schema)
+    return sets.select(*(f"c{i}" for i in range(n)), "content", "metadata").mapInArrow(run, docs.schema)
