@@ -15,10 +15,13 @@ documents it does not fill get a later bound.
 1. Bands of ``ROWS`` components make buckets. Every member of a bucket is paired with its smallest id
    only, pairs far below the threshold by their signatures go unless a bucket holds just the two, the rest is verified exactly
    (sum of minima over sum of maxima of the shingle counts), and the components of the links are found.
-2. Buckets that still hold several components are read again, large ones in blocks: every document outside
-   the largest component is compared exactly with all others through the postings of its shingles, and
-   each link that joins two components is kept. So a link between two texts that share a bucket is either
-   found or joins documents that are in one class already, and no pairs within a class are listed.
+2. Buckets that still hold several components are read again. Only the documents outside a bucket's largest
+   component are compared, exactly, with all its others: they are dealt to chunks of bounded bytes, whose postings of
+   shingles meet the bucket's documents in slices of bounded bytes, one text at a time. Each link that joins
+   two components is kept. So a link between two texts that share a bucket is either found or joins
+   documents that are in one class already, and no pairs within a class are listed. A bucket costs its texts
+   once for each chunk and its outsiders once for each slice: in proportion to its size while what its
+   largest component leaves over fits a chunk; only a bucket of many texts that are all unlike grows with the square.
 
 Classes are connected components of links of at least ``threshold``; the class id is the smallest
 doc_id. Two texts at the threshold miss each other in all bands with probability 5e-8.
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import id_and_text, shuffle_partitions, stored
+from geolith.llm.common import id_and_text, pieces, shuffle_partitions, stored
 from geolith.llm.substring_dedup import _BASES, _mixed, _rolled, word_hashes
 
 SHINGLE = 5
@@ -48,8 +51,8 @@ BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 #: Standard deviations below the threshold at which a signature estimate rules a pair out.
 SLACK = 4.5
-#: Rows of a bucket that are compared with one another in one block.
-BLOCK = 2000
+#: Bytes of text of a bucket's outsiders whose postings a task holds, and of the documents that it compares with them.
+CHUNK_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
 _ELEMENTS = 400_000  # shingles whose points are made together
 _NO_ID = -(1 << 63)
 
@@ -119,11 +122,11 @@ def _earliest(owner: np.ndarray, found: np.ndarray, weight: np.ndarray, bound: n
     return best.reshape(len(bound), size)
 
 
-SIGNATURE_SCHEMA = "id long, k1 long, k2 long, sig binary"
+SIGNATURE_SCHEMA = "id long, k1 long, k2 long, size long, sig binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
         sigs, at = [], 0
@@ -135,7 +138,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs.append(bag_minhash(*shingles(texts[at:end]), end - at))
             at = end
         rows = [r.tobytes() for s in sigs for r in s]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rows, pa.binary())], names=["id", "k1", "k2", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(t) for t in texts], pa.int64()), pa.array(rows, pa.binary())], names=["id", "k1", "k2", "size", "sig"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def _verified(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             keep = []
             for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if last[0] != b:
@@ -195,62 +198,50 @@ class _Labels(dict):
         self[max(x, y)] = min(x, y)
 
 
-def _joining_links(ids: np.ndarray, comp: np.ndarray, part: np.ndarray, cross: bool, texts: list[str], threshold: float) -> list[tuple[int, int]]:
-    """Links of at least the threshold that join the components of one block, each join once.
+class _Chunk:
+    """The outsiders of one bucket that a task holds, by their shingles."""
 
-    Every document outside the largest component meets all others at once: the postings of its
-    shingles give the exact overlap with each of them.
-    """
-    names, sizes = np.unique(comp, return_counts=True)
-    if len(names) < 2:
-        return []
-    owner, found, count = shingles(texts)
-    total = np.bincount(owner, weights=count, minlength=len(ids))
-    order = np.argsort(found, kind="stable")
-    values, who, many = found[order], owner[order], count[order]
-    bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-    labels, links = _Labels(), []
-    for i in np.flatnonzero(comp != names[sizes.argmax()]).tolist():
-        mine = slice(bounds[i], bounds[i + 1])
-        lo, hi = np.searchsorted(values, found[mine]), np.searchsorted(values, found[mine], side="right")
+    def __init__(self, ids: list[int], comps: list[int], texts: list[str]):
+        self.ids, self.comp = np.array(ids, np.int64), np.array(comps, np.int64)
+        owner, found, count = shingles(texts)
+        self.total = np.bincount(owner, weights=count, minlength=len(ids))
+        order = np.argsort(found, kind="stable")
+        self.values, self.owner, self.count = found[order], owner[order], count[order]
+
+    def near(self, text: str, threshold: float) -> np.ndarray:
+        """Which of them reach the threshold with this text."""
+        _, found, count = shingles([text])
+        lo, hi = np.searchsorted(self.values, found), np.searchsorted(self.values, found, side="right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        shared = np.bincount(who[at], weights=np.minimum(many[at], np.repeat(count[mine], n)), minlength=len(ids))
-        near = shared >= threshold * (total[i] + total - shared) - 1e-9
-        near &= (part != part[i]) if cross else True
-        for j in np.flatnonzero(near & (comp != comp[i])).tolist():
-            x, y = int(comp[i]), int(comp[j])
-            if labels.of(x) != labels.of(y):
-                labels.join(x, y)
-                links.append((int(ids[i]), int(ids[j])))
-    return links
+        shared = np.bincount(self.owner[at], weights=np.minimum(self.count[at], np.repeat(count, n)), minlength=len(self.ids))
+        return shared >= threshold * (self.total + count.sum() - shared) - 1e-9
 
 
 def _block_links(threshold: float):
-    """Links between components in each (key, x, y) block. Rows in order of the block: key, x, y, part, id, comp, text."""
+    """Pairs of components that a link joins, each once a task. Rows in order of the block, outsiders first: key, chunk, slice, streamed, id, comp, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            key, x, y, part, ids, comp = (np.concatenate([h[i] for h in held]) for i in range(6))
-            texts = [t for h in held for t in h[6]]
-            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-            ends = np.concatenate([heads[1:], [len(key)]])
-            done = len(heads) if last else len(heads) - 1
-            links = []
-            for a, b in zip(heads[:done].tolist(), ends[:done].tolist(), strict=True):
-                links += _joining_links(ids[a:b], comp[a:b], part[a:b], bool(x[a] != y[a]), texts[a:b], threshold)
-            at = heads[-1]
-            held[:] = [] if last else [[*(c[at:] for c in (key, x, y, part, ids, comp)), texts[at:]]]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
+        block, labels, held, chunk = None, _Labels(), ([], [], []), None
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(6)] + [batch.column(6).to_pylist()])
-            yield from groups(False)
-        if held:
-            yield from groups(True)
+            joined = []
+            for key, x, y, streamed, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != (key, x, y):
+                    block, labels, held, chunk = (key, x, y), _Labels(), ([], [], []), None
+                if not streamed:
+                    for values, v in zip(held, (i, comp, text), strict=True):
+                        values.append(v)
+                    continue
+                chunk = chunk or _Chunk(*held)
+                if all(labels.of(c) == labels.of(comp) for c in {*held[1]}):
+                    continue  # nothing here can join two components any more
+                for j in np.flatnonzero(chunk.near(text, threshold) & (chunk.comp != comp)).tolist():
+                    other = held[1][j]
+                    if labels.of(comp) != labels.of(other):
+                        labels.join(comp, other)
+                        joined.append((comp, other))
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in joined], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -278,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     parts = shuffle_partitions(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     sigs = texts.mapInArrow(_signatures, SIGNATURE_SCHEMA)
-    sigs = sigs.groupBy("id").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("id", "s.*")
+    sigs = sigs.groupBy("id").agg(F.min(F.struct("k1", "k2", "size", "sig")).alias("s")).select("id", "s.*")
     sigs = stored(sigs, "signatures")
     # firsts and shared are tables of their own, so that Spark can split the rows of a hot key in the joins
     firsts = stored(sigs.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "firsts")
@@ -306,18 +297,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     links = stored(verified(stars), "links")
 
     first = components(links)
-    placed = bucketed.where("n > 2").join(first, F.col("id") == F.col("node"), "left")
-    placed = stored(placed.select("key", "id", "n", F.coalesce("c", "id").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    again = placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    again = again.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    again = again.join(text_of.select(F.col("id").alias("i"), "text"), F.col("id") == F.col("i"))
-    again = again.select("key", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "id", "comp", "text")
-    again = again.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = again.mapInArrow(_block_links(threshold), "a long, b long")
-
-    classes = components(links.union(more))
+    size_of = sig_of.select(F.col("id").alias("sized"), "size")
+    placed = bucketed.where("n > 2").join(first, F.col("id") == F.col("node"), "left").join(size_of, F.col("id") == F.col("sized"))
+    placed = stored(placed.select("key", "id", "size", F.coalesce("c", "id").alias("comp")), "placed")
+    by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    mixed = by_comp.groupBy("key").agg(F.max_by(F.struct("comp", "bytes"), F.struct("n", "comp")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps")).where("comps > 1")
+    chunks, slices = (F.ceil((b + 1) / F.lit(most)).cast("int") for b, most in ((F.col("bytes") - F.col("main.bytes"), CHUNK_BYTES), (F.col("bytes"), SLICE_BYTES)))
+    mixed = stored(mixed.select("key", F.col("main.comp").alias("main"), chunks.alias("chunks"), slices.alias("slices")), "mixed")
+    again = placed.join(mixed, "key")
+
+    def dealt(n: str):
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = again.where("comp <> main").select("key", dealt("chunks").alias("x"), each("slices").alias("y"), F.lit(False).alias("streamed"), "id", "comp")
+    streamed = again.select("key", each("chunks").alias("x"), dealt("slices").alias("y"), F.lit(True).alias("streamed"), "id", "comp")
+    again = held.union(streamed).join(text_of.select(F.col("id").alias("i"), "text"), F.col("id") == F.col("i")).drop("i")
+    again = again.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "streamed", "id")
+    more = stored(again.mapInArrow(_block_links(threshold), "a long, b long").distinct(), "joins")
+
+    # the second links are between first components, so they are few and their components name what those become
+    second = components(more)
+    classes = first.join(second.toDF("from", "to"), F.col("c") == F.col("from"), "left").select("node", F.coalesce("to", "c").alias("c"))
+    alone = second.join(first.select("node").withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left_anti")  # components of one document
+    classes = classes.unionByName(alone)
     out = members.join(classes, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("c", "rep").alias("class"))
     named = {c: F.when(F.col(v) != _NO_ID, F.col(v)) for c, v in (("doc_id", "id"), ("class_id", "class"))}
     return out.select(named["doc_id"].alias("doc_id"), named["class_id"].alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
@@ -325,7 +330,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows id, text, want, k1: those whose text has the digest of the row that stands for the document."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts, keys = batch.column(1).to_pylist(), batch.column(3).to_pylist()
         own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8")[::2].tolist()
         mask = pa.array([a == b for a, b in zip(own, keys, strict=True)], pa.bool_())
