@@ -91,7 +91,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, k FROM (
                 SELECT doc_id, k, row_number() OVER (PARTITION BY two ORDER BY doc_id, k) AS occurrence FROM run WHERE two IS NOT NULL)
             WHERE occurrence > 1),
-        gone AS (SELECT doc_id, k FROM copies UNION SELECT doc_id, k + 1 FROM copies)
+        single AS (
+            SELECT doc_id, k FROM (
+                SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS occurrence FROM n
+                WHERE is_full AND len(list_filter(string_split(line, ' '), lambda w: w <> '')) >= 5)
+            WHERE occurrence > 1),
+        gone AS (SELECT doc_id, k FROM copies UNION SELECT doc_id, k + 1 FROM copies UNION SELECT doc_id, k FROM single)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN (
             SELECT n.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed,
@@ -124,11 +129,12 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
     "op6_url_filter": r"""
-        WITH p AS (
-            SELECT page_id,
-                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path
-            FROM pages),
+        WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        cut AS (SELECT page_id, rest, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS raw_host FROM rests),
+        p AS (
+            SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   split_part(split_part(substr(rest, length(raw_host) + 1), '?', 1), '#', 1) AS path
+            FROM cut),
         rules(action, r_host, r_path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
             ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         best AS (

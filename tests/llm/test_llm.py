@@ -122,8 +122,8 @@ def test_fingerprints_of_awkward_texts(awkward, empty):
 # --- 2 ---
 
 
-def brute_lines(rows, k):
-    """Kept text of each (doc_id, text), by windows of k lines that are not blank."""
+def brute_lines(rows, k, min_words=None):
+    """Kept text of each (doc_id, text), by windows of k lines that are not blank, and by single lines of ``min_words`` words."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         lines = t.split("\n")
@@ -134,6 +134,12 @@ def brute_lines(rows, k):
             if w in seen:
                 gone.update(range(p, p + k))
             seen.add(w)
+        for p in range(len(full)):
+            line = lines[full[p]]
+            if min_words and len([x for x in line.split(" ") if x]) >= min_words:
+                if ("single", line) in seen:
+                    gone.add(p)
+                seen.add(("single", line))
         place, kept = -1, []
         for n, x in enumerate(lines):
             place += n in full
@@ -152,36 +158,69 @@ def test_line_dedup_equals_brute_force(spark, k):
     assert {r.doc_id: r.text for r in got} == brute_lines(rows, k)
 
 
-def test_suffix_array_orders_whole_suffixes(spark):
+def test_line_dedup_of_single_lines_with_enough_words(spark):
+    rnd = random.Random(3)
+    pool = ["a b c d e", "a  b c d e ", "one two", "x", "", " ", "f g h i j k", "l m n o"]
+    rows = [(i, "\n".join(rnd.choice([*pool, *(f"own {i} {k}" for k in range(8))]) for _ in range(rnd.randrange(0, 12)))) for i in range(60)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows, 2, 5)
+
+
+def test_suffix_array_and_common_prefixes(spark):
     rnd = random.Random(12)
     rows = [(i, "\n".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 25)))) for i in range(25)]
-    rows += [(100, rows[0][1]), (101, "only here")]
-    got = line_dedup.suffix_array(spark.createDataFrame(rows, DOCS)).collect()
+    long = [rnd.choice("abcdefghij") for _ in range(90)]
+    rows += [(100, rows[0][1]), (101, "only here"), (200, "\n".join(long)), (201, "\n".join(long[3:])), (202, "\n".join([*long[:50], "unique", *long[51:]])), (203, "\n".join([*long[:70], "a", *long[71:]]))]
+    got = line_dedup.suffix_array(spark.createDataFrame(rows, DOCS)).orderBy("part", "at").collect()
     texts = {i: t.split("\n") for i, t in rows}
-    suffixes = {(r.id, r.pos): tuple(texts[r.id][r.pos :]) for r in got}
-    assert len(got) == sum(map(len, texts.values())) - 1  # all lines but the one that occurs once
-    by_rank = {}
+    ends = {i: [next((k for k in range(p, len(t)) if t[k] in ("only here", "unique")), len(t)) for p in range(len(t))] for i, t in texts.items()}
+    suffixes = [tuple(texts[r.id][r.pos : ends[r.id][r.pos]]) for r in got]
+    assert len(got) == sum(map(len, texts.values())) - 2  # all lines but those that occur once
+    assert all((a.rank == b.rank) == (s == t) and a.rank <= b.rank for a, b, s, t in zip(got, got[1:], suffixes, suffixes[1:], strict=False))
+    line = {}
     for r in got:
-        by_rank.setdefault(r.rank, set()).add(suffixes[(r.id, r.pos)])
-    assert all(len(s) == 1 for s in by_rank.values()) and len(by_rank) == len(set(suffixes.values()))
-    names = [s.pop() for _, s in sorted(by_rank.items())]
-    for depth in (1, 2, 3):  # equal beginnings stand together
-        heads = [x[:depth] for x in names]
-        assert len({*heads}) == 1 + sum(a != b for a, b in zip(heads, heads[1:], strict=False))
+        line[r.line] = texts[r.id][r.pos]
+    order = {v: k for k, v in line.items()}
+    keys = [[order[x] for x in s] for s in suffixes]
+    assert keys == sorted(keys)
+
+    def shared(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    assert [r.lcp for r in got] == [0] + [shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+
+
+def brute_runs(rows, k):
+    """Maximal stretches of lines under windows of k lines that stand earlier."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        full = [x for x in t.split("\n") if x.strip(" ")]
+        gone = [False] * len(full)
+        for p in range(len(full) - k + 1):
+            w = tuple(full[p : p + k])
+            if w in seen:
+                gone[p : p + k] = [True] * k
+            seen.add(w)
+        begin = [p for p in range(len(full)) if gone[p] and not (p and gone[p - 1])]
+        out += [(i, p, next((q for q in range(p, len(full)) if not gone[q]), len(full)) - p) for p in begin]
+    return sorted(out)
 
 
-def test_repeated_runs_are_maximal(spark):
+def test_repeated_runs_are_maximal(spark, docs, texts):
     rows = [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nc\ny\nd\ne"), (3, "b\nc")]
-    got = line_dedup.repeated_runs(spark.createDataFrame(rows, DOCS), 2).collect()
+    got = line_dedup.repeated_runs(spark.createDataFrame(rows, DOCS), 2, None).collect()
     assert sorted((r.id, r.start, r.n_lines) for r in got) == [(2, 1, 3), (2, 5, 2), (3, 0, 2)]
+    got = line_dedup.repeated_runs(docs, 2, None).collect()
+    assert sorted((r.id, r.start, r.n_lines) for r in got) == brute_runs(texts.items(), 2)
 
 
 def test_line_dedup_of_awkward_texts(awkward, empty):
+    awkward = awkward.withColumns({c: F.lit("x") for c in ("k1", "segment", "lcp", "line", "wordy", "_later_id")})
     out = line_dedup.remove_repeated_lines(awkward)
     assert out.columns == awkward.columns and out.count() == len(AWKWARD)
     assert [r.text for r in out.where("doc_id = 4").collect()] == ["one two three"] * 2
     assert out.where("doc_id = 1").first().text is None
-    assert line_dedup.remove_repeated_lines(empty).count() == 0
+    assert line_dedup.remove_repeated_lines(empty).count() == 0 and line_dedup.repeated_runs(empty).count() == 0
     assert line_dedup.digest_lines(awkward).where("doc_id = 7").first().n_lines == 4
 
 
@@ -225,14 +264,15 @@ def test_token_output_of_awkward_texts(spark, awkward, empty, tmp_path):
 # --- 4 ---
 
 
-@pytest.mark.parametrize("block_chars", [decontaminate.MAX_BLOCK_CHARS, 50])
-def test_decontamination_in_blocks(spark, block_chars):
+@pytest.mark.parametrize("block_words", [decontaminate.MAX_BLOCK_WORDS, 5])
+def test_decontamination_in_blocks(spark, block_words):
     rnd = random.Random(9)
     word = lambda: rnd.choice(["Ab", "cd", "é", "中", "9"])
     items = [(i, " ".join(word() for _ in range(rnd.choice([0, 3, 14, 20])))) for i in range(20)] + [(99, None), (None, "Ab cd Ab cd")]
     rows = [(i, " - ".join([items[i % 20][1], *(word() for _ in range(rnd.randrange(30)))])) for i in range(40)] + AWKWARD
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.scan(spark.createDataFrame(rows, DOCS), bench, max_block_chars=block_chars).collect()
+    table = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("h1", "_h1", "n_words")})
+    got = decontaminate.scan(table, bench, max_block_words=block_words).collect()
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     want = []
     for i, t in rows:
@@ -246,6 +286,8 @@ def test_decontamination_in_blocks(spark, block_chars):
             names += [name] * bool(at)
         want.append((i, len(w), len(hit), len(names), sha(",".join(sorted(str(x) for x in names if x is not None))), bool(hit) and 20 * len(hit) >= len(w)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    left = decontaminate.filter_documents(table, bench, max_block_words=block_words)
+    assert left.columns == table.columns and sorted(repr(r.doc_id) for r in left.collect()) == sorted(repr(w[0]) for w in want if not w[-1])
 
 
 def test_decontamination_spans_and_filter(spark, awkward, empty):
@@ -280,10 +322,34 @@ def test_quality_without_labels_and_awkward(spark, awkward, empty):
     assert quality.score_documents(empty, labels).count() == 0
 
 
+def test_quality_scores_combine_calibrated_views(spark, docs, awkward):
+    """The combination by hand, from the fitted weights, for the given documents and for awkward rows beside them."""
+    labels = read_table(spark, SF, "labels")
+    both = docs.select("doc_id", "text", "source", "lang", "n_chars").unionByName(awkward.select("doc_id", "text", "source", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_chars")))
+    models = quality.train(quality.tokenized(both), labels)
+    got = Counter((r.doc_id, *(round(v, 9) for v in (r.p_quality, r.p_toxic, r.score)), r.kept) for r in quality.score_documents(both, labels).collect())
+    want = Counter()
+    for r in both.collect():
+        text, p = r.text or "", []
+        distinct, shape = quality.content_tokens(text)
+        tokens = ([*distinct, *shape], quality.metadata_tokens(text, r.source, r.lang, r.n_chars))
+        for t in quality.TARGETS:
+            logit = -models[t].prior
+            for view, own in zip(models[t].views, tokens, strict=True):
+                weights = dict(zip(view.names.tolist(), view.weights.tolist(), strict=True))
+                logit += view.scale * (view.bias + sum(weights.get(quality._hash(x), 0.0) for x in own)) + view.shift
+            p.append(1 / (1 + np.exp(-min(30, max(-30, logit)))))
+        want[(r.doc_id, *(round(float(v), 9) for v in (p[0], p[1], p[0] * (1 - p[1]))), bool(p[0] >= 0.5 and p[1] <= 0.5))] += 1
+    assert got == want
+    kept = quality.filter_documents(both.withColumnRenamed("lang", "c0").withColumn("th", F.lit(1)), labels)
+    assert kept.columns == ["doc_id", "text", "source", "c0", "n_chars", "th"] and kept.count() > 0
+    assert sum(r.kept for r in quality.score_documents(both, labels).collect()) == quality.filter_documents(both, labels).count()
+
+
 def test_quality_fits_one_row_of_each_labelled_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], DOCS)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    assert quality.train(docs, labels)["quality"].prior == 0.0  # one of each, not 50 to one
+    assert quality.train(quality.tokenized(docs), labels)["quality"].prior == 0.0  # one of each, not 50 to one
 
 
 def test_quality_views_teach_from_all_documents(spark):
@@ -293,7 +359,7 @@ def test_quality_views_teach_from_all_documents(spark):
     rows += [(9000 + i, word(True), "rare") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
-    metadata = quality.train(docs, labels, max_unlabelled=60)["quality"].views[1]
+    metadata = quality.train(quality.tokenized(docs), labels, max_unlabelled=60)["quality"].views[1]
     assert quality._hash("source=rare") in metadata.names and metadata.weights[metadata.names == quality._hash("source=rare")] > 0
 
 
@@ -419,9 +485,10 @@ def brute_classes(rows, threshold=0.8):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("some", [1 << 20, 5000])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, some):
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", some)
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 2 * some)
     rnd, rows = random.Random(8), []
     for g in range(6):  # groups whose copies are edited more and more
         base = [f"w{g}x{rnd.randrange(500)}" for _ in range(200)]
@@ -494,7 +561,7 @@ def test_pipeline_stages(spark, docs, texts):
         after = rows_of(out, "doc_id")
         assert set(after) <= set(before)
         if name == "lines":
-            want = brute_lines([(i, r.text) for i, r in before.items()], line_dedup.MIN_LINES)
+            want = brute_lines([(i, r.text) for i, r in before.items()], line_dedup.MIN_LINES, line_dedup.MIN_WORDS)
             assert {i: r.text for i, r in after.items()} == want and all(r.n_chars == len(r.text) for r in after.values())
         else:
             assert all(after[i] == before[i] for i in after)
