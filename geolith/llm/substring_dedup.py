@@ -7,19 +7,21 @@ of them, read three times) do the parse:
 1. *Index.* Of every ``window`` of words the smallest hash of its ``ANCHOR``-word sequences is its
    anchor, so equal windows have equal anchors. Each block hands in its distinct anchors; those that
    occur twice anywhere go back to the documents that hold them.
-2. *Match.* Windows at known anchors are hashed whole (96 bits). Inside a block all but the first of
-   equal windows are matches at once; the first of each block meets the other blocks' firsts, and all
-   but the earliest are matches. A frequent window so costs one row per block, however often it occurs.
-3. *Factors.* A document is parsed greedily: a factor starts at a matching window and goes on for as
-   long as the next window matches too, whichever block it matches in. Every window is tested, also
-   those across the place where one source ends and the next begins, so factor boundaries hide
-   nothing. Factors have at least ``window`` words; they are the duplicate spans.
+2. *Sources.* Windows at known anchors are hashed whole (96 bits) and indexed by position: inside a block all but the
+   first of equal windows point to the first at once; the first of each block meets the other blocks'
+   firsts, and all but the earliest point to that. A frequent window so costs one row per block, however often it occurs.
+3. *Factors.* A document is parsed greedily from the left: a factor (start, length, source document, source start) begins
+   at the first window that has a source and goes on for as long as the next window's source is the next one
+   of the same document. Where the source changes, the next factor begins at the first window that the last one
+   does not hold, so the two overlap: every window across the joint is tested, and joints hide nothing. Factors
+   have at least ``window`` words; they are the duplicate spans.
 
 The earliest occurrence is the one with the smaller doc_id, or in the same document the earlier start.
 
 Edge cases: a null text has no words; a text shorter than a window keeps all its words; texts of any
-length are parsed whole; rows that share a doc_id are parts of one document, in order of their text;
-a null doc_id comes first; an empty table gives an empty result; other columns are not looked at.
+length are parsed whole; rows that share a doc_id (or have none; those come first) are documents of their own, in order of a
+hash of their text, and repeated rows among them follow one another as one document; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import id_and_text, shuffle_partitions
+from geolith.llm.common import id_and_text, pieces, shuffle_partitions
 
 WINDOW = 20
 ANCHOR = 8
@@ -96,7 +99,7 @@ def _rolled(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     while have * 2 <= size:
         left = powers[have]
         powers[have * 2] = left[:-have] * factors[have] + left[have:]
-        factors[have * 2] = factors[have] * factors[have]
+        factors[have * 2] = np.uint64(pow(int(factors[have]), 2, 1 << 64))
         have *= 2
     out, length = powers[have], have
     for part in sorted((p for p in powers if p != have), reverse=True):
@@ -122,8 +125,11 @@ def _least(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return smaller(size - have, len(x) - (size - have)) if have < size else (x, at)
 
 
+Doc = tuple[int, int]  # id, and hash of the text: one document, in this order
+
+
 class _Block:
-    """Texts of one partition in ascending id order, gathered up to BLOCK_WORDS words."""
+    """Texts of one partition in ascending order of their documents, gathered up to BLOCK_WORDS words."""
 
     def __init__(self, window: int):
         self.window, self.last, self.offset = window, None, 0
@@ -131,32 +137,32 @@ class _Block:
 
     def clear(self) -> None:
         self.hashes: list[np.ndarray] = []
-        self.ids: list[int] = []
+        self.docs: list[Doc] = []
         self.offsets: list[int] = []
         self.words = 0
 
-    def skip(self, doc: int, n: int) -> int:
+    def skip(self, doc: Doc, n: int) -> int:
         """The place of a row of n words in its document."""
         at = self.offset if doc == self.last else 0
         self.last, self.offset = doc, at + n
         return at
 
-    def add(self, doc: int, hashes: np.ndarray) -> None:
+    def add(self, doc: Doc, hashes: np.ndarray) -> None:
         at = self.skip(doc, len(hashes))
         if len(hashes) >= self.window:
             self.hashes.append(hashes)
-            self.ids.append(doc)
+            self.docs.append(doc)
             self.offsets.append(at)
             self.words += len(hashes)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All word hashes; of each window its first word's place there, its row, and its start in the document."""
+        """All word hashes; of each window its first word's place there, its document (id, hash), and its start in the document."""
         counts = np.array([len(h) for h in self.hashes], np.int64)
         inside = counts - self.window + 1
         rows = np.repeat(np.arange(len(counts)), inside)
         within = np.arange(len(rows)) - np.repeat(np.cumsum(inside) - inside, inside)
         firsts = np.repeat(np.cumsum(counts) - counts, inside) + within
-        return np.concatenate(self.hashes), firsts, rows, within + np.array(self.offsets, np.int64)[rows]
+        return np.concatenate(self.hashes), firsts, np.array(self.docs, np.int64)[rows], within + np.array(self.offsets, np.int64)[rows]
 
 
 def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,36 +175,50 @@ def _batch(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
 
 
-ANCHOR_SCHEMA = "value long, doc long, kind byte"
+ANCHOR_SCHEMA = "value long, doc long, th long, kind byte"
 #: Once in its block; more than once, for the meeting by value; more than once, for its document only.
 _ONCE, _OFTEN, _KNOWN = 0, 1, 2
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    changed = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    return np.concatenate([np.ones(min(1, len(columns[0])), bool), changed])
+
+
 def _anchor_rows(block: _Block) -> pa.RecordBatch:
-    hashes, firsts, rows, _ = block.windows()
+    hashes, firsts, docs, _ = block.windows()
     values, places = (x[firsts] for x in _anchors(hashes, block.window))
-    change = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-    values, docs = values[change], np.array(block.ids, np.int64)[rows[change]]
-    order = np.lexsort((docs, values))
+    change = _starts(places)
+    values, docs = values[change], docs[change]
+    order = np.lexsort((docs[:, 1], docs[:, 0], values))
     values, docs = values[order], docs[order]
-    fresh = np.concatenate([[True], values[1:] != values[:-1]])
+    fresh = _starts(values)
     group = np.cumsum(fresh) - 1
-    heads = np.flatnonzero(fresh)
-    often = np.diff(np.concatenate([heads, [len(values)]])) > 1
-    first_of_doc = np.concatenate([[True], (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])])
+    often = np.diff(np.concatenate([np.flatnonzero(fresh), [len(values)]])) > 1
+    first_of_doc = _starts(values, docs[:, 0], docs[:, 1])
     kind = np.where(fresh, np.where(often[group], _OFTEN, _ONCE), _KNOWN).astype(np.int8)
-    return _batch(ANCHOR_SCHEMA, values[first_of_doc].view(np.int64), docs[first_of_doc], kind[first_of_doc])
+    return _batch(ANCHOR_SCHEMA, values[first_of_doc].view(np.int64), docs[first_of_doc, 0], docs[first_of_doc, 1], kind[first_of_doc])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id, hash), text, and the third column's value of rows id, th, text, ..."""
+    for batch in pieces(batches, 2):
+        more = batch.column(3) if batch.num_columns > 3 else [None] * len(batch)
+        for i, th, text, x in zip(*(batch.column(k).to_pylist() for k in range(3)), more, strict=True):
+            yield (i, th), text, x
 
 
 def _index(window: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(window)
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.add(doc, word_hashes(text.encode()))
-                if block.words >= block_words:
-                    yield _anchor_rows(block)
-                    block.clear()
+        for doc, text, _ in _texts(batches):
+            block.add(doc, word_hashes(text.encode()))
+            if block.words >= block_words:
+                yield _anchor_rows(block)
+                block.clear()
         if block.words:
             yield _anchor_rows(block)
 
@@ -206,144 +226,164 @@ def _index(window: int, block_words: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray] | None:
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:n]] for b in batches]
     return [np.concatenate([p[i] for p in parts]) for i in range(n)] if parts else None
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc, value`` of the anchors that occur more than once."""
-    if (cols := _gathered(batches, 3)) is None:
+    """``doc, th, value`` of the anchors that occur more than once."""
+    if (cols := _gathered(batches, 4)) is None:
         return
-    values, docs, kind = cols
+    values, docs, ths, kind = cols
     known = kind == _KNOWN
-    v, d, k = values[~known], docs[~known], kind[~known]
-    unique, place = np.unique(v, return_inverse=True)
-    twice = np.bincount(place, weights=1 + (k == _OFTEN), minlength=len(unique)) > 1
-    keep = twice[place] if len(v) else np.zeros(0, bool)
-    yield _batch("doc long, value long", np.concatenate([docs[known], d[keep]]), np.concatenate([values[known], v[keep]]))
+    unique, place = np.unique(values[~known], return_inverse=True)
+    twice = np.bincount(place, weights=1 + (kind[~known] == _OFTEN), minlength=len(unique)) > 1
+    keep = known.copy()
+    keep[~known] = twice[place]
+    yield _batch("doc long, th long, value long", docs[keep], ths[keep], values[keep])
+
+
+#: A window, or (``runs``) the packed copies that a block has found for the documents of part ``hash``.
+WINDOW_SCHEMA = "hash long, more int, doc long, th long, start long, runs binary"
+#: Columns of a packed factor: document, its start and number of windows, source document and start there.
+_FACTOR = 7
+_BYTES = zstandard.ZstdCompressor(level=1)
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows of whole numbers as differences from row to row, column by column."""
+    return _BYTES.compress(np.diff(rows, axis=0, prepend=np.zeros((1, rows.shape[1]), np.int64)).T.astype("<i8").tobytes())
+
+
+def _unpacked(data: bytes, columns: int = _FACTOR) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<i8").reshape(columns, -1), axis=1).T
+
+
+def _factors(rows: np.ndarray) -> np.ndarray:
+    """Runs in order of document and start, joined where both sides go on: greedy factors."""
+    doc, th, start, n, s_doc, s_th, s_start = rows.T
+    goes_on = ~_starts(doc, th)
+    for x, y in ((start, start + n), (s_start, s_start + n), (s_doc, s_doc), (s_th, s_th)):
+        goes_on[1:] &= x[1:] == y[:-1]
+    heads = np.flatnonzero(~goes_on)
+    out = rows[heads].copy()
+    out[:, 3] = np.add.reduceat(n, heads) if len(heads) else n
+    return out
 
 
-WINDOW_SCHEMA = "hash long, more int, doc long, start long, run long"
+def _by_part(rows: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """The rows, packed for each part of the documents."""
+    part = (_mixed(rows[:, 0].view(np.uint64) ^ _mixed(rows[:, 1].view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0], part))
+    rows, part = rows[order], part[order]
+    heads = np.flatnonzero(_starts(part))
+    for p, own in zip(part[heads].tolist(), np.split(rows, heads[1:]), strict=True):
+        yield p, _packed(_factors(own))
 
 
-def _window_rows(block: _Block, known: list[np.ndarray]) -> pa.RecordBatch | None:
-    hashes, firsts, rows, starts = block.windows()
+def _window_rows(block: _Block, known: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    hashes, firsts, docs, starts = block.windows()
     at = np.isin(_anchors(hashes, block.window)[0][firsts], np.unique(np.concatenate(known)).view(np.uint64))
-    firsts, rows, starts = firsts[at], rows[at], starts[at]
+    firsts, docs, starts = firsts[at], docs[at], starts[at]
     if not len(firsts):
-        return None
-    docs = np.array(block.ids, np.int64)[rows]
+        return
     full = _rolled(hashes, block.window, _BASES[1])[firsts]
     more = (_rolled(hashes, block.window, _BASES[2])[firsts] >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((more, full))  # stable, and the block's windows are in order of document and start
-    head = np.concatenate([[True], (full[order][1:] != full[order][:-1]) | (more[order][1:] != more[order][:-1])])
-    copy = np.zeros(len(full), bool)
-    copy[order[~head]] = True
-    d, s = docs[copy], starts[copy]
-    edge = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)]) if len(d) else np.zeros(0, bool)
-    heads = np.flatnonzero(edge)
-    runs = np.diff(np.concatenate([heads, [len(d)]])) if len(d) else np.zeros(0, np.int64)
-    zeros = np.zeros(len(heads), np.int64)
-    return _batch(
-        WINDOW_SCHEMA,
-        np.concatenate([full[~copy].view(np.int64), zeros]),
-        np.concatenate([more[~copy].view(np.int32), zeros.astype(np.int32)]),
-        np.concatenate([docs[~copy], d[heads]]),
-        np.concatenate([starts[~copy], s[heads]]),
-        np.concatenate([np.zeros(int((~copy).sum()), np.int64), runs]),
-    )
-
-
-def _match(window: int, block_words: int):
+    head = _starts(full[order], more[order])
+    source = np.empty(len(full), np.int64)
+    source[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    copy = np.flatnonzero(source != np.arange(len(full)))
+    own = np.flatnonzero(source == np.arange(len(full)))
+    yield _batch(WINDOW_SCHEMA, full[own].view(np.int64), more[own].view(np.int32), docs[own, 0], docs[own, 1], starts[own], pa.nulls(len(own), pa.binary()))
+    if len(copy):
+        found = np.column_stack([docs[copy], starts[copy], np.ones(len(copy), np.int64), docs[source[copy]], starts[source[copy]]])
+        sent = [*_by_part(found, parts)]
+        zeros = np.zeros(len(sent), np.int64)
+        yield _batch(WINDOW_SCHEMA, np.array([p for p, _ in sent], np.int64), zeros.astype(np.int32), zeros, zeros, zeros, pa.array([x for _, x in sent], pa.binary()))
+
+
+def _match(window: int, block_words: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known = _Block(window), []
-        for batch in batches:
-            for doc, text, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if not values.is_valid:
-                    block.skip(doc, len(text.encode().split()))
-                    continue
-                block.add(doc, word_hashes(text.encode()))
-                known.append(values.values.to_numpy())
-                if block.words >= block_words:
-                    if (rows := _window_rows(block, known)) is not None:
-                        yield rows
-                    block.clear()
-                    known.clear()
-        if block.words and (rows := _window_rows(block, known)) is not None:
-            yield rows
+        for doc, text, values in _texts(batches):
+            if not values.is_valid:
+                block.skip(doc, len(text.encode().split()))
+                continue
+            block.add(doc, word_hashes(text.encode()))
+            known.append(values.values.to_numpy())
+            if block.words >= block_words:
+                yield from _window_rows(block, known, parts)
+                block.clear()
+                known.clear()
+        if block.words:
+            yield from _window_rows(block, known, parts)
 
     return run
 
 
-def _dealt(docs: np.ndarray, parts: int) -> np.ndarray:
-    """A part for each document, the same in every task."""
-    return (_mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-
-
-def _matches(parts: int):
-    """``part, found``: matching windows as packed (document, start, number of windows in a row), one row for each part of the documents."""
+def _sources(parts: int):
+    """``part, found``: what has a source, packed, one row for each part of the documents and each packed run that came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (cols := _gathered(batches, 5)) is None:
-            return
-        full, more, docs, starts, run = cols
-        order = np.lexsort((starts, docs, more, full))
-        order = order[run[order] == 0]
-        same = (full[order][1:] == full[order][:-1]) & (more[order][1:] == more[order][:-1])
-        at = np.concatenate([order[1:][same], np.flatnonzero(run > 0)])
-        if not len(at):
+        held = []
+        for batch in batches:
+            packed = batch.filter(batch.column(5).is_valid())
+            if len(packed):
+                yield pa.RecordBatch.from_arrays([packed.column(0).cast(pa.int32()), packed.column(5)], names=["part", "found"])
+            held.append(batch.filter(batch.column(5).is_null()))
+        if (cols := _gathered(held, 5)) is None:
             return
-        part = _dealt(docs[at], parts)
-        at = at[np.lexsort((starts[at], docs[at], part))]
-        part = np.sort(part)
-        found = np.stack([docs[at], starts[at], np.maximum(run[at], 1)], 1).astype("<i8")
-        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        packed = [p.tobytes() for p in np.split(found, heads[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(packed, pa.binary())], names=["part", "found"])
+        full, more, doc, th, start = cols
+        order = np.lexsort((start, th, doc, more, full))
+        head = _starts(full[order], more[order])
+        source = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        later, source = order[~head], source[~head]
+        if len(later):
+            found = np.column_stack([doc[later], th[later], start[later], np.ones(len(later), np.int64), doc[source], th[source], start[source]])
+            sent = [*_by_part(found, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], names=["part", "found"])
 
     return run
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc, runs``: all matches of each document of the parts that this task got, one row a document."""
-    found = [np.frombuffer(x, "<i8").reshape(-1, 3) for b in batches for x in b.column(1).to_pylist()]
-    if not found:
-        return
-    rows = np.concatenate(found)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    docs = rows[:, 0]
-    heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-    packed = [p.tobytes() for p in np.split(np.ascontiguousarray(rows[:, 1:]), heads[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.array(packed, pa.binary())], names=["doc", "runs"])
-
-
-def _factors_of(n: int, offset: int, window: int, runs: bytes | None) -> list[tuple[int, int]]:
-    """Greedy factors [start, end) in words of a row that starts at ``offset`` of its document."""
-    if not runs or n < window:
+    """``doc, th, factors``: all factors of each document of the parts that this task got, one row a document."""
+    by_part: dict[int, list[bytes]] = {}
+    for b in batches:
+        for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by_part.setdefault(p, []).append(x)
+    for packed in by_part.values():
+        rows = np.concatenate([_unpacked(x) for x in packed])
+        rows = _factors(rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))])
+        heads = np.flatnonzero(_starts(rows[:, 0], rows[:, 1]))
+        out = [_packed(p) for p in np.split(np.ascontiguousarray(rows[:, 2:]), heads[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[heads, 0]), pa.array(rows[heads, 1]), pa.array(out, pa.binary())], names=["doc", "dth", "factors"])
+
+
+def _factors_of(n: int, offset: int, window: int, factors: bytes | None) -> list[tuple[int, int, int, int]]:
+    """(start, end, source id, source start) in words of a row of n words that starts at ``offset`` of its document."""
+    if not factors or n < window:
         return []
-    pairs = np.frombuffer(runs, "<i8").reshape(-1, 2)
-    pairs = pairs[(pairs[:, 0] >= offset) & (pairs[:, 0] < offset + n)]
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, pairs[:, 0] - offset, 1)
-    np.add.at(edges, pairs[:, 0] - offset + pairs[:, 1], -1)
-    matching = np.concatenate([[False], np.cumsum(edges)[:-1] > 0, [False]])
-    turn = np.flatnonzero(matching[1:] != matching[:-1])
-    return [(int(a), int(b) + window - 1) for a, b in zip(turn[::2], turn[1::2], strict=True)]
+    start, count, s_doc, _, s_start = _unpacked(factors, _FACTOR - 2).T
+    low, high = np.maximum(start, offset), np.minimum(start + count, offset + n - window + 1)  # the row's own windows
+    mine = low < high
+    ends = high + window - 1 - offset
+    return list(zip(*(x[mine].tolist() for x in (low - offset, ends, s_doc, s_start + low - start)), strict=True))
 
 
 def _parsed(window: int, finish, schema: str):
     names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.string() if "string" in f else pa.int64() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(window)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             out = []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, factors in _texts(iter([batch])):
                 words = text.encode().split()
-                factors = _factors_of(len(words), block.skip(doc, len(words)), window, runs)
-                out += finish(None if doc == _NO_ID else doc, words, factors)
+                out += finish(None if doc[0] == _NO_ID else doc[0], words, _factors_of(len(words), block.skip(doc, len(words)), window, factors.as_py()))
             cols = zip(*out, strict=True) if out else [[] for _ in names]
-            types = [pa.string() if "string" in f else pa.int64() for f in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
@@ -351,12 +391,13 @@ def _parsed(window: int, finish, schema: str):
 
 DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 SPAN_SCHEMA = "doc_id long, start long, n_words long"
+FACTOR_SCHEMA = "doc_id long, start long, n_words long, source_id long, source_start long"
 TEXT_SCHEMA = "doc_id long, text string"
 
 
-def _kept(words: list[bytes], factors: list[tuple[int, int]]) -> list[bytes]:
+def _kept(words: list[bytes], factors: list[tuple]) -> list[bytes]:
     keep = np.ones(len(words), bool)
-    for a, b in factors:
+    for a, b, *_ in factors:
         keep[a:b] = False
     return words if keep.all() else [words[i] for i in np.flatnonzero(keep)]
 
@@ -368,7 +409,7 @@ def _digest(doc, words, factors):
 
 def _spans(doc, words, factors):
     out: list[list[int]] = []
-    for a, b in factors:
+    for a, b, *_ in factors:
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -376,24 +417,30 @@ def _spans(doc, words, factors):
     return [(doc, a, b - a) for a, b in out]
 
 
+def _sourced(doc, words, factors):
+    return [(doc, a, b - a, None if s == _NO_ID else s, at) for a, b, s, at in factors]
+
+
 def _text(doc, words, factors):
     return [(doc, b" ".join(_kept(words, factors)).decode())]
 
 
 def _parse(docs: DataFrame, finish, schema: str, window: int, block_words: int, id_col: str, text_col: str) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
-    texts = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_NO_ID))).repartition(parts, "id").sortWithinPartitions("id", "text")
+    texts = id_and_text(docs, id_col, text_col).select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    texts = texts.repartition(parts, "id", "th").sortWithinPartitions("id", "th", "text")
 
-    def met(df: DataFrame, by) -> DataFrame:
-        return df.repartition(parts, by)
+    def of(other: DataFrame, what: str) -> DataFrame:
+        """The texts with what is known of their documents, where they are."""
+        return texts.join(other, (F.col("id") == F.col("doc")) & (F.col("th") == F.col("dth")), "left").select("id", "th", "text", what)
 
     anchors = texts.mapInArrow(_index(window, block_words), ANCHOR_SCHEMA)
-    known = met(anchors, F.when(F.col("kind") == _KNOWN, F.col("doc")).otherwise(F.col("value"))).mapInArrow(_repeated_anchors, "doc long, value long")
-    known = known.groupBy("doc").agg(F.collect_list("value").alias("values"))
-    windows = texts.join(known, F.col("id") == F.col("doc"), "left").select("id", "text", "values").mapInArrow(_match(window, block_words), WINDOW_SCHEMA)
-    runs = met(windows, F.when(F.col("run") > 0, F.col("doc")).otherwise(F.col("hash"))).mapInArrow(_matches(parts), "part int, found binary")
-    runs = met(runs, F.col("part")).mapInArrow(_by_document, "doc long, runs binary")
-    return texts.join(runs, F.col("id") == F.col("doc"), "left").select("id", "text", "runs").mapInArrow(_parsed(window, finish, schema), schema)
+    known = anchors.repartition(parts, F.when(F.col("kind") == _KNOWN, F.xxhash64("doc", "th")).otherwise(F.col("value")))
+    known = known.mapInArrow(_repeated_anchors, "doc long, th long, value long").toDF("doc", "dth", "value").groupBy("doc", "dth").agg(F.collect_list("value").alias("values"))
+    windows = of(known, "values").mapInArrow(_match(window, block_words, parts), WINDOW_SCHEMA)
+    runs = windows.repartition(parts, "hash").mapInArrow(_sources(parts), "part int, found binary")
+    factors = runs.repartition(parts, "part").mapInArrow(_by_document, "doc long, dth long, factors binary")
+    return of(factors, "factors").mapInArrow(_parsed(window, finish, schema), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,6 +453,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block_words: int = BLO
     return _parse(docs, _spans, SPAN_SCHEMA, window, block_words, id_col, text_col)
 
 
+def factors(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, start, n_words, source_id, source_start``: each factor, in words, and where the same words stand earlier."""
+    return _parse(docs, _sourced, FACTOR_SCHEMA, window, block_words, id_col, text_col)
+
+
 def digest_repeats(docs: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``."""
     return _parse(docs, _digest, DIGEST_SCHEMA, window, block_words, id_col, text_col)

@@ -432,6 +432,31 @@ def test_substring_dedup_equals_brute_force(spark, docs, texts, window, block):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_windows(rows, window)
 
 
+@pytest.mark.parametrize(("window", "block"), [(20, substring_dedup.BLOCK_WORDS), (20, 2000), (3, 500)])
+def test_factors_equal_their_sources(spark, docs, texts, window, block):
+    rnd = random.Random(window)
+    rows = [*texts.items(), *((10_000 + i, " ".join(rnd.choice("ab") for _ in range(rnd.randrange(60)))) for i in range(60)), (20_000, "z " * 100)]
+    words = {i: (t or "").encode().split() for i, t in rows}
+    covered = {i: [False] * len(w) for i, w in words.items()}
+    got = substring_dedup.factors(spark.createDataFrame(rows, DOCS), window, block).collect()
+    for r in got:
+        assert r.n_words >= window and (r.source_id, r.source_start) < (r.doc_id, r.start)
+        assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.source_id][r.source_start : r.source_start + r.n_words]
+        covered[r.doc_id][r.start : r.start + r.n_words] = [True] * r.n_words
+    assert {i: sum(c) for i, c in covered.items()} == {i: n for i, (_, n, _) in brute_windows(rows, window).items()}
+    last = {}
+    for r in sorted(got):  # a factor goes on as long as its source does
+        before = last.get(r.doc_id)
+        assert before is None or not (before.start + before.n_words - window + 1 == r.start and (before.source_id, before.source_start + before.n_words - window + 1) == (r.source_id, r.source_start))
+        last[r.doc_id] = r
+
+
+def test_substring_dedup_of_many_rows_without_an_id(spark):
+    rows = [(None, f"a b c d e f own{i} words{i}") for i in range(50)] + [(None, "a b c d e f")] * 3 + [(7, "x a b c d e f y")]
+    got = substring_dedup.digest_repeats(spark.createDataFrame(rows, DOCS), 5).collect()
+    assert sum(r.n_removed == 0 for r in got) == 1 and sum(r.n_removed == 6 for r in got) == 53
+
+
 def test_substring_dedup_of_awkward_texts(spark, awkward, empty):
     got = substring_dedup.digest_repeats(awkward).collect()
     assert len(got) == len(AWKWARD)
