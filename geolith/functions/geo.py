@@ -77,6 +77,7 @@ def grid_id(lat: Column, lon: Column) -> Column:
 def _axis_index(x: Column, low: float, span: float, bits: int) -> Column:
     """The interval of x among 2**bits; a point on a boundary belongs to the lower one."""
     n = 1 << bits
+    x = F.greatest(F.lit(low), F.least(F.lit(low + span), x))
     k = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.ceil((x - low) / (span / n)) - 1)).cast("long")
 
     def bound(i: Column) -> Column:
@@ -85,26 +86,34 @@ def _axis_index(x: Column, low: float, span: float, bits: int) -> Column:
     return F.when((x > bound(k + 1)) & (k < n - 1), k + 1).when((x <= bound(k)) & (k > 0), k - 1).otherwise(k)
 
 
-def geohash(lat: Column, lon: Column, precision: int = 5) -> Column:
-    """Geohash of a point; null where the point is not valid."""
+def geohash_indices(lat: Column, lon: Column, precision: int) -> tuple[Column, Column]:
+    """The numbers of a valid point's geohash cell along longitude and latitude."""
     if not 1 <= precision <= 12:
         raise ValueError("precision is 1 to 12")
+    return _axis_index(lon, -180.0, 360.0, (5 * precision + 1) // 2), _axis_index(lat, -90.0, 180.0, 5 * precision // 2)
+
+
+def geohash_text(x: Column, y: Column, precision: int) -> Column:
+    """The geohash of the cell with these numbers."""
     lon_bits, lat_bits = (5 * precision + 1) // 2, 5 * precision // 2
-    # one struct holds both indices, so that each is computed once
-    both = F.struct(_axis_index(lon, -180.0, 360.0, lon_bits).alias("x"), _axis_index(lat, -90.0, 180.0, lat_bits).alias("y"))
+    chars = []
+    for c in range(precision):
+        value = F.lit(0).cast("long")
+        for j in range(5):
+            bit = 5 * c + j
+            axis, shift = (x, lon_bits - 1 - bit // 2) if bit % 2 == 0 else (y, lat_bits - 1 - bit // 2)
+            value = value + F.shiftleft(F.shiftright(axis, shift).bitwiseAND(F.lit(1)), 4 - j)
+        chars.append(F.substring(F.lit(GEOHASH_ALPHABET), (value + 1).cast("int"), F.lit(1)))
+    return F.concat(*chars)
 
-    def written(k: Column) -> Column:
-        chars = []
-        for c in range(precision):
-            value = F.lit(0).cast("long")
-            for j in range(5):
-                bit = 5 * c + j
-                axis, shift = (k["x"], lon_bits - 1 - bit // 2) if bit % 2 == 0 else (k["y"], lat_bits - 1 - bit // 2)
-                value = value + F.shiftleft(F.shiftright(axis, shift).bitwiseAND(F.lit(1)), 4 - j)
-            chars.append(F.substring(F.lit(GEOHASH_ALPHABET), (value + 1).cast("int"), F.lit(1)))
-        return F.concat(*chars)
 
-    return F.when(valid_point(lat, lon), F.transform(F.array(both), written)[0])
+def geohash(lat: Column, lon: Column, precision: int = 5) -> Column:
+    """Geohash of a point; null where the point is not valid.
+
+    Nothing but the last, empty piece depends on a condition, so compiled code computes the two cell numbers once.
+    """
+    text = geohash_text(*geohash_indices(lat, lon, precision), precision)
+    return F.concat(text, F.when(valid_point(lat, lon), F.lit("")))
 
 
 def geohash_bbox(gh: Column, precision: int) -> Column:
@@ -217,17 +226,30 @@ def _arc_column(x1: float, y1: float, x2: float, y2: float, lon: Column) -> Colu
     return F.atan((F.lit(t1) * F.sin(F.radians(F.lit(float(x2)) - lon)) + F.lit(t2) * F.sin(F.radians(lon - F.lit(float(x1))))) / F.lit(s))
 
 
-def in_polygon_column(lat: Column, lon: Column, polygons: Column) -> Column:
-    """The same for a column of multipolygons (array<array<array<array<double>>>>)."""
+def polygon_edges(polygons: Column) -> Column:
+    """What ``inside_edges`` needs of a column of multipolygons (array<array<array<array<double>>>>): by polygon and ring, its edges off the meridian."""
 
-    def crossed(ring: Column) -> Column:
-        edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")))
+    def edge(a: Column, b: Column) -> Column:
+        x1, y1, x2, y2 = a[0], a[1], b[0], b[1]
+        return F.struct(x1.alias("x1"), x2.alias("x2"), F.tan(F.radians(y1)).alias("t1"), F.tan(F.radians(y2)).alias("t2"), F.sin(F.radians(x2 - x1)).alias("s"))
 
-        def one(total: Column, e: Column) -> Column:
-            x1, y1, x2, y2 = e["a"][0], e["a"][1], e["b"][0], e["b"][1]
-            arc = F.atan((F.tan(F.radians(y1)) * F.sin(F.radians(x2 - lon)) + F.tan(F.radians(y2)) * F.sin(F.radians(lon - x1))) / F.sin(F.radians(x2 - x1)))
-            return total + F.when((x1 != x2) & ((x1 > lon) != (x2 > lon)) & (arc > F.radians(lat)), 1).otherwise(0)
+    def edges(ring: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: edge(F.get(ring, i - 1), F.get(ring, i)))
+        return F.filter(every, lambda e: e["x1"] != e["x2"])
 
-        return F.aggregate(edges, F.lit(0), one)
+    return F.transform(polygons, lambda rings: F.flatten(F.transform(rings, edges)))
 
-    return F.exists(polygons, lambda rings: F.aggregate(rings, F.lit(0), lambda total, ring: total + crossed(ring)) % 2 == 1)
+
+def inside_edges(lat: Column, lon: Column, edges: Column) -> Column:
+    """Whether a point is in a multipolygon given by ``polygon_edges``."""
+
+    def crossed(e: Column) -> Column:
+        arc = F.atan((e["t1"] * F.sin(F.radians(e["x2"] - lon)) + e["t2"] * F.sin(F.radians(lon - e["x1"]))) / e["s"])
+        return ((e["x1"] > lon) != (e["x2"] > lon)) & (arc > F.radians(lat))
+
+    return F.exists(edges, lambda polygon: F.size(F.filter(polygon, crossed)) % 2 == 1)
+
+
+def in_polygon_column(lat: Column, lon: Column, polygons: Column) -> Column:
+    """``in_polygons`` for a column of multipolygons."""
+    return inside_edges(lat, lon, polygon_edges(polygons))

@@ -19,7 +19,3 @@ def to_time(c: Column) -> Column:
 def finite(c: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)

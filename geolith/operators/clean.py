@@ -6,11 +6,11 @@ expression tags a row; the rule on repeated keys looks only at rows that the oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.functions.geo import grid_id
-from geolith.functions.values import blank_to_null, to_number, to_time
+from geolith.functions.values import to_number, to_time
 
 #: Names of the raw columns and of the clean ones.
 COLUMN_MAP = {
@@ -71,9 +71,12 @@ def tagged(raw: DataFrame, position: str | Column = "pos", box: tuple[float, flo
     """The typed rows with ``drop_reason``. ``position`` orders rows as the source does; rows that earlier rules reject never shadow others."""
     out = _typed(raw).withColumn("drop_reason", drop_reason(raw.columns, box))
     if "accident_id" in raw.columns:
-        order = F.col(position) if isinstance(position, str) else position
-        place = F.row_number().over(Window.partitionBy("accident_id", F.col("drop_reason").isNull()).orderBy(order))
-        out = out.withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & (place > 1), "duplicate").otherwise(F.col("drop_reason")))
+        # only ids and positions of rows that the other rules keep are grouped, and only ids that occur twice come back
+        at = F.col(position) if isinstance(position, str) else position
+        out = out.withColumn("_at", at)
+        twice = out.where("drop_reason IS NULL").groupBy(F.col("accident_id").alias("_id")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        later = F.col("drop_reason").isNull() & (F.col("_at") > F.col("_first"))
+        out = out.join(twice, F.col("accident_id").eqNullSafe(F.col("_id")), "left").withColumn("drop_reason", F.when(later, "duplicate").otherwise(F.col("drop_reason"))).drop("_at", "_id", "_first")
     return out.withColumn("severity", F.when(F.col("drop_reason").isNull(), F.col("severity")).cast("int")) if "severity" in raw.columns else out
 
 
@@ -134,8 +137,3 @@ def invariants(events: DataFrame, grid: DataFrame, temporal: DataFrame, cell: fl
     one = rows.crossJoin(cells).crossJoin(times)  # three frames of one row
     checks = {"cells_within_rows": F.col("in_cells") <= F.col("n"), "centroids_in_cells": F.col("centred"), "cell_names": F.col("named"), "hours_at_most_24": F.col("hours") <= 24, "days_at_most_7": F.col("days") <= 7, "timed_within_rows": F.col("timed") <= F.col("n")}
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("holds")) for k, v in checks.items()])).alias("c")).select("c.*")
-
-
-def raw_text(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns as trimmed text, blank as null."""
-    return df.select(*[blank_to_null(F.col(c).cast("string")).alias(c) for c in columns])

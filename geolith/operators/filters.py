@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,14 +23,16 @@ def check_range(name: str, value: float, low: float, high: float) -> float:
     return value
 
 
-def check_page(limit: int, skip: int, most: int = MAX_LIMIT) -> None:
-    check_range("limit", limit, 1, most)
+def check_page(limit: int | None, skip: int, most: int = MAX_LIMIT) -> None:
+    if limit is not None:
+        check_range("limit", limit, 1, most)
     check_range("skip", skip, 0, float("inf"))
 
 
 def parse_time(value: str | datetime) -> datetime:
+    """A time without zone; one with a zone is taken as UTC."""
     if isinstance(value, datetime):
-        return value
+        return value if value.tzinfo is None else value.astimezone(timezone.utc).replace(tzinfo=None)
     for form in TIME_FORMATS:
         try:
             return datetime.strptime(value, form)
@@ -39,6 +41,11 @@ def parse_time(value: str | datetime) -> datetime:
     raise ValueError(f"{value!r} is not a time in one of {', '.join(TIME_FORMATS)}")
 
 
+def _time(value: str | datetime) -> Column:
+    """As text first: a datetime would become an instant of the process's zone and be shown in the session's."""
+    return F.lit(parse_time(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def attribute_filter(
     severity: Sequence[int] | None = None,
     min_severity: int | None = None,
@@ -70,9 +77,9 @@ def attribute_filter(
     if weather:
         parts.append(F.lower("weather").contains(weather.lower()))
     if start is not None:
-        parts.append(F.col("start_time") >= F.lit(parse_time(start)).cast("timestamp_ntz"))
+        parts.append(F.col("start_time") >= _time(start))
     if end is not None:
-        parts.append(F.col("start_time") <= F.lit(parse_time(end)).cast("timestamp_ntz"))
+        parts.append(F.col("start_time") <= _time(end))
     if year is not None:
         parts.append(F.col("year") == int(check_range("year", year, 1900, 2100)))
     if hour_from is not None and hour_to is not None:

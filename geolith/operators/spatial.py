@@ -31,10 +31,16 @@ def _in_ring(df: DataFrame, lat: float, lon: float, radius_m: float, min_m: floa
     return near.where((F.col("distance_m") <= radius_m) & (F.col("distance_m") >= min_m))
 
 
-def near(df: DataFrame, lat: float, lon: float, radius_m: float, limit: int = 100, skip: int = 0, min_m: float = 0.0, condition: Column | None = None) -> DataFrame:
+def page(ordered: DataFrame, limit: int | None, skip: int) -> DataFrame:
+    """Part of an ordered result. ``limit`` None is all of it, sorted by ranges; else one task holds the first skip + limit rows."""
+    ordered = ordered.offset(skip) if skip else ordered
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def near(df: DataFrame, lat: float, lon: float, radius_m: float, limit: int | None = 100, skip: int = 0, min_m: float = 0.0, condition: Column | None = None) -> DataFrame:
     """Events in a ring around a point, nearest first, with ``distance_m``; a page of them."""
     check_page(limit, skip)
-    return _in_ring(df, lat, lon, radius_m, min_m, condition).orderBy("distance_m", "accident_id").offset(skip).limit(limit)
+    return page(_in_ring(df, lat, lon, radius_m, min_m, condition).orderBy("distance_m", "accident_id"), limit, skip)
 
 
 def near_count(df: DataFrame, lat: float, lon: float, radius_m: float, min_m: float = 0.0, condition: Column | None = None) -> DataFrame:
@@ -45,10 +51,10 @@ def _in_area(df: DataFrame, polygons: Polygons, condition: Column | None) -> Dat
     return df.where((F.lit(True) if condition is None else condition) & geo.in_polygons(F.col("lat"), F.col("lon"), polygons))
 
 
-def within(df: DataFrame, polygons: Polygons, limit: int = 100, skip: int = 0, condition: Column | None = None) -> DataFrame:
+def within(df: DataFrame, polygons: Polygons, limit: int | None = 100, skip: int = 0, condition: Column | None = None) -> DataFrame:
     """Events in a multipolygon, a page of them in order of their id."""
     check_page(limit, skip)
-    return _in_area(df, polygons, condition).orderBy("accident_id").offset(skip).limit(limit)
+    return page(_in_area(df, polygons, condition).orderBy("accident_id"), limit, skip)
 
 
 def within_count(df: DataFrame, polygons: Polygons, condition: Column | None = None) -> DataFrame:
@@ -83,26 +89,50 @@ def near_groups(df: DataFrame, lat: float, lon: float, radius_m: float, group_by
     check_range("band_m", band_m, 1, float("inf"))
     if limit is not None:
         check_range("limit", limit, 1, MAX_GROUPS)
-    key = {"none": F.lit(None).cast("string"), "distance_band": F.floor(F.col("distance_m") / F.lit(float(band_m))) * F.lit(float(band_m))}.get(group_by, F.col(group_by if group_by not in ("none", "distance_band") else "severity"))
-    nearest = F.struct("accident_id", "city", "state", "severity", "distance_m", geo.point(F.col("lat"), F.col("lon")).alias("location"))
-    out = (
-        _in_ring(df, lat, lon, radius_m, min_m, condition)
-        .groupBy(key.alias("group"))
-        .agg(
-            F.count("*").alias("count"),
-            F.count_if(F.col("severity") >= 3).alias("severe_count"),
-            F.min_by(nearest, F.struct("distance_m", "accident_id")).alias("nearest"),
-            F.bround(F.avg("distance_m"), 2).alias("avg_distance_m"),
-            F.bround(F.min("distance_m"), 2).alias("min_distance_m"),
-            F.bround(F.max("distance_m"), 2).alias("max_distance_m"),
-            F.bround(F.avg("severity"), 4).alias("avg_severity"),
-        )
-        .withColumn("severe_pct", F.bround(100 * F.col("severe_count") / F.col("count"), 3))
-        .orderBy(F.desc("count"), F.col("group").asc_nulls_first())
-    )
+    found = _in_ring(df, lat, lon, radius_m, min_m, condition)
+    out = found.groupBy(_group_key(group_by, band_m).alias("group")).agg(*_group_columns()).withColumn("severe_pct", _severe_pct())
+    out = out.orderBy(F.desc("count"), F.col("group").asc_nulls_first())
     return out if limit is None else out.limit(limit)
 
 
+def _group_key(name: str, band_m: float) -> Column:
+    if name == "none":
+        return F.lit(None).cast("string")
+    return F.floor(F.col("distance_m") / F.lit(float(band_m))) * F.lit(float(band_m)) if name == "distance_band" else F.col(name)
+
+
+def _group_columns() -> list[Column]:
+    nearest = F.struct("accident_id", "city", "state", "severity", "distance_m", geo.point(F.col("lat"), F.col("lon")).alias("location"))
+    return [
+        F.count("*").alias("count"),
+        F.count_if(F.col("severity") >= 3).alias("severe_count"),
+        F.min_by(nearest, F.struct("distance_m", "accident_id")).alias("nearest"),
+        F.bround(F.avg("distance_m"), 2).alias("avg_distance_m"),
+        F.bround(F.min("distance_m"), 2).alias("min_distance_m"),
+        F.bround(F.max("distance_m"), 2).alias("max_distance_m"),
+        F.bround(F.avg("severity"), 4).alias("avg_severity"),
+    ]
+
+
+def _severe_pct() -> Column:
+    return F.bround(100 * F.col("severe_count") / F.col("count"), 3)
+
+
+def near_all_groups(df: DataFrame, lat: float, lon: float, radius_m: float, keys: Sequence[str] = GROUPS, min_m: float = 0.0, band_m: float = 1000.0, condition: Column | None = None) -> DataFrame:
+    """``near_groups`` by several keys over one scan: ``key, group`` (as text) and the same columns, all groups."""
+    if not keys or set(keys) - set(GROUPS):
+        raise ValueError(f"keys are some of {', '.join(GROUPS)}")
+    check_range("band_m", band_m, 1, float("inf"))
+    names = [k for k in keys if k != "none"]
+    found = _in_ring(df, lat, lon, radius_m, min_m, condition)
+    found = found.select("accident_id", "city", "state", "severity", "distance_m", "lat", "lon", *[_group_key(k, band_m).cast("string").alias(f"_by_{k}") for k in names])
+    by = [f"_by_{k}" for k in names]
+    sets = [[c] for c in by] + ([[]] if "none" in keys else [])
+    out = found.groupingSets(sets, *by).agg(*_group_columns(), *[F.grouping(c).alias(f"_out{c}") for c in by])
+    key = F.coalesce(*[F.when(F.col(f"_out_by_{k}") == 0, F.lit(k)) for k in names], F.lit("none"))
+    return out.withColumns({"key": key, "group": F.coalesce(*by, F.lit(None).cast("string")), "severe_pct": _severe_pct()}).drop(*by, *[f"_out{c}" for c in by])
+
+
 # --- many centres, many regions ---
 
 
@@ -157,21 +187,31 @@ def _with_box(regions: DataFrame) -> DataFrame:
     return out.withColumns({"_y1": F.col("_y1") - F.when(F.col("_y1") < 0, bulge("_y1")).otherwise(1e-3), "_y2": F.col("_y2") + F.when(F.col("_y2") > 0, bulge("_y2")).otherwise(1e-3)})
 
 
-def within_join(points: DataFrame, regions: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Points in each region: all columns of both. ``regions`` has region_id and polygons.
+#: The finest cells, as a power of two of a degree, and in how many parts the longer side of a region is cut at least.
+FINEST, SIDE_CELLS = -14, 4
 
-    A region is listed under every cell of its box and meets points by cell; box and containment decide.
-    """
-    boxed = _with_box(regions)
 
-    def cells(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / cell).cast("int"), F.floor(F.col(high) / cell).cast("int"))
+def within_join(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points in each region: all columns of both. ``regions`` has region_id and polygons.
 
-    r = boxed.withColumn("_row", F.explode(cells("_y1", "_y2"))).withColumn("_col", F.explode(cells("_x1", "_x2")))
-    p = points.withColumns({"_row": F.floor(F.col("lat") / cell).cast("int"), "_col": F.floor(F.col("lon") / cell).cast("int")})
-    met = p.join(F.broadcast(r) if _small(regions) else r, ["_row", "_col"])
+    Cells come in powers of two of a degree. A region is listed under the cells of its box that are a quarter to an eighth of its longer side,
+    at most 9 by 9 of them, and points meet it there, once for each size in use: what meets is little more
+    than what is in the box. Box and containment decide; AQE splits cells that are crowded.
+    """
+    side = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
+    size = F.least(F.greatest(F.floor(F.log2(side / SIDE_CELLS)), F.lit(FINEST)), F.lit(7)).cast("int")
+    boxed = _with_box(regions).withColumn("_edges", geo.polygon_edges(F.col("polygons"))).withColumn("_size", size)
+    sizes = sorted(r["_size"] for r in boxed.select("_size").distinct().collect() if r["_size"] is not None)  # 22 at most
+
+    def cell(x: Column) -> Column:
+        return F.floor(x / F.pow(F.lit(2.0), F.col("_size"))).cast("int")
+
+    r = boxed.withColumn("_row", F.explode(F.sequence(cell(F.col("_y1")), cell(F.col("_y2"))))).withColumn("_col", F.explode(F.sequence(cell(F.col("_x1")), cell(F.col("_x2")))))
+    p = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes))) if sizes else F.lit(0))
+    p = p.withColumns({"_row": cell(F.col("lat")), "_col": cell(F.col("lon"))})
+    met = p.join(F.broadcast(r) if _small(regions) else r, ["_size", "_row", "_col"])
     met = met.where(F.col("lat").between(F.col("_y1"), F.col("_y2")) & F.col("lon").between(F.col("_x1"), F.col("_x2")))
-    return met.where(geo.in_polygon_column(F.col("lat"), F.col("lon"), F.col("polygons"))).drop("_row", "_col", "_x1", "_x2", "_y1", "_y2")
+    return met.where(geo.inside_edges(F.col("lat"), F.col("lon"), F.col("_edges"))).drop("_size", "_row", "_col", "_x1", "_x2", "_y1", "_y2", "_edges")
 
 
 def region_summaries(points: DataFrame, regions: DataFrame) -> DataFrame:

@@ -6,22 +6,27 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.operators import aggregate, clean, enrich
+from geolith.operators import aggregate, clean, enrich, sample
 from geolith.sources import files
 
 
-def ingest(raw: DataFrame, path: str, position: str | Column = "pos", cell: float = enrich.CELL_DEG, precision: int = enrich.PRECISION, replace: bool = False) -> dict[str, int]:
-    """Cleans, enriches and stores a raw table; returns the counters of every rule and of the store.
+def ingest(raw: DataFrame, path: str, position: str | Column = "pos", cell: float = enrich.CELL_DEG, precision: int = enrich.PRECISION, replace: bool = False, sample_rows: int | None = None, block: str = "block", seed: int = 42) -> dict[str, int]:
+    """Cleans, enriches and stores a raw table; returns the counters of the rules, and ``stored`` and ``stored_before`` of the store.
 
-    The tagged rows are kept while counters and rows are taken from them, so the source is read once.
+    With ``sample_rows``, whole blocks (a column, such as ``sample.file_blocks`` adds) are taken in a seeded order until so many
+    rows survive the cleaning; only they are counted and stored. The tagged rows are kept while counters and
+    rows are taken from them.
     """
+    if sample_rows is not None:
+        raw = sample.block_sample(raw, block, sample_rows, seed, sizes=clean.kept(clean.tagged(raw, position)))
     rows = clean.tagged(raw, position).persist(StorageLevel.DISK_ONLY)
     try:
         counters = clean.stats(rows).first().asDict()
         events = enrich.documents(enrich.enriched(clean.kept(rows), cell, precision))
         if replace:
             files.overwrite(events.limit(0), path)
-        return counters | files.append_new(events, path, "accident_id")
+        told = files.append_new(events, path, "accident_id")
+        return counters | {"stored": told["appended"], "stored_before": told["skipped"]}
     finally:
         rows.unpersist()
 
@@ -37,7 +42,7 @@ def write_aggregates(events: DataFrame, folder: str, **options) -> dict[str, int
 
     The columns that they need are kept once for all; hotspots come from the grid that was written.
     """
-    needed = [c for c in ("accident_id", "lat", "lon", "severity", "start_time", "city", "distance_mi", "state", "geohash") if c in events.columns]
+    needed = [c for c in ("accident_id", "lat", "lon", "severity", "start_time", "city", "distance_mi", "state") if c in events.columns]
     base = events.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables = aggregates(base, **options)
@@ -49,12 +54,3 @@ def write_aggregates(events: DataFrame, folder: str, **options) -> dict[str, int
         return counts
     finally:
         base.unpersist()
-
-
-def summary(events: DataFrame, **options) -> DataFrame:
-    """``name, rows`` of the five aggregates."""
-    out = None
-    for name, df in aggregates(events, **options).items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out

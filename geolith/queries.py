@@ -127,6 +127,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({"centroid_lon": xy[0], "centroid_lat": xy[1]}).drop("centroid")
 
 
+def _stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.shared_dir(spark, "grid")
+    files.overwrite(aggregate.grid(fixtures.accidents(spark, sf_dir), exact=True), path)
+    return spark.read.parquet(path)
+
+
 def _unrounded(df: DataFrame) -> DataFrame:
     """The means from the centroid: at six digits, means of such coordinates are often exact ties, which engines round differently."""
     xy = F.col("centroid.coordinates")
@@ -139,26 +145,44 @@ def _unrounded(df: DataFrame) -> DataFrame:
 @query("select drop_reason, count(*) as count, min(pos) as first_pos from r group by drop_reason", raw=True)
 def src1_csv_scan(spark, sf_dir):
     raw = fixtures.raw_accidents(spark, sf_dir)
-    path, header = files.shared_dir(spark, "csv"), raw.columns
-    raw.write.option("emptyValue", "").csv(path, header=True)
-    back = files.read_csv(spark, path, header, header).withColumn("pos", F.col("pos").cast("long"))
+    path, wanted = files.shared_dir(spark, "csv"), raw.columns
+    raw.select("city", *[c for c in wanted if c not in ("city", "pos")], F.lit("x").alias("other"), "pos").write.option("emptyValue", "").csv(path, header=True)
+    back = files.read_csv(spark, path, wanted).withColumn("pos", F.col("pos").cast("long"))
     return clean.tagged(back).groupBy("drop_reason").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"))
 
 
+@query("select drop_reason, count(*) as count, cast(sum(pos) as bigint) as positions from r group by drop_reason", raw=True)
+def src2_csv_splits(spark, sf_dir):
+    raw = fixtures.raw_accidents(spark, sf_dir)
+    path = files.shared_dir(spark, "csv")
+    raw.write.option("emptyValue", "").csv(path, header=True)
+    back = files.read_csv(spark, path, raw.columns, split_bytes=100_000).withColumn("pos", F.col("pos").cast("long"))
+    return clean.tagged(back).groupBy("drop_reason").agg(F.count("*").alias("count"), F.sum("pos").alias("positions"))
+
+
+@query("with t as (select event_type, count(*) as rows, cast(sum(event_id) as bigint) as ids from events group by event_type) select * from t")
+def src4_read_splits(spark, sf_dir):
+    events_in_splits = files.read_table(spark, f"{sf_dir}/events.parquet", split_bytes=200_000)
+    return events_in_splits.groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+
+
 @query("with t as (select count(*) as rows, count(distinct user_id) as users from events) select * from t")
 def src3_schema_scan(spark, sf_dir):
     return files.read_table(spark, f"{sf_dir}/events.parquet", "event_id long, user_id long").agg(F.count("event_id").alias("rows"), F.count_distinct("user_id").alias("users"))
 
 
-@query("with t as (select s_suppkey, 1 as polygons, 5 as positions, -10e0 - s_suppkey % 7 as x1 from supplier) select * from t")
+@query("with t as (select s_suppkey, case when s_suppkey % 4 = 2 then 1 + s_suppkey % 3 else 1 end as polygons, case when s_suppkey % 4 = 3 then 5 else 5 + s_suppkey % 2 end as positions, -10e0 - s_suppkey % 7 as x1 from supplier) select * from t")
 def src5_geometry_bodies(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.lit(-10) - F.col("s_suppkey") % 7).cast("double").alias("x"))
-    ring = F.concat(F.lit("[["), F.concat_ws("],[", *[F.concat_ws(",", F.col("x") + dx, F.lit(y)) for dx, y in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))]), F.lit("]]"))
+    corners = [F.concat_ws(",", F.col("x") + dx, F.lit(y)) for dx, y in ((0, 1), (2, 1), (2, 3), (0, 3), (0, 1))]
+    more = F.when(F.col("s_suppkey") % 2 == 1, F.concat_ws(",", F.col("x") + 1, F.lit(4)))  # odd keys have a sixth corner
+    ring = F.concat(F.lit("[["), F.concat_ws("],[", *corners[:3], more, *corners[3:]), F.lit("]]"))
+    rings = F.array_join(F.array_repeat(F.concat(F.lit("["), ring, F.lit("]")), (1 + F.col("s_suppkey") % 3).cast("int")), ",")
     polygon = F.concat(F.lit('{"type":"Polygon","coordinates":['), ring, F.lit("]}"))
     body = (
         F.when(F.col("s_suppkey") % 4 == 0, polygon)
         .when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit('{"type":"Feature","geometry":'), polygon, F.lit("}")))
-        .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), ring, F.lit("]]}")))
+        .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), rings, F.lit("]}")))
         .otherwise(F.concat(F.lit('{"bbox":['), F.concat_ws(",", F.col("x"), F.lit(1), F.col("x") + 2, F.lit(3)), F.lit("]}")))
     )
     p = files.polygons_of(body)
@@ -193,12 +217,29 @@ def snk4_month_layout(spark, sf_dir):
     return files.month_buckets(spark.read.parquet(path), 2)
 
 
-@query()
+@query("select accident_id, severity, strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f+00:00') as start_time, 'Point' as kind, round(lon, 6) as lon, round(lat, 6) as lat, 4 as fields from a")
 def snk5_json_rows(spark, sf_dir):
-    return enrich.as_json(enrich.documents(events(spark, sf_dir)).select("accident_id", "severity", "start_time", "location"))
+    rows = enrich.as_json(enrich.documents(events(spark, sf_dir)).select("accident_id", "severity", "start_time", "location"))
+
+    def at(path: str):
+        return F.get_json_object("json", f"$.{path}")
+
+    lon, lat = (F.round(at(f"location.coordinates[{i}]").cast("double"), 6) for i in (0, 1))
+    return rows.select(
+        at("accident_id").alias("accident_id"), at("severity").cast("int").alias("severity"), at("start_time").alias("start_time"), at("location.type").alias("kind"), lon.alias("lon"), lat.alias("lat"), F.size(F.json_object_keys("json")).alias("fields")
+    )
+
+
+@query("select count(*) as rows, count(distinct accident_id) as ids, count(*) as stored from r where drop_reason is null", raw=True)
+def snk3_drop_and_reload(spark, sf_dir):
+    path = files.shared_dir(spark, "events")
+    raw = fixtures.raw_accidents(spark, sf_dir)
+    jobs.ingest(raw.where("pos % 3 = 0"), path)
+    told = jobs.ingest(raw, path, replace=True)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.count_distinct("accident_id").alias("ids"), F.lit(told["stored"]).cast("long").alias("stored"))
 
 
-@query("with t as (select 'events' as name, count(*) as rows from events union all select 'orders', count(*) from orders union all select 'region', count(*) from region) select name, rows, true as ready from t")
+@query("with t as (select 'events' as name, count(*) as rows from events union all select 'orders', count(*) from orders union all select 'region', count(*) from region) select name, rows, name <> 'events' or rows > 0 as ready from t")
 def snk6_inventory(spark, sf_dir):
     return files.inventory({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders", "region")}, "events")
 
@@ -206,6 +247,14 @@ def snk6_inventory(spark, sf_dir):
 # --- projections, casts, filters ---
 
 
+@query("select pos, accident_id, severity, start_time, lat, lon, city from (select pos, accident_id, lat, lon, severity, start_time, city from typed) where lat is not null", raw=True)
+def prj1_renamed(spark, sf_dir):
+    names = {clean_name: raw_name for raw_name, clean_name in clean.COLUMN_MAP.items()}
+    raw = fixtures.raw_accidents(spark, sf_dir).withColumnsRenamed(names)
+    typed = clean.renamed(raw).withColumns({c: to_number(F.col(c)) for c in ("lat", "lon", "severity")}).withColumn("start_time", to_time(F.col("start_time")))
+    return typed.where("lat IS NOT NULL").select("pos", "accident_id", "severity", "start_time", "lat", "lon", "city")
+
+
 @query("select accident_id, severity, start_time, city, state, weather, distance_mi, lat, lon from a")
 def prj2_default_projection(spark, sf_dir):
     return enrich.projected(events(spark, sf_dir))
@@ -363,8 +412,8 @@ _GROUP_COLUMNS = """count(*) as count, count(*) filter (severity >= 3) as severe
     round_even(max(d), 2) as max_distance_m, round_even(avg(severity), 4) as avg_severity, round_even(100 * count(*) filter (severity >= 3) / count(*), 3) as severe_pct"""
 
 
-def _grouped(df: DataFrame) -> DataFrame:
-    return df.select(F.col("group").cast("string").alias("name"), "count", "severe_count", F.col("nearest.accident_id").alias("nearest_id"), F.bround("nearest.distance_m", 2).alias("nearest_m"), "avg_distance_m", "max_distance_m", "avg_severity", "severe_pct")
+def _grouped(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, F.col("group").cast("string").alias("name"), "count", "severe_count", F.col("nearest.accident_id").alias("nearest_id"), F.bround("nearest.distance_m", 2).alias("nearest_m"), "avg_distance_m", "max_distance_m", "avg_severity", "severe_pct")
 
 
 _PLAIN_KEYS = ("severity", "state", "city", "hour", "dow", "weather", "grid_id", "geohash")
@@ -376,11 +425,8 @@ _PLAIN_KEYS = ("severity", "state", "city", "hour", "dow", "weather", "grid_id",
     + f" union all select 'distance_band', cast(cast(floor(d / 2000) * 2000 as double) as varchar), {_GROUP_COLUMNS} from a where d <= {RADIUS} group by floor(d / 2000) * 2000"
 )
 def geo7_near_groups(spark, sf_dir):
-    e, out = events(spark, sf_dir), None
-    for key in spatial.GROUPS:
-        one = _grouped(spatial.near_groups(e, LAT, LON, RADIUS, key, band_m=2000.0, limit=None)).withColumn("key", F.lit(key))
-        out = one if out is None else out.unionByName(one)
-    return out
+    every = spatial.near_all_groups(events(spark, sf_dir), LAT, LON, RADIUS, band_m=2000.0)
+    return _grouped(every, "key")
 
 
 @query(f"select cast(city as varchar) as name, {_GROUP_COLUMNS} from a where d <= {RADIUS} group by city order by count desc, city limit 10")
@@ -423,7 +469,7 @@ def agg1_grid(spark, sf_dir):
 
 @query("select geohash, count(*) as count, round(avg(severity), 4) as avg_severity, round(avg(lat), 10) as mean_lat, round(avg(lon), 10) as mean_lon, count(distinct city) as distinct_cities, 5 as precision from a group by geohash")
 def agg2_geohash(spark, sf_dir):
-    return _unrounded(aggregate.geohashes(events(spark, sf_dir), exact=True))
+    return _unrounded(aggregate.geohashes(fixtures.accidents(spark, sf_dir), exact=True))
 
 
 @query("select p as level, substr(geohash, 1, cast(p as int)) as geohash, count(*) as count from a, (select cast(unnest(range(1, 6)) as int) as p) group by all")
@@ -435,7 +481,7 @@ def agg3_geohash_levels(spark, sf_dir):
     round(100e0 * count / sum(count) over (), 6) as pct_of_total, distinct_cities, sample_state, cell_deg, centroid_lon, centroid_lat
     from (select *, round(count * avg_severity, 4) as concentration_index from cells where count >= 10) order by rank limit 50"""))
 def agg4_hotspots(spark, sf_dir):
-    return _flat(aggregate.hotspots(aggregate.grid(events(spark, sf_dir), exact=True), top_n=50))
+    return _flat(aggregate.hotspots(_stored_grid(spark, sf_dir), top_n=50))
 
 
 def _names(values: tuple[str, ...], at: str) -> str:
@@ -488,34 +534,48 @@ def agg14_year_coverage(spark, sf_dir):
     return aggregate.year_coverage(fixtures.accidents(spark, sf_dir))
 
 
-@query("select cast(y as int) as year from (select unnest(range(min(year), max(year) + 1)) as y from a where year not in (2018, 2021)) where y in (2018, 2021)")
+@query("select cast(y as int) as year from (select unnest(range(min(year), max(year) + 1)) as y from a where year not in (2018, 2021)) where y not in (select year from a where year not in (2018, 2021))")
 def agg15_missing_years(spark, sf_dir):
     return aggregate.missing_years(fixtures.accidents(spark, sf_dir).where("year(start_time) NOT IN (2018, 2021)"))
 
 
-@query()
+@query("select state, count(distinct city) as cities, true as close from a where state <> '' group by state")
 def agg18_approximate_cities(spark, sf_dir):
-    return aggregate.states(events(spark, sf_dir)).select("state", "distinct_cities")
+    """The estimates are within three times the sketch's error of 5 % of the exact counts, which stand beside them."""
+    e = events(spark, sf_dir)
+    exact = aggregate.states(e, exact=True).select("state", F.col("distinct_cities").alias("cities"))
+    return exact.join(aggregate.states(e).select("state", "distinct_cities"), "state").select("state", "cities", (F.abs(F.col("distinct_cities") - F.col("cities")) <= F.greatest(F.lit(1.0), 0.15 * F.col("cities"))).alias("close"))
 
 
-_ONE_PASS = _with_grid(f"""select 'grid' as name, count(*) as rows from cells union all select 'geohash', count(distinct geohash) from a union all select 'hotspots', least(200, count(*)) from cells where count >= 10
-    union all select 'temporal', count(distinct hour) + count(distinct dow) + count(distinct month) + count(distinct year) from a union all select 'state', count(distinct state) from a where state <> ''""")
+_ALL_FIVE = _with_grid(""", spots as (select *, round(count * avg_severity, 4) as weight from cells where count >= 10 order by weight desc, count desc, grid_id limit 200),
+    by_time as (select hour as b, count(*) as n, round(avg(severity), 4) as s from a group by hour union all select dow, count(*), round(avg(severity), 4) from a group by dow
+        union all select month, count(*), round(avg(severity), 4) from a group by month union all select year, count(*), round(avg(severity), 4) from a group by year)
+    select 'grid' as name, count(*) as rows, sum(count)::bigint as events, round(sum(avg_severity), 2) as severity, count(sample_state) + sum(max_severity)::bigint as other from cells
+    union all select 'geohash', count(*), sum(n)::bigint, round(sum(s), 2), count(*) * 5 from (select geohash, count(*) as n, round(avg(severity), 4) as s from a group by geohash)
+    union all select 'hotspots', count(*), sum(count)::bigint, round(sum(avg_severity), 2), sum(max_severity)::bigint from spots
+    union all select 'temporal', count(*), sum(n)::bigint, round(sum(s), 2), sum(b)::bigint from by_time
+    union all select 'state', count(*), sum(n)::bigint, round(sum(s), 2), sum(k)::bigint from (select state, count(*) as n, round(avg(severity), 4) as s, count(*) filter (severity >= 3) as k from a where state <> '' group by state)""")
+_OTHER = {"grid": "count(sample_state) + sum(max_severity)", "geohash": "sum(precision)", "hotspots": "sum(max_severity)", "temporal": "sum(bucket)", "state": "sum(severe_count)"}
 
 
-@query(_ONE_PASS)
+def _contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row about each of the five tables: rows, events, severities and what is its own."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("rows"), F.sum("count").alias("events"), F.round(F.sum("avg_severity"), 2).alias("severity"), F.expr(_OTHER[name]).cast("long").alias("other")).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_ALL_FIVE)
 def agg20_all_aggregates(spark, sf_dir):
-    return jobs.summary(events(spark, sf_dir))
+    return _contents(jobs.aggregates(fixtures.accidents(spark, sf_dir)))
 
 
-@query(_ONE_PASS)
+@query(_ALL_FIVE)
 def agg20_stored_aggregates(spark, sf_dir):
     folder = files.shared_dir(spark, "aggregates")
-    jobs.write_aggregates(events(spark, sf_dir), folder)
-    out = None
-    for name in ("grid", "geohash", "hotspots", "temporal", "state"):
-        one = spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _contents({name: spark.read.parquet(f"{folder}/{name}") for name in jobs.write_aggregates(fixtures.accidents(spark, sf_dir), folder)})
 
 
 # --- reading, comparing, sampling, checking ---
@@ -523,12 +583,14 @@ def agg20_stored_aggregates(spark, sf_dir):
 
 @query(_with_grid(f"select grid_id, count, avg_severity from cells where count >= 20 and {_sql_inside('centroid_lat', 'centroid_lon', geo.box_rings(*BOX))} order by avg_severity, grid_id limit 15 offset 2"))
 def srt4_read_aggregate(spark, sf_dir):
-    tables = {"grid": aggregate.grid(events(spark, sf_dir), exact=True)}
+    tables = {"grid": _stored_grid(spark, sf_dir)}
     page = reading.read_aggregate(tables, "grid", limit=15, skip=2, min_count=20, bbox=BOX, sort_by="avg_severity", ascending=True)
     return page.select("grid_id", "count", "avg_severity")
 
 
-@query("select true as results_match, count(*) as cells_a, count(*) as cells_b, cast(sum(n) as bigint) as rows_a, cast(sum(n) as bigint) as rows_b from (select count(*) as n from a group by floor(lat / 0.1e0), floor(lon / 0.1e0))")
+@query(_BASE + f""", whole as ({_SMALL}), part as (select cell_lat, cell_lon, sum(n) as count from (select cast(floor(lat / 0.1e0) as bigint) as cell_lat, cast(floor(lon / 0.1e0) as bigint) as cell_lon, count(*) as n from a group by event_id % 3, 1, 2) group by all)
+    select bool_and(w.count is not distinct from p.count) as results_match, count(w.count) as cells_a, count(p.count) as cells_b, cast(sum(w.count) as bigint) as rows_a, cast(sum(p.count) as bigint) as rows_b
+    from whole w full join part p using (cell_lat, cell_lon)""")
 def set3_compare_runs(spark, sf_dir):
     return aggregate.compare_grids(agg12_small_grid(spark, sf_dir), set2_combined_grids(spark, sf_dir))
 
@@ -565,7 +627,13 @@ def dq2_repeated_keys(spark, sf_dir):
     return clean.repeated_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
 
 
-@query("with t as (select unnest(['cells_within_rows', 'centroids_in_cells', 'cell_names', 'hours_at_most_24', 'days_at_most_7', 'timed_within_rows']) as name) select name, true as holds from t")
+@query(_with_grid(""", hours as (select hour, count(*) as n from a group by hour)
+    select 'cells_within_rows' as name, (select sum(count) from cells) <= (select count(*) from a) as holds
+    union all select 'centroids_in_cells', (select bool_and(centroid_lon between grid_lon and grid_lon + 0.1e0 and centroid_lat between grid_lat and grid_lat + 0.1e0) from cells)
+    union all select 'cell_names', (select bool_and(grid_id = printf('%.4f_%.4f', grid_lat, grid_lon)) from cells)
+    union all select 'hours_at_most_24', (select count(*) <= 24 from hours)
+    union all select 'days_at_most_7', (select count(distinct dow) <= 7 from a)
+    union all select 'timed_within_rows', (select sum(n) from hours) <= (select count(*) from a)"""))
 def dq3_invariants(spark, sf_dir):
     e = events(spark, sf_dir)
     return clean.invariants(e, aggregate.grid(e), aggregate.temporal(e), 0.1)
@@ -574,12 +642,18 @@ def dq3_invariants(spark, sf_dir):
 # --- whole jobs ---
 
 
-@query("select count(*) as rows, count(*) as appended, 0 as again from r where drop_reason is null", raw=True)
+_ACCOUNT = f"{_COUNTS}, count(*) as rows_in, count(*) filter (drop_reason is null) as rows_out, count(drop_reason) as dropped_total, round(100e0 * count(*) filter (drop_reason is null) / count(*), 2) as retention_pct"
+
+
+@query(_TAGGED + f""", one as (select {_ACCOUNT}, count(*) filter (drop_reason is null) as rows from r)
+    select 'first' as run, *, rows as stored, 0 as stored_before from one union all select 'second', *, 0, rows from one""")
 def ingest_twice(spark, sf_dir):
     path = files.shared_dir(spark, "events")
     raw = fixtures.raw_accidents(spark, sf_dir).withColumn("distance_mi", F.lit(None).cast("string"))
-    first, second = jobs.ingest(raw, path), jobs.ingest(raw, path)
-    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.lit(first["appended"]).cast("long").alias("appended"), F.lit(second["appended"]).alias("again"))
+    told = [{"run": name, **jobs.ingest(raw, path)} for name in ("first", "second")]
+    kinds = ", ".join(f"{c} {'string' if c == 'run' else 'double' if c == 'retention_pct' else 'long'}" for c in told[0])
+    account = spark.createDataFrame([tuple(t.values()) for t in told], kinds)
+    return account.crossJoin(F.broadcast(spark.read.parquet(path).agg(F.count("*").alias("rows"))))  # two rows and one
 
 
 @query("select count(*) as rows, count(distinct accident_id) as ids, sum(severity) as severities from r where drop_reason is null", raw=True)

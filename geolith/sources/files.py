@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,22 +17,43 @@ from geolith.operators.clean import COLUMN_MAP
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a session without that setting gets a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="geolith-")
+    """A new folder name below spark.checkpoint.dir. Only a session in one process may go without that setting: it gets a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="geolith-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path: str, header: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Text columns of a CSV file with this header, in any number of splits.
+def split_session(spark: SparkSession, split_bytes: int | None) -> SparkSession:
+    """A session like this one whose read tasks have at most so many bytes; the given session stays as it is."""
+    if not split_bytes:
+        return spark
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    return own
 
-    Rows with more fields than the header are left out, rows with fewer have nulls, columns that the
-    file lacks are null. ``columns`` are those to return, the raw names of the clean table unless told.
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Text columns of CSV files by the names of their header (the first file's; all of a path share it), in any number of splits.
+
+    Rows with more fields than the header (empty ones count) are left out, rows with fewer have nulls, empty fields are null, columns that the
+    files lack are null. ``columns`` are those to return, the raw names of the clean table unless told.
     """
-    extra = "_extra"
-    schema = StructType([StructField(c, StringType()) for c in [*header, extra]])
-    raw = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True).where(F.col(extra).isNull())
+    spark = split_session(spark, split_bytes)
+    header, odd = spark.read.csv(path, header=True).columns, "_odd"
+    schema = StructType([StructField(c, StringType()) for c in [*header, odd]])
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord=odd)
+    # a row that has not as many fields as the header comes as text too; what stands in quotes has no separators
+    bare = F.regexp_replace(odd, r'"(?:[^"\\]|\\.|"")*"', "")
+    read = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0  # always so; Spark refuses to read the odd rows' text alone
+    raw = raw.where(read & (F.col(odd).isNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) < len(header))))
     wanted = list(COLUMN_MAP) if columns is None else columns
-    return raw.select(*[F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in wanted])
+    return raw.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in wanted])
 
 
 def file_position() -> Column:
@@ -38,10 +62,8 @@ def file_position() -> Column:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, split_bytes: int | None = None, form: str = "parquet") -> DataFrame:
-    """A table with a given, narrower or inferred schema; ``split_bytes`` sets the session's size of read tasks."""
-    if split_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
-    reader = spark.read.format(form)
+    """A table with a given, narrower or inferred schema; ``split_bytes`` bounds what a task reads of this table."""
+    reader = split_session(spark, split_bytes).read.format(form)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
@@ -53,15 +75,19 @@ def overwrite(df: DataFrame, path: str, *partition_by: str) -> int:
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing``, one for each key."""
-    return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """Rows of ``incoming`` whose key is not in ``existing``, one for each key. A null is a value of a key like others."""
+    one_each, stored = incoming.dropDuplicates(list(keys)), existing.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys])
+    return one_each.join(stored, same, "left_anti")
 
 
 def _observed(seen: Observation) -> int:
-    """The observed count; Spark drops an observation together with a relation that it finds empty."""
+    """The observed count; Spark drops an observation together with a relation that it finds empty, and then has no row to show."""
     try:
         return seen.get["n"]
-    except Py4JJavaError:
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "AssertionError":
+            raise
         return 0
 
 
@@ -71,8 +97,8 @@ def append_new(incoming: DataFrame, path: str, *keys: str) -> dict[str, int]:
     read, put = Observation(), Observation()
     try:
         existing = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         existing = incoming.limit(0)
     fresh = new_rows(incoming.observe(read, F.count(F.lit(1)).alias("n")), existing, *keys)

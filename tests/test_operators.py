@@ -158,14 +158,26 @@ def test_sample_is_whole_blocks_and_repeats(spark):
     assert {r.id for r in sample.block_sample(df, "block", 150, sequential=True).collect()} == set(range(200))
 
 
-def test_csv_rows_that_are_too_long_or_short(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("ID,Start_Lat,Start_Lng\n1,2,3\n2,3\n3,4,5,6\n")
-    rows = clean.renamed(files.read_csv(spark, str(tmp_path / "a.csv"), ["ID", "Start_Lat", "Start_Lng"])).orderBy("accident_id").collect()
-    assert [(r.accident_id, r.lat, r.lon, r.city) for r in rows] == [("1", "2", "3", None), ("2", "3", None, None)]
+def test_csv_by_name_and_rows_that_are_too_long_or_short(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Start_Lng,Other,ID,Start_Lat\n3,x,1,2\n3,x,2\n3,x,4,5,6\n3,x,5,6,\n3,x,6,6,,\n\"3,1\",x,8\n,x,7,\"\"\n")
+    raw = files.read_csv(spark, str(tmp_path))
+    assert raw.columns == list(clean.COLUMN_MAP)
+    rows = clean.renamed(raw).orderBy("accident_id").collect()
+    assert [(r.accident_id, r.lat, r.lon, r.city) for r in rows] == [("1", "2", "3", None), ("2", None, "3", None), ("7", None, None, None), ("8", None, "3,1", None)]
     split = sample.file_blocks(spark.read.csv(str(tmp_path)))
     assert split.select("block").distinct().count() == 1
 
 
+def test_split_bytes_hold_for_one_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,City\n" + "".join(f"{i},somewhere {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    fine = files.read_csv(spark, str(tmp_path), ["ID", "City"], split_bytes=10_000)
+    assert fine.rdd.getNumPartitions() > 4 * files.read_csv(spark, str(tmp_path), ["ID", "City"]).rdd.getNumPartitions()
+    assert fine.count() == fine.select("ID").distinct().count() == 5000
+    assert files.read_table(spark, str(tmp_path), "ID string, City string", split_bytes=10_000, form="csv").rdd.getNumPartitions() > 4
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_geometry_bodies(spark):
     ring = "[[0,0],[1,0],[1,1],[0,0]]"
     bodies = [f'{{"type":"Polygon","coordinates":[{ring}]}}', f'{{"geometry":{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}}}', '{"bbox":[0,0,1,1]}', '{"bbox":[1,0,0,1]}', '{"type":"Point","coordinates":[1,2]}', "no json"]
@@ -179,6 +191,71 @@ def test_append_is_idempotent(spark, events, tmp_path):
     assert files.append_new(events.union(events), path, "accident_id")["appended"] == 0
     assert spark.read.parquet(path).count() == 6
     assert files.overwrite(events.where("severity = 2"), path) == 3
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    path = str(tmp_path / "n")
+    assert [files.append_new(nulls, path, "k")["appended"] for _ in range(3)] == [2, 0, 0]
+    assert files.append_new(nulls.limit(0), path, "k") == {"rows_in": 0, "appended": 0, "skipped": 0}
+
+
+def test_ingest_accounts_for_every_row(spark, dirty, tmp_path):
+    raw = dirty.unionByName(dirty.withColumn("pos", F.col("pos") + 100))
+    first, second = (jobs.ingest(raw, str(tmp_path / "t")) for _ in range(2))
+    for told in (first, second):
+        assert told["rows_in"] == 28 and sum(told[r] for r in clean.REASONS) == told["dropped_total"] == 22 and told["rows_out"] == 6
+    assert (first["stored"], first["stored_before"], second["stored"], second["stored_before"]) == (6, 0, 0, 6)
+    assert jobs.ingest(dirty, str(tmp_path / "t"), replace=True)["stored"] == 6
+    blocks = dirty.withColumn("block", F.expr("pos div 2"))
+    told = jobs.ingest(blocks, str(tmp_path / "s"), sample_rows=3)
+    assert 3 <= told["rows_out"] < 6 and told["rows_in"] < 14 and told["stored"] == told["rows_out"]
+
+
+def test_times_do_not_depend_on_the_zones(spark, events):
+    import os
+    import time
+
+    old, session = os.environ.get("TZ"), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Asia/Tokyo"):
+            for own in ("UTC", zone):
+                os.environ["TZ"] = zone
+                time.tzset()
+                spark.conf.set("spark.sql.session.timeZone", own)
+                assert events.where(filters.attribute_filter(start="2022-07-11T17:30:00", end=dt.datetime(2023, 1, 1))).count() == 2
+                aware = dt.datetime(2022, 7, 11, 19, 30, tzinfo=dt.timezone(dt.timedelta(hours=2)))
+                assert events.where(filters.attribute_filter(start=aware, end="2022-12-25")).count() == 1
+    finally:
+        os.environ.pop("TZ") if old is None else os.environ.update(TZ=old)
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", session)
+
+
+def test_unlimited_searches(events):
+    assert spatial.near(events, 34.0, -118.0, 2_000_000, limit=None).count() == 2
+    assert spatial.within(events, [[[[-119, 33], [-117, 33], [-117, 35], [-119, 35], [-119, 33]]]], limit=None).count() == 1
+
+
+def test_all_groups_equal_each_group(events):
+    lat, lon = 34.0522, -118.2437
+    every = spatial.near_all_groups(events.withColumn("state", F.when(F.col("state") != "WA", F.col("state"))), lat, lon, 2_000_000)
+    got = {(r.key, r.group, r["count"], r.nearest.accident_id) for r in every.collect()}
+    assert ("state", None, 1, "A-6") in got and ("none", None, 2, "A-1") in got
+    for key in ("severity", "city", "distance_band"):
+        each = spatial.near_groups(events, lat, lon, 2_000_000, key, limit=None).select(F.col("group").cast("string").alias("g"), "count", "nearest.accident_id").collect()
+        assert {(key, *r) for r in each} == {g for g in got if g[0] == key}
+
+
+def test_within_join_of_regions_of_all_sizes(spark):
+    import random
+
+    rnd = random.Random(4)
+    points = spark.createDataFrame([(i, rnd.uniform(-80, 80), rnd.uniform(-179, 179)) for i in range(400)] + [(1000 + i, 10 + i / 1e4, 20.0) for i in range(20)], "point long, lat double, lon double")
+    boxes = [(k, *sorted(rnd.uniform(-170, 170) for _ in range(2)), *sorted(rnd.uniform(-70, 70) for _ in range(2))) for k in range(40)]
+    boxes = [b for b in boxes if b[2] - b[1] < 170] + [(100, 19.9999, 20.0001, 10.0, 10.001), (101, -5.0, 5.0, 1.0, 1.001)]
+    rings = {k: [[[[x1, y1], [x2, y1], [x2, y2], [x1, y2], [x1, y1]]]] for k, x1, x2, y1, y2 in boxes}
+    regions = spark.createDataFrame(list(rings.items()), "region_id long, polygons array<array<array<array<double>>>>")
+    got = {(r.region_id, r.point) for r in spatial.within_join(points, regions).collect()}
+    want = {(k, r.point) for k, area in rings.items() for r in points.where(spatial.geo.in_polygons(F.col("lat"), F.col("lon"), area)).collect()}
+    assert got == want and any(k == 100 for k, _ in got)
 
 
 def test_document_errors(spark):
