@@ -9,7 +9,7 @@ the last return the columns of ``documents``.
 2. ``lines``: later copies of repeated line runs are deleted from the texts; ``n_chars`` follows.
 3. ``near_duplicates``: of each class of near copies the document with the smallest doc_id stays.
 4. ``decontamination``: documents that hold benchmark passages go.
-5. ``tokens``: byte-level BPE ids of each text, and what they decode to.
+5. ``tokens``: byte-level BPE ids of each text, with the digest of the bytes that they decode to.
 
 Rows with a null doc_id are documents like others; rows that share a doc_id are judged by their texts in
 stages 1, 2 and 4 and are one document to stage 3, whose first text by digest stands for it (all its
@@ -49,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
