@@ -119,18 +119,17 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edits need travel.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    parts = shuffle_partitions(docs.sparkSession)
     order = next_ids(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")))
-    texts = with_fingerprint(rows, "text", "fp").repartition(parts, "id")
+    texts = with_fingerprint(rows, "text", "fp")  # dealt by id by the joins, so that Spark can split an id that many rows share; one shuffle serves both
 
     needs = order.select(F.col("id").alias("to"), F.col("next_id").alias("from_id"), F.expr("n div 4").cast("int").alias("need"))
-    sent = texts.join(needs, F.col("id") == F.col("from_id")).select("to", F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("fp").alias("next_fp")).alias("next"))
+    sent = texts.join(needs.hint("merge"), F.col("id") == F.col("from_id")).select("to", F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("fp").alias("next_fp")).alias("next"))
     sent = sent.groupBy("to").agg(F.min("next").alias("next"))
 
     n = F.length("text")
     cut = F.expr("length(text) div 4").cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), (n - cut).cast("int")), F.col("next.head").substr(F.lit(1), cut))
-    both = texts.join(sent, F.col("id") == F.col("to")).select("id", n.cast("long").alias("n_chars"), "fp", F.col("next.next_fp").alias("next_fp"), edited.alias("edited"))
+    both = texts.join(sent.hint("merge"), F.col("id") == F.col("to")).select("id", n.cast("long").alias("n_chars"), "fp", F.col("next.next_fp").alias("next_fp"), edited.alias("edited"))
     both = with_fingerprint(both, "edited", "edited_fp")
     return both.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"),

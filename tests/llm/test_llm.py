@@ -90,7 +90,7 @@ def shingle_set(text):
 def test_fingerprints_estimate_without_bias(spark, texts):
     got = rows_of(QUERIES["op1_fingerprints"](spark, SF), "doc_id")
     ids = sorted(texts)
-    errors = []
+    errors, beside = [], []
     for k, i in enumerate(ids):
         t, following = texts[i], texts[ids[(k + 1) % len(ids)]]
         cut = len(t) // 4
@@ -98,6 +98,9 @@ def test_fingerprints_estimate_without_bias(spark, texts):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == sha(edited)
         a, b = shingle_set(t), shingle_set(edited)
         errors.append(got[i].near_edited - len(a & b) / len(a | b))
+        c = shingle_set(following)
+        beside.append(got[i].near_next - len(a & c) / len(a | c))
+    assert abs(np.mean(beside)) < 0.01 and np.max(np.abs(beside)) < 0.16
     assert len(got) == len(ids) and abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.16
     by_text = {}
     for i, r in got.items():
@@ -255,6 +258,7 @@ def test_token_output_of_awkward_texts(spark, awkward, empty, tmp_path):
     dac.write_tokens(empty, WORDS, str(tmp_path / "e"))
     assert dac.read_tokens(spark, str(tmp_path / "e")).count() == 0
     coder, rnd = dac.word_coder(open(WORDS, encoding="utf-8").read()), random.Random(4)
+    assert coder.by_word
     for _ in range(500):
         t = "".join(rnd.choice(" \n\t'sSt9½²éßÜЖ中😀\u0301\u3000\x1c\x85.,!aaathe<|endoftext|>"[: rnd.choice([30, 60])]) for _ in range(rnd.randrange(40)))
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
@@ -376,6 +380,16 @@ def test_urls(spark):
         assert [(r.rule, r.verdict) for r in got] == want
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
+    odd = ["http://a.com?u=http://b.net/fr/", "http://a.com#x://c.net/es/q", "http://A.net/fr/" + "x/" * 50_000, "http://" + "a." * 5000 + "net/es/", "http://a.net/fr/x", "http://a.net/fr/x"]
+    for most in (url_filter.MAX_BROADCAST_RULES, 2):
+        got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string"), rules, max_broadcast_rules=most).orderBy("page_id").collect()
+        assert [(r.host, r.path) for r in got[:2]] == [("a.com", "")] * 2 and got[2].path == "/fr/" + "x/" * 50_000
+        assert [r.rule for r in got] == [None, None, "net/fr/", "net/es/", "net/fr/", "net/fr/"]
+    rnd = random.Random(5)
+    many = [(rnd.choice(["allow", "block"]), rnd.choice(["com", "a.com", "b.a.com", "net"]), "/" + "".join(rnd.choice("ab/") for _ in range(rnd.randrange(6)))) for _ in range(60)]
+    some = [(i, f"http://{rnd.choice(['a.com', 'b.a.com', 'c.b.a.com', 'x.net', 'com'])}/{''.join(rnd.choice('ab/') for _ in range(8))}") for i in range(300)]
+    by_trie, by_join = (sorted(map(tuple, url_filter.judge_urls(spark.createDataFrame(some, "page_id long, url string"), spark.createDataFrame(many, url_filter.RULES_SCHEMA), max_broadcast_rules=most).collect())) for most in (100, 5))
+    assert by_trie == by_join
     both = spark.createDataFrame([("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("allow", "com", "/x/y/z")], url_filter.RULES_SCHEMA)
     for most in (10, 1):
         assert url_filter.judge_urls(pages.limit(1), both, max_broadcast_rules=most).first().verdict == "block"
@@ -403,6 +417,9 @@ def test_chat_awkward_tables(spark):
     got = rows_of(chat.read_back(chat.format_conversations(df)), "conv_id")
     assert got[1].turns_sha256 == sha("\nx\nuser\n\nassistant\nb\n") and got[1].loss_sha256 == sha("b")
     assert got[2].n_turns == 2 and got[None].n_turns == 1 and got[None].loss_chars == 0
+    alone = chat.read_back(chat.format_conversations(spark.createDataFrame([(None, 0, "user", "u")] * 3 + [(7, 0, "user", "long [INST] " * 100_000)], "conv_id long, turn long, role string, text string")))
+    assert sorted((r.n_turns, r.conv_id) for r in alone.collect() if r.conv_id is None) == [(1, None)] * 3
+    assert alone.where("conv_id = 7").first().n_turns == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
@@ -559,7 +576,7 @@ def test_byte_bpe_as_tiktoken(spark, docs, texts, awkward, empty):
         t = "".join(rnd.choice(" \n\t\r'sStTreveLm09½²ªéß😀👍\u0301\u200b\xa0\u3000\x1c.,!aaaathe\x00中文字") for _ in range(rnd.randrange(40)))
         ids = coder.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
-        assert coder.decode(ids).decode() == t
+        assert coder.decode(np.frombuffer(ids, "<u4").tolist()).decode() == t
         spans = coder.spans(t, ids)
         assert not t or (spans[0][0] == 0 and spans[-1][1] == len(t) and all(b[0] in (a[1], a[1] - 1) for a, b in zip(spans, spans[1:], strict=False)))
 
@@ -569,12 +586,46 @@ def test_byte_bpe_operators(spark):
     encoded = byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN)
     r = rows_of(encoded, "doc_id")
     assert len(r[1].ids) == len(r[1].starts) == len(r[1].ends) and r[2].ids == []
+    odd = spark.createDataFrame([(1, [10**9, -1, None]), (2, None)], "doc_id long, ids array<int>")
+    assert [bytes(x.decoded) for x in byte_bpe.decode(odd, RANKS, public_tokenizers.PATTERN).collect()] == [b"", b""]
+    across = byte_bpe.coder(byte_bpe.tokenizer_json(byte_bpe.read_ranks(RANKS)), r"(?s).{1,3}")
+    assert not across.by_chunk and across.decode(np.frombuffer(across.encode("a b  c d"), "<u4").tolist()) == b"a b  c d"
+    assert byte_bpe.coder(byte_bpe.tokenizer_json(byte_bpe.read_ranks(RANKS)), public_tokenizers.PATTERN).by_chunk
     assert {x.doc_id: bytes(x.decoded).decode() for x in byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()} == {1: "héllo 😀 world", 2: ""}
 
 
 # --- the pipeline ---
 
 
+def test_pipeline_run_equals_brute_force(spark, docs, texts):
+    """All stages after the classifier by brute force, from what the classifier keeps to the ids of the last table."""
+    import corpus_pipeline as p
+
+    got = rows_of(p.run(spark, SF), "doc_id")
+    kept = {r.doc_id for r in quality.score_documents(docs, read_table(spark, SF, "labels")).where("kept").collect()}
+    lines = brute_lines([(i, texts[i]) for i in kept], line_dedup.MIN_LINES, line_dedup.MIN_WORDS)
+    first = {i for i, c in brute_classes(list(lines.items())).items() if i == c}
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in read_table(spark, SF, "benchmark").collect():
+        w = split(r.text)
+        windows |= {tuple(w[k : k + min(13, len(w))]) for k in range(max(1, len(w) - 12))} if w else set()
+    sizes, clean = {len(w) for w in windows}, set()
+    for i in first:
+        w, hit = split(lines[i]), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            clean.add(i)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    assert set(got) == clean and 0 < len(clean) < len(first) < len(lines) <= len(texts)
+    for i, r in got.items():
+        ids = reference.encode_ordinary(lines[i])
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == sha(lines[i])
+
+
 def test_pipeline_stages(spark, docs, texts):
     import corpus_pipeline as p
 
