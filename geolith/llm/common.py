@@ -34,23 +34,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as a table in the shared folder and read again: its lineage ends there."""
+    """The frame written as a table in the shared folder and read again: its lineage ends there.
+
+    While it is written, Spark sends at most PIECE_ROWS rows to Python at once; the session is left as it was.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
+    path, key = shared_dir(spark, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if not 0 < int(before) <= PIECE_ROWS:
+            spark.conf.set(key, str(PIECE_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows and bytes of text that an operator turns into Python objects at a time (a longer text alone).
-PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in small batches, by the texts of column ``at``.
+def pieces(batches: Iterator[pa.RecordBatch], at: int | None = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in small batches, by the texts of column ``at``, or by their mean size.
 
     Spark itself bounds what it sends at once, by spark.sql.execution.arrow.maxBytesPerBatch.
     """
     for batch in batches:
+        if at is None:
+            rows = max(1, min(PIECE_ROWS, len(batch) * PIECE_BYTES // max(1, batch.nbytes)))
+            yield from (batch.slice(begin, rows) for begin in range(0, len(batch), rows))
+            continue
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
         begin = 0
         while begin < len(batch):
@@ -58,6 +71,7 @@ def pieces(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[pa.Record
             end = min(begin + PIECE_ROWS, max(begin + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, side="right"))))
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -223,7 +223,7 @@ def _block_links(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, labels, held, chunk = None, _Labels(), ([], [], []), None
-        for batch in batches:
+        for batch in pieces(batches, 6):
             joined = []
             for key, x, y, streamed, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != (key, x, y):
