@@ -32,9 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
-
-from geolith.llm.common import Remembered, pieces, stored
+from geolith.llm.common import Remembered, fresh_names, pieces, stored
 
 MAX_LABELLED = 6000
 MAX_UNLABELLED = 4000
@@ -190,26 +188,23 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [c.alias(f"_view_{n}") for c, n in zip(columns, ("id", "text", "source", "lang", "n_chars", "th"), strict=True)]
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """The tokens of both views of every row, stored: id, th, content, metadata. ``carry`` puts the table's own columns before, as c0, c1 and so on."""
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
-    rows, n = docs.select(*own, *_inputs(docs, id_col, text_col)), len(own)
-    schema = StructType([*rows.schema.fields[:n], *StructType.fromDDL(_VIEW_SCHEMA).fields])
-    return stored(rows.mapInArrow(lambda batches: _views(batches, n), schema), "views")
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens of both views of every row, stored: id, th, content, metadata."""
+    return stored(docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(_views, _VIEW_SCHEMA), "views")
 
 
-def _views(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows of n columns to hand on, id, text, source, lang, n_chars, th, with the tokens of both views."""
-    hashes = Remembered(_hash, 200_000)
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, text, source, lang, n_chars, th as the tokens of both views."""
+    hashes = Remembered(_hash, 120_000)
     kind = pa.list_(pa.int32())
-    for batch in pieces(batches, n + 1):
+    for batch in pieces(batches):
         content, metadata = [], []
-        for t, *m in zip(*(batch.column(n + i).to_pylist() for i in range(1, 5)), strict=True):
+        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
             distinct, shape = content_tokens(t)
             content.append(np.array([hashes[x] for part in (distinct, shape) for x in part], np.uint32).view(np.int32))
             metadata.append(np.array([hashes[x] for x in metadata_tokens(t, *m)], np.uint32).view(np.int32))
-        cols = [*batch.columns[:n], batch.column(n), batch.column(n + 5), pa.array(content, kind), pa.array(metadata, kind)]
-        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "id", "th", "content", "metadata"])
+        cols = [batch.column(0), batch.column(5), pa.array(content, kind), pa.array(metadata, kind)]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "content", "metadata"])
 
 
 def _token_sets(lists: pa.ListArray) -> list[np.ndarray]:
@@ -246,7 +241,7 @@ def _sure(models, sure: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [_Batches([m.views[k] for m in models.value.values()]) for k in (0, 1)]
-        for batch in batches:
+        for batch in pieces(batches, None):
             labels, some = [], np.zeros(len(batch), bool)
             for k in (0, 1):
                 for view, raw in zip(scorers[k].views, scorers[k].raw(batch.column(2 + k)), strict=True):
@@ -322,36 +317,42 @@ def train(sets: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return models
 
 
-def _scored(models: dict[str, CoTrained], content: pa.ListArray, metadata: pa.ListArray) -> list[np.ndarray]:
+class _Scorer:
     """The probabilities of quality and of toxicity. A target whose labels do not differ decides nothing."""
-    raws = [_Batches([models[t].views[k] for t in TARGETS]).raw(lists) for k, lists in enumerate((content, metadata))]
-    return [models[t].combined([r[i] for r in raws]) if models[t].seen else np.full(len(content), float(t == "quality")) for i, t in enumerate(TARGETS)]
 
+    def __init__(self, models: dict[str, CoTrained]):
+        self.models, self.views = models, [_Batches([models[t].views[k] for t in TARGETS]) for k in (0, 1)]
 
-def score_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: ``doc_id, p_quality, p_toxic, score, kept``. ``options`` are those of ``train``."""
+    def score(self, content: pa.ListArray, metadata: pa.ListArray) -> list[np.ndarray]:
+        raws = [view.raw(lists) for view, lists in zip(self.views, (content, metadata), strict=True)]
+        return [self.models[t].combined([r[i] for r in raws]) if self.models[t].seen else np.full(len(content), float(t == "quality")) for i, t in enumerate(TARGETS)]
+
+
+def _scores(docs: DataFrame, labels: DataFrame, min_quality: float, max_toxic: float, id_col: str, text_col: str, options: dict) -> DataFrame:
+    """``doc_id, th, p_quality, p_toxic, score, kept`` of every row."""
     sets = tokenized(docs, id_col, text_col)
     models = docs.sparkSession.sparkContext.broadcast(train(sets, labels, id_col=id_col, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, x = _scored(models.value, batch.column(1), batch.column(2))
+        scorer = _Scorer(models.value)
+        for batch in pieces(batches, None):
+            q, x = scorer.score(batch.column(2), batch.column(3))
             kept = (q >= min_quality) & (x <= max_toxic)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (q, x, q * (1 - x), kept))], names=["doc_id", "p_quality", "p_toxic", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (q, x, q * (1 - x), kept))], names=["doc_id", "th", "p_quality", "p_toxic", "score", "kept"])
 
-    return sets.select("id", "content", "metadata").mapInArrow(run, SCORE_SCHEMA)
+    return sets.mapInArrow(run, SCORE_SCHEMA.replace("doc_id long", "doc_id long, th long"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that are kept, with all their columns, which are stored beside their tokens: each row is judged where it stands, without a shuffle."""
-    sets = tokenized(docs, id_col, text_col, carry=True)
-    models = docs.sparkSession.sparkContext.broadcast(train(sets, labels, id_col=id_col, **options))
-    n, names = len(docs.columns), docs.columns
+def score_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: ``doc_id, p_quality, p_toxic, score, kept``. ``options`` are those of ``train``."""
+    return _scores(docs, labels, min_quality, max_toxic, id_col, text_col, options).drop("th")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, x = _scored(models.value, batch.column(n), batch.column(n + 1))
-            kept = pa.array((q >= min_quality) & (x <= max_toxic))
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(kept)
 
-    return sets.select(*(f"c{i}" for i in range(n)), "content", "metadata").mapInArrow(run, docs.schema)
+def filter_documents(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that are kept, with all their columns: those whose id and hash of all that is judged are among the kept."""
+    kept = _scores(docs, labels, min_quality, max_toxic, id_col, text_col, options).where("kept")
+    own_id, *_, own_th = _inputs(docs, id_col, text_col)
+    kept = stored(kept.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct(), "kept")
+    i, th = fresh_names(docs, "_kept_id", "_kept_th")
+    kept = kept.toDF(i, th)
+    return docs.join(kept, own_id.eqNullSafe(F.col(i)) & (own_th == F.col(th)), "left_semi")
