@@ -38,7 +38,7 @@ from geolith.llm.common import Remembered, id_and_text, pieces
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Entries in each of the two generations that a Python worker keeps of what it has encoded.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: A blank and what is not white space, or white space, cut where the pattern cuts it.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python's ``re`` but not to Unicode.
