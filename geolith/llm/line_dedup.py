@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from geolith.llm.common import fresh_names, pieces, shuffle_partitions, stored
+from geolith.llm.common import fresh_names, pieces, stored
 
 MIN_LINES = 2
 MIN_WORDS = 5
@@ -61,7 +61,7 @@ def _ranked(pairs: DataFrame, more: bool) -> DataFrame:
     ``open`` pairs have to be ranked again, and ``base`` counts their rows before.
     """
     spark = pairs.sparkSession
-    ordered = pairs.repartitionByRange(shuffle_partitions(spark), "k1", "k2").sortWithinPartitions("k1", "k2").withColumn("part", F.spark_partition_id())
+    ordered = pairs.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2").withColumn("part", F.spark_partition_id())
     ordered = stored(ordered.mapInArrow(_running, "k1 long, k2 long, base long, n long, part int, before long, open boolean, open_before long"), "ranks")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("k")).collect()  # one row per range
     starts, n, k = [], 0, 0
@@ -110,17 +110,22 @@ def _positions(docs: DataFrame, min_words: int | None, id_col: str, text_col: st
 
 
 def _suffix_ranks(positions: DataFrame) -> DataFrame:
-    """``id, th, pos, rank, parted``: whole suffixes of segments in order, and the depth at which a rank's first position parted from the one before."""
+    """``id, th, pos, rank, parted``: whole suffixes of segments in order, and the depth at which a rank's first position parted from the one before.
+
+    A segment whose ranks are all settled is read no more.
+    """
     in_segment = Window.partitionBy("id", "th", "segment").orderBy("pos")
 
     def followed(rows: DataFrame, depth: int) -> DataFrame:
-        return stored(rows.withColumn("k2", F.coalesce(F.lead("rank", depth).over(in_segment), F.lit(_END).cast("long"))), "pairs")
+        rows = rows.withColumn("k2", F.coalesce(F.lead("rank", depth).over(in_segment), F.lit(_END).cast("long")))
+        return stored(rows.withColumn("live", F.max("open").over(Window.partitionBy("id", "th", "segment"))), "pairs")
 
     depth = 1
     # all lines here occur more than once, so all ranks are open and the rows before a rank are all open too
     rows = positions.select(*_PLACE, "segment", F.col("line").alias("rank"), F.col("line").alias("base"), F.lit(True).alias("open"), F.lit(0).alias("parted"))
     rows = followed(rows, depth)
-    while not rows.where("open").isEmpty():
+    settled = rows.where("NOT live")
+    while not (rows := rows.where("live")).isEmpty():
         pairs = rows.where("open").groupBy(F.col("rank").alias("k1"), "k2").agg(F.min("base").alias("base"), F.count("*").alias("n"))
         fresh = _ranked(pairs, True).withColumnRenamed("k2", "to_k2")
         rows = rows.join(fresh, (F.col("rank") == F.col("k1")) & (F.col("k2") == F.col("to_k2")), "left").select(
@@ -133,7 +138,8 @@ def _suffix_ranks(positions: DataFrame) -> DataFrame:
         )
         depth *= 2
         rows = followed(rows, depth)
-    return rows.select(*_PLACE, "rank", "parted")
+        settled = settled.union(rows.where("NOT live"))
+    return settled.select(*_PLACE, "rank", "parted")
 
 
 _OWN = ("rank", "id", "th", "k", "left", "prev")
@@ -165,7 +171,7 @@ def suffix_array(docs: DataFrame, min_words: int | None = MIN_WORDS, id_col: str
     rows = _suffix_ranks(positions).join(positions.withColumnRenamed("segment", "seg"), [*_PLACE])
     order = ["rank", *_PLACE]
     rows = rows.select(*order, F.col("parted").cast("long").alias("parted"), "line", "wordy", "seg", F.col("k").cast("long").alias("k"), "left", "prev")
-    rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     beside = stored(rows.mapInArrow(_beside, f"{kinds}, at long, {', '.join(f'b_{c} long' for c in _OWN)}"), "suffixes")
     lasts = beside.groupBy("part").agg(F.max_by(F.struct(*_OWN), "at").alias("last")).collect()  # one row per range
@@ -215,7 +221,7 @@ def _cuts(batches: Iterator[pa.RecordBatch], thresholds: list[int]) -> Iterator[
 def lcp_intervals(suffixes: DataFrame, thresholds: list[int]) -> DataFrame:
     """The suffix array with ``i0, i1 ...``: equal numbers are neighbours that share at least so many lines, for each threshold."""
     spark = suffixes.sparkSession
-    rows = suffixes.select(*_PLACE, "wordy", "part", "at", "lcp").repartitionByRange(shuffle_partitions(spark), "part", "at").sortWithinPartitions("part", "at")
+    rows = suffixes.select(*_PLACE, "wordy", "part", "at", "lcp").repartitionByRange("part", "at").sortWithinPartitions("part", "at")
     names = [f"i{i}" for i in range(len(thresholds))]
     rows = rows.select(*_PLACE, "wordy", F.spark_partition_id().alias("deal"), "lcp")
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
