@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from geolith.llm.common import Remembered, id_and_text, pieces
+from geolith.llm.common import Remembered, give_memory_back, id_and_text, pieces
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Entries in each of the two generations that a Python worker keeps of what it has encoded.
@@ -108,6 +108,11 @@ class ByteBpe:
             return self._ids_of(text)
         return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
+    def forget(self) -> None:
+        """At the end of a task, so that only the model stays for the tasks of other operators too."""
+        self.chunks.forget()
+        give_memory_back()
+
     def decode(self, ids: Iterable[int | None]) -> bytes:
         """The bytes that the ids stand for; null and what is not in the vocabulary stand for none."""
         n = len(self.bytes_of)
@@ -124,7 +129,10 @@ class ByteBpe:
 
 @functools.lru_cache(maxsize=4)
 def coder(model: str, pattern: str) -> ByteBpe:
-    return ByteBpe(model, pattern)
+    """One to a Python worker, which works for many tasks."""
+    made = ByteBpe(model, pattern)
+    give_memory_back()  # building takes more than the coder keeps
+    return made
 
 
 def _broadcast(spark: SparkSession, ranks_path: str, pattern: str):
@@ -143,6 +151,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             spans = [bpe.spans(t, i) for t, i in zip(texts, ids, strict=True)]
             cols = [[np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [np.array([a for a, _ in s], np.int32) for s in spans], [np.array([b for _, b in s], np.int32) for s in spans]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in cols)], names=["doc_id", "ids", "starts", "ends"])
+        bpe.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -182,5 +191,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
             cols += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        bpe.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ROUND_TRIP_SCHEMA + more)

@@ -124,3 +124,7 @@ class Remembered(dict):
             self.clear()
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
