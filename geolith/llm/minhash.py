@@ -53,7 +53,7 @@ SIZE = BANDS * ROWS
 SLACK = 4.5
 #: Bytes of text of a bucket's outsiders whose postings a task holds, and of the documents that it compares with them.
 CHUNK_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
-_ELEMENTS = 400_000  # shingles whose points are made together
+_ELEMENTS = 150_000  # shingles whose points are made together
 _NO_ID = -(1 << 63)
 
 
