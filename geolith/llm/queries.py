@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.llm import byte_bpe, chat, dac, decontaminate, fingerprints, line_dedup, minhash, quality, substring_dedup, url_filter
+from geolith.llm import byte_bpe, chat, dac, decontaminate, filter_audit, fingerprints, line_dedup, minhash, quality, substring_dedup, url_filter
 from geolith.llm.common import read_table, shared_dir
 
 URL_RULES = [
@@ -66,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +159,31 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(CASE WHEN conflict THEN escaped ELSE length(text) END
                    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (
+            SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+            FROM d),
+        n AS (
+            SELECT part, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails,
+                   count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f GROUP BY ALL),
+        l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (
+            SELECT concat(l1.x, l2.x, l3.x, l4.x, l5.x) AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+            WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5),
+        s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, filter_order[:i - 1] AS before FROM o, unnest(range(1, 6)) AS t(i)),
+        r AS (
+            SELECT part, filter_order, step, own,
+                   CAST(coalesce(sum(docs) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(docs) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(docs) FILTER (gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(docs) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS BIGINT) AS toxic_lost
+            FROM (SELECT *, translate(fails, before, '') <> fails AS gone, contains(fails, own) AS hit FROM n, s) GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
