@@ -26,7 +26,6 @@ empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -43,11 +42,13 @@ ANCHOR = 8
 #: Words that a block gathers before it hands in what it has.
 BLOCK_WORDS = 3_000_000
 _SLICE = 1 << 20  # bytes that are hashed at a time
+_MIXED_FROM = 16  # values whose hash is mixed before it becomes part of a longer one
 _NO_ID = -(1 << 63)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_VALUES = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5], np.uint64)
 
 
@@ -57,20 +58,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64."""
-    base = int(_BASES[0])
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: a value of its own for each byte at each place of a word, mixed before it is added up, so that no pattern of bytes cancels out."""
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + _SLICE)
@@ -80,12 +69,17 @@ def word_hashes(data: bytes) -> np.ndarray:
         inside = np.concatenate([[False], ~_BLANK[b], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        size = _SLICE + 4096
-        while size < len(b) + 1:
-            size *= 2
-        power, inverse = _powers(size)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[b] * power[: len(b)], dtype=np.uint64)])
-        out.append(_mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+        values = _BYTE_VALUES[b]
+        heads = np.concatenate([[0], starts])
+        place = np.arange(len(b), dtype=np.uint64) - np.repeat(heads, np.diff(np.append(heads, len(b)))).astype(np.uint64)
+        place *= _STEP
+        values += place
+        values ^= values >> np.uint64(32)
+        values *= np.uint64(0xBF58476D1CE4E5B9)
+        values ^= values >> np.uint64(29)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out.append(_mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -97,7 +91,7 @@ def _rolled(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     powers, have = {1: h}, 1
     factors = {1: base}
     while have * 2 <= size:
-        left = powers[have]
+        left = _mixed(powers[have]) if have >= _MIXED_FROM else powers[have]  # else long patterns of two values cancel out
         powers[have * 2] = left[:-have] * factors[have] + left[have:]
         factors[have * 2] = np.uint64(pow(int(factors[have]), 2, 1 << 64))
         have *= 2
