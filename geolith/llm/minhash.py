@@ -24,12 +24,13 @@ documents it does not fill get a later bound.
    largest component leaves over fits a chunk; only a bucket of many texts that are all unlike grows with the square.
 
 Classes are connected components of links of at least ``threshold``; the class id is the smallest
-doc_id. Two texts at the threshold miss each other in all bands with probability 5e-8.
+doc_id. Two texts at the threshold miss each other in all bands with probability 5e-8. Distinct texts, known by 128 bits of hash, are
+numbered in order of their smallest doc_id, so the smallest number of a class is its first document.
 
-Edge cases: a null text is empty; texts without words are alike; rows that share a doc_id are one
-document, for which the row with the smallest text digest stands; a null doc_id comes before all
-others; texts of any length count whole; an empty table gives an empty result; other columns are not
-looked at.
+Edge cases: a null text is empty; texts without words are alike; rows that share a doc_id (or have none; those come before all
+others) are documents of their own, compared by their texts, and stand in order of a hash of these; each of several rows with the
+same doc_id and text has its row in the result, marked alike, and ``keep_first`` keeps one of them; texts of any length count
+whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,11 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import id_and_text, pieces, shuffle_partitions, stored
+from geolith.llm.common import fresh_names, id_and_text, pieces, shuffle_partitions, stored
 from geolith.llm.substring_dedup import _BASES, _mixed, _rolled, word_hashes
 
 SHINGLE = 5
@@ -127,8 +127,7 @@ SIGNATURE_SCHEMA = "id long, k1 long, k2 long, size long, sig binary"
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
+        texts = batch.column(1).to_pylist()
         sigs, at = [], 0
         while at < len(texts):
             end, held = at, 0
@@ -138,7 +137,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs.append(bag_minhash(*shingles(texts[at:end]), end - at))
             at = end
         rows = [r.tobytes() for s in sigs for r in s]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(t) for t in texts], pa.int64()), pa.array(rows, pa.binary())], names=["id", "k1", "k2", "size", "sig"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3)), pa.array([len(t) for t in texts], pa.int64()), pa.array(rows, pa.binary())], names=["id", "k1", "k2", "size", "sig"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +221,20 @@ def _block_links(threshold: float):
     """Pairs of components that a link joins, each once a task. Rows in order of the block, outsiders first: key, chunk, slice, streamed, id, comp, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, labels, held, chunk = None, _Labels(), ([], [], []), None
+        block, labels, held, chunk, there = None, _Labels(), ([], [], []), None, set()
         for batch in pieces(batches, 6):
             joined = []
             for key, x, y, streamed, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != (key, x, y):
-                    block, labels, held, chunk = (key, x, y), _Labels(), ([], [], []), None
+                    block, labels, held, chunk, there = (key, x, y), _Labels(), ([], [], []), None, set()
                 if not streamed:
                     for values, v in zip(held, (i, comp, text), strict=True):
                         values.append(v)
                     continue
-                chunk = chunk or _Chunk(*held)
-                if all(labels.of(c) == labels.of(comp) for c in {*held[1]}):
+                if chunk is None:
+                    chunk, there = _Chunk(*held), {*held[1]}
+                own = labels.of(comp)
+                if all(labels.of(c) == own for c in there):
                     continue  # nothing here can join two components any more
                 for j in np.flatnonzero(chunk.near(text, threshold) & (chunk.comp != comp)).tolist():
                     other = held[1][j]
@@ -264,25 +265,51 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "c")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, k1, k2``: the text's hash in two halves."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    return texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, class_id, kept``; ``kept`` marks the document whose id is the class id."""
+    """One row per document: ``doc_id, class_id, kept``; ``kept`` marks the first document of the class, whose id is the class id."""
+    rows = _classified(docs, threshold, id_col, text_col)
+    named = {c: F.when(F.col(v) != _NO_ID, F.col(v)) for c, v in (("doc_id", "id"), ("class_id", "class_id"))}
+    return rows.select(named["doc_id"].alias("doc_id"), named["class_id"].alias("class_id"), "kept")
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first document of a class of near copies, one row for each class."""
+    kept = _classified(docs, threshold, id_col, text_col).where("kept").groupBy("id", "k1", "k2").agg(F.count("*").alias("n"))
+    i, x, y, n = fresh_names(docs, "kept_id", "kept_k1", "kept_k2", "kept_n")
+    kept = stored(kept.toDF(i, x, y, n), "kept")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col(i)) & (F.xxhash64(text) == F.col(x)) & (F.xxhash64(F.lit(1), text) == F.col(y))
+    found = docs.join(kept, same)
+    once, often = found.where(F.col(n) == 1), found.where(F.col(n) > 1).dropDuplicates([i, x, y])
+    return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, k1, k2, class_id, kept`` of each row."""
     parts = shuffle_partitions(docs.sparkSession)
-    texts = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    sigs = texts.mapInArrow(_signatures, SIGNATURE_SCHEMA)
-    sigs = sigs.groupBy("id").agg(F.min(F.struct("k1", "k2", "size", "sig")).alias("s")).select("id", "s.*")
+    texts = _keyed(docs, id_col, text_col)
+    rows = stored(texts.mapInArrow(_signatures, SIGNATURE_SCHEMA), "signatures")
+    # firsts, members and shared are tables of their own, so that Spark can split the rows of a hot key in the joins
+    firsts = rows.groupBy("k1", "k2").agg(F.min("id").alias("first")).repartitionByRange("first", "k1", "k2").sortWithinPartitions("first", "k1", "k2")
+    firsts = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "firsts")
+    members = stored(rows.select("id", "k1", "k2").join(firsts, ["k1", "k2"]), "members")
+    sigs = rows.join(firsts, (rows["k1"] == firsts["k1"]) & (rows["k2"] == firsts["k2"]) & (F.col("id") == F.col("first")))
+    sigs = sigs.groupBy(F.col("node").alias("id")).agg(F.min(F.struct("size", "sig")).alias("s")).select("id", "s.*")  # repeated rows are one
     sigs = stored(sigs, "signatures")
-    # firsts and shared are tables of their own, so that Spark can split the rows of a hot key in the joins
-    firsts = stored(sigs.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "firsts")
-    members = stored(sigs.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).select("id", "rep"), "members")
-    reps = sigs.join(members.where("id = rep").select(F.col("id").alias("rep")), F.col("id") == F.col("rep"), "left_semi")
 
-    in_bands = reps.select("id", "sig").mapInArrow(_buckets, "key long, id long")
+    in_bands = sigs.select("id", "sig").mapInArrow(_buckets, "key long, id long")
     shared = in_bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     bucketed = stored(in_bands.join(stored(shared, "shared"), "key"), "buckets")
     wanted = bucketed.select(F.col("id").alias("want")).distinct()
     sig_of = stored(sigs.join(wanted, F.col("id") == F.col("want"), "left_semi"), "signatures")
-    want = sig_of.select(F.col("id").alias("want"), "k1")
-    text_of = texts.join(want, F.col("id") == F.col("want")).mapInArrow(_with_digest, "id long, text string")
+    want = sig_of.select(F.col("id").alias("want")).join(firsts, F.col("want") == F.col("node")).select("node", F.col("first").alias("id"), "k1", "k2")
+    text_of = texts.join(stored(want, "wanted"), ["id", "k1", "k2"]).select(F.col("node").alias("id"), "text")
     text_of = stored(text_of.dropDuplicates(["id"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -323,15 +350,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = first.join(second.toDF("from", "to"), F.col("c") == F.col("from"), "left").select("node", F.coalesce("to", "c").alias("c"))
     alone = second.join(first.select("node").withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left_anti")  # components of one document
     classes = classes.unionByName(alone)
-    out = members.join(classes, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("c", "rep").alias("class"))
-    named = {c: F.when(F.col(v) != _NO_ID, F.col(v)) for c, v in (("doc_id", "id"), ("class_id", "class"))}
-    return out.select(named["doc_id"].alias("doc_id"), named["class_id"].alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
-
-
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows id, text, want, k1: those whose text has the digest of the row that stands for the document."""
-    for batch in pieces(batches):
-        texts, keys = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-        own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8")[::2].tolist()
-        mask = pa.array([a == b for a, b in zip(own, keys, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["id", "text"])
+    classes = stored(classes.toDF("of", "c"), "classes")
+    named = firsts.select(F.col("node").alias("c"), F.col("first").alias("class_id"))
+    classes = classes.join(named, "c").select("of", F.col("c").alias("class"), "class_id")
+    out = members.join(classes, F.col("node") == F.col("of"), "left")
+    kept = (F.coalesce("class", "node") == F.col("node")) & (F.col("id") == F.col("first"))
+    return out.select("id", "k1", "k2", F.coalesce("class_id", "first").alias("class_id"), kept.alias("kept"))

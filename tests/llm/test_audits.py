@@ -1,12 +1,16 @@
 """Filter interaction audit, language identification and source divergence against brute force and awkward tables."""
 
 import itertools
-from collections import Counter
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.llm import filter_audit
+from geolith.llm import filter_audit, language_id, source_audit
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -105,3 +109,145 @@ def test_a_cascade_loses_what_it_removes(spark):
     totals = out.groupBy("part", "filter_order").agg(F.sum("removed").alias("gone"), F.min_by("kept", -F.col("step")).alias("left"))
     n = spark.read.parquet(f"{SF}/documents.parquet").groupBy(F.coalesce("source", F.lit("")).alias("part")).count()
     assert totals.join(n, "part").where("gone + left <> count").count() == 0
+
+
+# --- 12 ---
+
+
+def test_held_out_accuracy(spark):
+    from geolith.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = {r.doc_id: r for r in QUERIES["op12_language_id"](spark, sf).collect()}
+    assert set(got) == set(want)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
+    kept = [i for i, r in got.items() if r.held_out]
+    assert len(kept) > 150 and sum(got[i].lang_pred == want[i] for i in kept) > 0.98 * len(kept)
+
+
+def test_nothing_but_the_texts_decides(spark, awkward):
+    """Neither languages of held-out rows nor ids and sources of any row change a prediction."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(df.where(~language_id.held_out()))
+    other = df.withColumn("lang", F.when(language_id.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    same = language_id.learn(other.where(~language_id.held_out()))
+    assert same.languages == model.languages and (same.p == model.p).all()
+    plain = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, model).collect()}
+    moved = df.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", F.lit("yy").alias("lang"), F.lit("z").alias("source"))
+    assert {r.doc_id - 1_000_000: (r.lang_pred, r.score) for r in language_id.predict(moved, model).collect()} == plain
+
+
+def test_languages_of_awkward_rows(spark, awkward):
+    got = language_id.identify(awkward).collect()
+    assert len(got) == len(AWKWARD)
+    for r in got:
+        texts = [t for i, t, *_ in AWKWARD if i == r.doc_id]
+        assert 0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if all(t is None or not any(map(str.isalpha, t)) for t in texts):
+            assert (r.lang_pred, r.score, r.languages) == ("und", 0.0, [])
+        else:
+            assert r.lang_pred in {"en", "de", "fr"} and abs(sum(x.share for x in r.languages) - 1) < 1e-4
+    assert language_id.identify(awkward.limit(0)).count() == 0
+    nothing = language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_mixtures_are_found():
+    """Texts drawn from two languages in known proportions, and a long text cut into slices."""
+    rnd = random.Random(3)
+    words = {lang: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(300)] for lang, letters in (("aa", "abcdefgh"), ("bb", "abcdmnop"), ("cc", "wxyzabmn"))}
+    texts = {lang: [" ".join(rnd.choices(w, k=400)) for _ in range(30)] for lang, w in words.items()}
+    counts = []
+    for lang in sorted(texts):
+        total = [0] * language_id.BUCKETS
+        for _, _, _, bucket, n in language_id.features(texts[lang]):
+            for b, x in zip(bucket.tolist(), n.tolist(), strict=True):
+                total[b] += x
+        counts.append(total)
+    model = language_id.Model(sorted(texts), language_id.np.array(counts, float))
+    mixed = [" ".join(rnd.choices(words["aa"], k=int(400 * part)) + rnd.choices(words["bb"], k=400 - int(400 * part))) for part in (1.0, 0.8, 0.5, 0.2, 0.0)]
+    found = language_id.mixtures(model, mixed)
+    for (share, _), part in zip(found, (1.0, 0.8, 0.5, 0.2, 0.0), strict=True):
+        assert abs(share[0] - part) < 0.08 and share[2] == 0
+        assert (share > 0).sum() == (1 if part in (0.0, 1.0) else 2)
+
+
+def test_long_texts_count_whole(monkeypatch):
+    text = "Ein Wort, été " * 3000
+    [(_, _, _, bucket, count)] = language_id.features([text])
+    monkeypatch.setattr(language_id, "SLICE_CHARS", 1001)
+    [(_, _, _, bucket2, count2)] = language_id.features([text])
+    assert bucket.tolist() == bucket2.tolist() and count.tolist() == count2.tolist()
+    assert sum(count.tolist()) == sum(c.isalpha() for c in text)
+
+
+# --- 13 ---
+
+
+def diverged(rows, min_docs=30, top=50):
+    """All rows of the result by whole numbers of Python."""
+    cut = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+    lower = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+    counts, n_docs, sources = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for _, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        found = Counter(cut.findall((text or "").translate(lower)))
+        counts[lang, source] += found
+        n_docs[lang].update(found.keys())
+        sources[lang].add(source)
+    out = set()
+    for lang, own in sources.items():
+        kept = [t for t, n in n_docs[lang].items() if n >= min_docs]
+        whole = {t: sum(counts[lang, s][t] for s in own) for t in kept}
+
+        def shares(of):
+            total = sum(of[t] for t in kept)
+            return {t: 1 + 1_000_000_000 * (of[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        p, q = {s: shares(counts[lang, s]) for s in own}, shares(whole)
+        for s in own:
+            pairs = sorted(((-sum(abs(p[s][t] - p[x][t]) for t in kept), x.encode(), x) for x in own if x != s))
+            out |= {(lang, s, "pair", x, -v, k) for k, (v, _, x) in enumerate(pairs, 1)}
+            more = sorted((q[t] - p[s][t], t.encode(), t) for t in kept if counts[lang, s][t] > 0 and p[s][t] > q[t])
+            out |= {(lang, s, "term", t, -v, k) for k, (v, _, t) in enumerate(more[:top], 1)}
+    return out
+
+
+def as_rows(df):
+    rows = [(r.lang, r.source, r.part, r["item"], r.value, r["rank"]) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize(("min_docs", "top"), [(1, 50), (2, 3), (30, 50)])
+def test_divergences_of_awkward_rows(awkward, min_docs, top):
+    assert as_rows(source_audit.divergences(awkward, min_docs, top)) == diverged(AWKWARD, min_docs, top)
+
+
+def test_divergences_of_many_sources(spark, monkeypatch):
+    """Ties, terms that tasks hand on early, and blocks of one term."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices("Ab cd éf gh ij kl mn op qr st".split(), k=rnd.randint(0, 12))), rnd.choice(["x", "y", None]), f"s{rnd.randint(0, 8)}") for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    assert as_rows(source_audit.divergences(df, 10, 4)) == diverged(rows, 10, 4)
+    assert source_audit.divergences(df.limit(0)).count() == 0
+
+
+def test_shares_do_not_overflow(spark):
+    n = 5 * 10**15
+    got = spark.range(1).select(source_audit._share(F.lit(n), F.lit(3 * n), F.lit(7)).alias("p")).first().p
+    assert got == 1 + 10**9 * (n + 5) // (3 * n + 35) and math.isclose(got, 1e9 / 3, rel_tol=1e-6)
+
+
+def test_terms_are_cut_in_slices(monkeypatch):
+    text = "Éa b1c_d DEF ".encode() * 200
+    whole = source_audit.terms(text)
+    monkeypatch.setattr(source_audit, "SLICE_BYTES", 7)
+    held = source_audit._Held()
+    assert source_audit.terms(text) == whole == {"Éa".encode(): 200, b"b": 200, b"c": 200, b"d": 200, b"def": 200}
+    held.add(("l", "s"), whole)
+    held.add(("l", "s"), whole)
+    [batch] = held.rows()
+    assert batch.to_pylist()[0] == {"lang": "l", "source": "s", "term": None, "n": 0, "n_docs": 0}
+    assert {r["term"]: (r["n"], r["n_docs"]) for r in batch.to_pylist()[1:]} == {t.decode(): (400, 2) for t in whole} and held.size == 0

@@ -556,6 +556,43 @@ def test_near_duplicates_of_awkward_texts(awkward, empty):
     got = rows_of(minhash.near_duplicates(awkward), "doc_id")
     assert len(got) == 9 and got[5].class_id == 4 and got[2].class_id == 1 and got[3].class_id == 1 and got[None].kept
     assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.near_duplicates(awkward).count() == len(AWKWARD)
+
+
+def test_near_duplicates_without_ids_or_with_shared_ones(spark):
+    """Each row is judged by its own text, whatever other rows its doc_id names."""
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, "one lonely text"), (None, " ".join(words)), (None, "another lonely text"), (7, near), (7, "something else"), (8, "something else"), (9, "a text twice"), (9, "a text twice"), (None, "one lonely text")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", row long")
+    out = minhash.near_duplicates(df).collect()
+    assert sorted(map(repr, ((r.doc_id, r.class_id, r.kept) for r in out))) == sorted(
+        map(repr, [(None, None, True)] * 4 + [(7, None, False), (7, 7, True), (8, 7, False), (9, 9, True), (9, 9, True)])
+    )
+    kept = [tuple(r) for r in minhash.keep_first(df).collect()]
+    assert sorted(str(r[:2]) for r in kept) == sorted(map(str, [rows[0], rows[1], rows[2], rows[4], rows[6]]))
+    assert minhash.keep_first(df).columns == df.columns
+
+
+def thue_morse(n):
+    """A word of 2**n letters and the word with the letters exchanged: sums of powers modulo 2**64 cannot tell them apart from 1024 letters on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_are_told_apart(spark):
+    a, b = thue_morse(11)
+    many = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*many, a])), (2, " ".join([*many, b])), (3, " ".join([*many, a])), (4, a), (5, b)]
+    df = spark.createDataFrame(rows, DOCS)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.digest_repeats(df).collect()}
+    assert removed == {1: 0, 2: 0, 3: 20, 4: 0, 5: 0}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df.where("doc_id > 3")).collect()} == {4: 4, 5: 5}
+    values = np.array([3, 5], np.uint64)
+    x, y = (np.where(np.array(list(w)) == "a", *values) for w in (a, b))
+    assert substring_dedup._rolled(x, 2048, substring_dedup._BASES[0])[0] != substring_dedup._rolled(y, 2048, substring_dedup._BASES[0])[0]
 
 
 # --- 10 ---
