@@ -11,9 +11,8 @@ the last return the columns of ``documents``.
 4. ``decontamination``: documents that hold benchmark passages go.
 5. ``tokens``: byte-level BPE ids of each text, with the digest of the bytes that they decode to.
 
-Rows with a null doc_id are documents like others; rows that share a doc_id are judged by their texts in
-stages 1, 2 and 4 and are one document to stage 3, whose first text by digest stands for it (all its
-rows stay or go). Empty tables pass through.
+Rows with a null doc_id are documents like others, and rows that share a doc_id are judged by their texts; of rows that
+share both, stage 3 keeps one. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -26,11 +25,6 @@ from geolith.llm import byte_bpe, decontaminate, line_dedup, minhash, quality
 from geolith.llm.common import read_table, stored
 
 
-def _kept(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ``wanted`` (one column, _id)."""
-    return docs.join(wanted.distinct(), docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
@@ -40,8 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs).where("kept")
-    return _kept(docs, found.select(F.col("doc_id").alias("_id")))
+    return minhash.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
