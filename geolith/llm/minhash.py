@@ -309,7 +309,7 @@ def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
     wanted = bucketed.select(F.col("id").alias("want")).distinct()
     sig_of = stored(sigs.join(wanted, F.col("id") == F.col("want"), "left_semi"), "signatures")
     want = sig_of.select(F.col("id").alias("want")).join(firsts, F.col("want") == F.col("node")).select("node", F.col("first").alias("id"), "k1", "k2")
-    text_of = texts.join(stored(want, "wanted"), ["id", "k1", "k2"]).select(F.col("node").alias("id"), "text")
+    text_of = texts.join(want, ["id", "k1", "k2"]).select(F.col("node").alias("id"), "text")
     text_of = stored(text_of.dropDuplicates(["id"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
