@@ -45,9 +45,21 @@ _REGIONS = """
            -118.60e0 + ((s_suppkey * 131) % 80) / 1e2 as x2, 33.70e0 + ((s_suppkey * 37) % 80) / 1e2 as y2
     from supplier"""
 
+#: Events all over the sphere, and regions across the antimeridian (kind 0), around the poles (1 north, 2 south) and elsewhere (3).
+_FAR_EVENTS = """
+    select concat('E-', cast(event_id as varchar(20))) as accident_id,
+           ((event_id * 6007) % 18000) / 1e2 - 90 + ((event_id * 31) % 97) / 1e4 as lat, ((event_id * 7919) % 36000) / 1e2 - 180 + ((event_id * 17) % 89) / 1e4 as lon
+    from events"""
+_FAR_REGIONS = """
+    select s_suppkey as region_id, s_suppkey % 4 as kind, cast((s_suppkey * 37) % 100 - 50 as double) as y1, cast((s_suppkey * 37) % 100 - 38 as double) as y2,
+           case when s_suppkey % 4 = 0 then 165e0 + s_suppkey % 13 else -150e0 + (s_suppkey * 11) % 200 end as x1,
+           case when s_suppkey % 4 = 0 then 183e0 + s_suppkey % 11 else -90e0 + (s_suppkey * 11) % 200 end as x2,
+           case when s_suppkey % 4 = 2 then -50e0 - s_suppkey % 31 else 50e0 + s_suppkey % 31 end as around
+    from supplier"""
+
 
 def duckdb(view: str) -> str:
-    return {"accidents": _EVENTS, "raw_accidents": _RAW, "centres": _CENTRES, "regions": _REGIONS}[view].format(shift=_DUCKDB_SHIFT)
+    return {"accidents": _EVENTS, "raw_accidents": _RAW, "centres": _CENTRES, "regions": _REGIONS, "far_events": _FAR_EVENTS, "far_regions": _FAR_REGIONS}[view].format(shift=_DUCKDB_SHIFT)
 
 
 def _view(spark: SparkSession, sf_dir: str, text: str, table: str) -> DataFrame:
@@ -71,3 +83,15 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region_id and the box as a multipolygon."""
     ring = "array(array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2), array(x1, y1))"
     return _view(spark, sf_dir, _REGIONS, "supplier").selectExpr("region_id", f"array(array({ring})) as polygons")
+
+
+def far_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, _FAR_EVENTS, "events")
+
+
+def far_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_id and a multipolygon: a box, or a ring of six positions around a pole."""
+    east = "case when x2 >= 180 then x2 - 360 else x2 end"
+    box = f"array(array(x1, y1), array({east}, y1), array({east}, y2), array(x1, y2), array(x1, y1))"
+    cap = "transform(sequence(0, 6), m -> array(cast(-175 + 60 * (m % 6) as double), around))"
+    return _view(spark, sf_dir, _FAR_REGIONS, "supplier").selectExpr("region_id", f"array(array(case when kind in (1, 2) then {cap} else {box} end)) as polygons")

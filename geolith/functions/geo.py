@@ -6,20 +6,23 @@ longitude, latitude. Everything is built from functions that Spark compiles; not
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geolith.functions import rings
+from geolith.functions.rings import Ring
 from geolith.functions.values import to_number
 
 # Fixed values.
 EARTH_RADIUS_M = 6378137.0
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
-Ring = Sequence[Sequence[float]]
-
 
 def valid_lat(c: Column) -> Column:
     return _within(c, 90.0)
@@ -51,10 +54,16 @@ def bbox_polygon(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Col
 
 
 def box_rings(min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> list[list[list[list[float]]]]:
-    """A box as the coordinates of a multipolygon. ValueError if it is not ordered."""
+    """A box as the coordinates of a multipolygon. ValueError if it is not ordered.
+
+    Edges go the shorter way, so one that is 180 degrees wide or more has further corners.
+    """
     if not (min_lon < max_lon and min_lat < max_lat):
         raise ValueError("a box needs min_lon < max_lon and min_lat < max_lat")
-    return [[[[min_lon, min_lat], [max_lon, min_lat], [max_lon, max_lat], [min_lon, max_lat], [min_lon, min_lat]]]]
+    parts = math.ceil((max_lon - min_lon) / 90) if max_lon - min_lon >= 180 else 1
+    between = [min_lon + (max_lon - min_lon) * i / parts for i in range(1, parts)]
+    xs = [min_lon, *between, max_lon]
+    return [[[[x, min_lat] for x in xs] + [[x, max_lat] for x in reversed(xs)] + [[min_lon, min_lat]]]]
 
 
 def cell_index(x: Column, cell: float) -> Column:
@@ -159,95 +168,147 @@ def meters_to_radians(m: Column | float) -> Column | float:
     return m / EARTH_RADIUS_M
 
 
-def near_box(lat: Column, lon: Column, lat0: float, lon0: float, radius_m: float) -> Column:
-    """Plain comparisons that hold for all points within the radius; they reach the Parquet scan."""
+def near_boxes(lat0: float, lon0: float, radius_m: float) -> list[tuple[float, float, float, float]]:
+    """Boxes (min_lat, max_lat, min_lon, max_lon) that together hold all points within the radius: two across the antimeridian."""
     angle = radius_m / EARTH_RADIUS_M * (1 + 1e-9) + 1e-12
     dlat = math.degrees(angle)
-    box = lat.between(lat0 - dlat, lat0 + dlat)
+    south, north = lat0 - dlat, lat0 + dlat
     if abs(lat0) + dlat >= 90 or angle >= math.pi / 2:
-        return box
+        return [(south, north, -180.0, 180.0)]
     dlon = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat0))))) + 1e-9
     west, east = lon0 - dlon, lon0 + dlon
     if west < -180:
-        return box & ((lon >= west + 360) | (lon <= east))
+        return [(south, north, -180.0, east), (south, north, west + 360, 180.0)]
     if east > 180:
-        return box & ((lon >= west) | (lon <= east - 360))
-    return box & lon.between(west, east)
+        return [(south, north, -180.0, east - 360), (south, north, west, 180.0)]
+    return [(south, north, west, east)]
 
 
-def _arc_lat(x1: float, y1: float, x2: float, y2: float, lon: float) -> float:
-    a, b, c = (math.radians(v) for v in (x2 - lon, lon - x1, x2 - x1))
-    return math.degrees(math.atan((math.tan(math.radians(y1)) * math.sin(a) + math.tan(math.radians(y2)) * math.sin(b)) / math.sin(c)))
+def near_box(lat: Column, lon: Column, lat0: float, lon0: float, radius_m: float) -> Column:
+    """Plain comparisons that hold for all points within the radius; they reach the Parquet scan."""
+    boxes = near_boxes(lat0, lon0, radius_m)
+    south, north, west, east = boxes[0]
+    box = lat.between(south, north)
+    if (west, east) == (-180.0, 180.0):
+        return box
+    if len(boxes) == 2:
+        return box & ((lon >= boxes[1][2]) | (lon <= east))
+    return box & lon.between(west, east)
 
 
 def check_polygons(polygons: Sequence[Sequence[Ring]]) -> None:
     """ValueError unless these are the coordinates of a usable multipolygon."""
-    if not polygons or not all(polygons):
-        raise ValueError("a multipolygon needs polygons with rings")
-    for rings in polygons:
-        for ring in rings:
-            if len(ring) < 4 or list(ring[0]) != list(ring[-1]):
-                raise ValueError("a ring needs four positions and the last equal to the first")
-            for x, y in ring:
-                if not (-180 <= x <= 180 and -90 <= y <= 90):
-                    raise ValueError("a position is out of range")
-            if any(abs(a[0] - b[0]) >= 180 for a, b in zip(ring, ring[1:], strict=False)):
-                raise ValueError("edges of 180 degrees or more, or across the antimeridian, are not supported")
+    if error := rings.ring_error(polygons):
+        raise ValueError(error)
+
+
+#: Edges up to which a containment test is written out, one comparison for each; more are looked up.
+WRITTEN_EDGES = 24
 
 
 def in_polygons(lat: Column, lon: Column, polygons: Sequence[Sequence[Ring]]) -> Column:
     """Whether a point is in a multipolygon (coordinates as in GeoJSON) whose edges are great-circle arcs.
 
-    Holes count by parity within a polygon; the polygons are joined by OR. A box around the arcs comes
-    first as plain comparisons.
+    Holes count by parity within a polygon; the polygons are joined by OR. Edges may cross the antimeridian and rings go around a
+    pole (see ``rings``). A box around the arcs comes first as plain comparisons. Of many edges only those at the point's longitude are
+    tested: a constant tree over slabs of longitude holds them, and a binary search finds the slab.
     """
     check_polygons(polygons)
-    inside, lats, lons = F.lit(False), [], []
-    for rings in polygons:
-        crossings = F.lit(0)
-        for ring in rings:
-            for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
-                lons += [x1, x2]
-                lats += [y1, y2]
-                if x1 == x2:
-                    continue
-                lats += [_arc_lat(x1, y1, x2, y2, x1 + (x2 - x1) * i / 64) for i in range(65)]
-                straddles = (F.lit(float(x1)) > lon) != (F.lit(float(x2)) > lon)
-                crossings = crossings + F.when(straddles & (_arc_column(x1, y1, x2, y2, lon) > F.radians(lat)), 1).otherwise(0)
-        inside = inside | (crossings % 2 == 1)
+    south, north, stretches = rings.bounds(polygons)
     slack = 1e-3
-    box = lat.between(min(lats) - slack, max(lats) + slack) & lon.between(min(lons), max(lons))
-    return box & inside
+    box = lat.between(south - slack, north + slack)
+    if stretches != [(-180.0, 180.0)]:
+        beside = functools.reduce(operator.or_, [lon.between(a, b) for a, b in stretches])
+        box = box & (beside | (lon == 180.0) if stretches[0][0] == -180 else beside)
+    x = _on_sphere(lon)
+    parts = [rings.polygon_edges(p) for p in polygons]
+    return box & (_written_out(lat, x, parts) if sum(len(e) for e, _ in parts) <= WRITTEN_EDGES else _looked_up(lat, x, rings.slab_index(polygons)))
+
 
+def _on_sphere(lon: Column) -> Column:
+    return F.when(lon == 180.0, -180.0).otherwise(lon)
 
-def _arc_column(x1: float, y1: float, x2: float, y2: float, lon: Column) -> Column:
-    """Latitude in radians at this longitude of the arc from (x1, y1) to (x2, y2)."""
-    t1, t2, s = math.tan(math.radians(y1)), math.tan(math.radians(y2)), math.sin(math.radians(x2 - x1))
-    return F.atan((F.lit(t1) * F.sin(F.radians(F.lit(float(x2)) - lon)) + F.lit(t2) * F.sin(F.radians(lon - F.lit(float(x1))))) / F.lit(s))
+
+def _arc_above(lat: Column, lon: Column, x1: Column, x2: Column, t1: Column, t2: Column, s: Column) -> Column:
+    """Whether the arc from (x1, y1) to (x2, y2), given by t = tan(y) and s = sin(x2 - x1), passes north of a point."""
+    return F.atan((t1 * F.sin(F.radians(x2 - lon)) + t2 * F.sin(F.radians(lon - x1))) / s) > F.radians(lat)
+
+
+def _written_out(lat: Column, lon: Column, parts: list) -> Column:
+    inside = F.lit(False)
+    for edges, holds_north in parts:
+        crossings = F.lit(int(holds_north))
+        for lo, hi, *arc in edges.tolist():
+            crossings = crossings + F.when((lon >= lo) & (lon < hi) & _arc_above(lat, lon, *map(F.lit, arc)), 1).otherwise(0)
+        inside = inside | (crossings % 2 == 1)
+    return inside
+
+
+def _looked_up(lat: Column, lon: Column, index: dict) -> Column:
+    """One text constant that Spark reads once, when it plans, whatever the number of edges."""
+    edge = rings.EDGE_TYPE.removesuffix(">") + ", polygon: int>"
+    kind = f"struct<breaks: array<double>, steps: array<int>, depth: int, nodes: array<array<int>>, edges: array<{edge}>, flips: array<int>>"
+    fixed = F.from_json(F.lit(json.dumps(index)), kind)
+    size, slabs = 1 << index["depth"], len(index["breaks"]) - 1
+    passed = F.aggregate(fixed["steps"], F.lit(0), lambda n, step: n + F.when(F.get(fixed["breaks"], n + step - 1) <= lon, step).otherwise(0))
+
+    def polygons_above(n: Column) -> Column:
+        """The numbers of the polygons of all edges above the point, each as often as it has some."""
+        path = F.transform(F.sequence(F.lit(0), F.lit(index["depth"])), lambda k: F.get(fixed["nodes"], F.call_function("shiftright", n - 1 + size, k)))
+        here = F.when((n >= 1) & (n <= slabs), F.flatten(path)).otherwise(F.array().cast("array<int>"))
+        edges = F.transform(here, lambda i: F.get(fixed["edges"], i))
+        above = F.filter(edges, lambda e: _arc_above(lat, lon, *(e[c] for c in rings.EDGE[2:])))
+        return F.concat(F.transform(above, lambda e: e["polygon"]), fixed["flips"])
+
+    def odd(found: Column) -> Column:
+        return F.exists(F.array_distinct(found), lambda p: F.size(F.filter(found, lambda q: q == p)) % 2 == 1)
+
+    return F.exists(F.transform(F.array(passed), polygons_above), odd)
 
 
 def polygon_edges(polygons: Column) -> Column:
-    """What ``inside_edges`` needs of a column of multipolygons (array<array<array<array<double>>>>): by polygon and ring, its edges off the meridian."""
+    """What ``inside_edges`` needs of a column of multipolygons (array<array<array<array<double>>>>): of each polygon its edges, and whether it holds the north pole (``odd``)."""
+
+    def turn(a: Column, b: Column) -> Column:
+        d = b[0] - a[0]
+        return F.when(F.abs(d) == 360, 0.0).when(F.abs(d) > 180, d - F.signum(d) * 360).otherwise(d)
+
+    def pieces(a: Column, b: Column) -> Column:
+        def piece(x1: Column, x2: Column) -> Column:
+            lo, hi = F.greatest(F.least(x1, x2), F.lit(-180.0)), F.least(F.greatest(x1, x2), F.lit(180.0))
+            values = lo, hi, x1, x2, F.tan(F.radians(a[1])), F.tan(F.radians(b[1])), F.sin(F.radians(x2 - x1))
+            return F.struct(*[v.alias(c) for v, c in zip(values, rings.EDGE, strict=True)])
+
+        x1, x2 = a[0], b[0]
+        d, whole = x2 - x1, F.signum(x2 - x1) * 360
+        one, two = F.array(piece(x1, x2)), F.array(piece(x1, x2 - whole), piece(x1 + whole, x2))
+        return F.when(F.abs(d) == 360, F.array_remove(one, one[0])).when(F.abs(d) > 180, two).otherwise(F.filter(one, lambda e: e["lo"] < e["hi"]))
+
+    def sides(ring: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")))
+
+    def total(ring: Column, of) -> Column:
+        return F.aggregate(sides(ring), F.lit(0.0), lambda sum_, e: sum_ + of(e["a"], e["b"]))
 
-    def edge(a: Column, b: Column) -> Column:
-        x1, y1, x2, y2 = a[0], a[1], b[0], b[1]
-        return F.struct(x1.alias("x1"), x2.alias("x2"), F.tan(F.radians(y1)).alias("t1"), F.tan(F.radians(y2)).alias("t2"), F.sin(F.radians(x2 - x1)).alias("s"))
+    def holds_north(ring: Column) -> Column:
+        north = total(ring, lambda a, b: (F.sin(F.radians(a[1])) + F.sin(F.radians(b[1]))) * turn(a, b))
+        around = total(ring, turn)
+        return (F.abs(around) > 180) & (north * around > 0)
 
-    def edges(ring: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: edge(F.get(ring, i - 1), F.get(ring, i)))
-        return F.filter(every, lambda e: e["x1"] != e["x2"])
+    def whole(ring: Column) -> Column:
+        return F.flatten(F.transform(sides(ring), lambda e: pieces(e["a"], e["b"])))
 
-    return F.transform(polygons, lambda rings: F.flatten(F.transform(rings, edges)))
+    return F.transform(polygons, lambda p: F.struct((F.size(F.filter(p, holds_north)) % 2 == 1).alias("odd"), F.flatten(F.transform(p, whole)).alias("edges")))
 
 
-def inside_edges(lat: Column, lon: Column, edges: Column) -> Column:
-    """Whether a point is in a multipolygon given by ``polygon_edges``."""
+def inside_edges(lat: Column, lon: Column, polygons: Column) -> Column:
+    """Whether a point is in one of several polygons (array<struct<odd, edges>>): whether the edges that count at its longitude and pass north of it are odd in number, or even if ``odd``."""
+    x = _on_sphere(lon)
 
     def crossed(e: Column) -> Column:
-        arc = F.atan((e["t1"] * F.sin(F.radians(e["x2"] - lon)) + e["t2"] * F.sin(F.radians(lon - e["x1"]))) / e["s"])
-        return ((e["x1"] > lon) != (e["x2"] > lon)) & (arc > F.radians(lat))
+        return (x >= e["lo"]) & (x < e["hi"]) & _arc_above(lat, x, *(e[c] for c in rings.EDGE[2:]))
 
-    return F.exists(edges, lambda polygon: F.size(F.filter(polygon, crossed)) % 2 == 1)
+    return F.exists(polygons, lambda p: (F.size(F.filter(p["edges"], crossed)) % 2 == 1) != p["odd"])
 
 
 def in_polygon_column(lat: Column, lon: Column, polygons: Column) -> Column:

@@ -7,13 +7,16 @@ before the exact test, which Parquet statistics can use.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.functions import geo
+from geolith.functions import geo, rings
 from geolith.operators.filters import MAX_GROUPS, MAX_RADIUS_M, check_page, check_range
+from geolith.sources.shared import stored
 
 GROUPS = ("none", "severity", "state", "city", "hour", "dow", "weather", "grid_id", "geohash", "distance_band")
 Polygons = Sequence[Sequence[Sequence[Sequence[float]]]]
@@ -43,6 +46,45 @@ def near(df: DataFrame, lat: float, lon: float, radius_m: float, limit: int | No
     return page(_in_ring(df, lat, lon, radius_m, min_m, condition).orderBy("distance_m", "accident_id"), limit, skip)
 
 
+#: Cells of the histogram of ``nearest``, in degrees, and by what its distances grow from step to step.
+NEAREST_CELL, NEAREST_STEP = 0.5, 1.1
+
+
+def cell_counts(df: DataFrame, cell: float = NEAREST_CELL) -> DataFrame:
+    """``i, j, n``: how many points each cell has. ``nearest`` takes it, stored, instead of counting for each search."""
+    return df.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(geo.cell_index(F.col("lat"), cell).alias("i"), geo.cell_index(F.col("lon"), cell).alias("j")).agg(F.count("*").alias("n"))
+
+
+def nearest_radius(cells: DataFrame, lat: float, lon: float, k: int, cell: float = NEAREST_CELL) -> float:
+    """A radius in metres within which there are k points, or all if they are fewer, from the counts of cells.
+
+    A cell's points are no farther than its middle and half its diagonal. Only sums by steps of distance reach the driver.
+    """
+    middle_lat, middle_lon = ((F.col(c) + 0.5) * cell for c in ("i", "j"))
+    half = math.radians(cell / 2) * geo.EARTH_RADIUS_M
+    far = geo.haversine_m(F.lit(float(lat)), F.lit(float(lon)), middle_lat, middle_lon) + half * 2
+    step = F.ceil(F.log(far) / math.log(NEAREST_STEP))
+    seen, radius = 0, 0.0
+    for r in sorted(cells.groupBy(step.alias("step")).agg(F.sum("n").alias("n")).collect()):  # a few hundred steps on a sphere
+        seen, radius = seen + r.n, NEAREST_STEP**r.step
+        if seen >= k:
+            break
+    return min(radius * (1 + 1e-9), math.pi * geo.EARTH_RADIUS_M)
+
+
+def nearest(df: DataFrame, lat: float, lon: float, k: int, cells: DataFrame | None = None, cell: float = NEAREST_CELL) -> DataFrame:
+    """The k events nearest to a point, with ``distance_m``, wherever they are: no radius has to be known.
+
+    The search looks at what lies within the least distance at which the counts of cells prove k events, and a box of that size reaches the scan.
+    """
+    check_range("lat", lat, -90, 90)
+    check_range("lon", lon, -180, 180)
+    check_range("k", k, 1, float("inf"))
+    radius = nearest_radius(cell_counts(df, cell) if cells is None else cells, lat, lon, k, cell)
+    found = df.where(geo.near_box(F.col("lat"), F.col("lon"), lat, lon, radius)).withColumn("distance_m", geo.haversine_m(F.lit(float(lat)), F.lit(float(lon)), F.col("lat"), F.col("lon")))
+    return found.where(F.col("distance_m") <= radius).orderBy("distance_m", "accident_id").limit(k)
+
+
 def near_count(df: DataFrame, lat: float, lon: float, radius_m: float, min_m: float = 0.0, condition: Column | None = None) -> DataFrame:
     return _in_ring(df, lat, lon, radius_m, min_m, condition).agg(F.count("*").alias("total_matching"))
 
@@ -174,56 +216,82 @@ def near_join(points: DataFrame, centres: DataFrame, radius_m: float) -> DataFra
     return met.where(F.col("distance_m") <= radius_m)
 
 
-def _with_box(regions: DataFrame) -> DataFrame:
-    """Adds the box of each region, widened by what its arcs can bulge beyond their ends."""
-    xs = F.flatten(F.transform(F.flatten("polygons"), lambda ring: F.transform(ring, lambda xy: xy[0])))
-    ys = F.flatten(F.transform(F.flatten("polygons"), lambda ring: F.transform(ring, lambda xy: xy[1])))
-    out = regions.withColumns({"_x1": F.array_min(xs), "_x2": F.array_max(xs), "_y1": F.array_min(ys), "_y2": F.array_max(ys)})
-
-    def bulge(y: str) -> Column:
-        """Latitude that an arc as long as the box reaches between two ends at this latitude."""
-        return F.degrees(F.atan(F.tan(F.radians(F.abs(F.col(y)))) / F.cos(F.radians((F.col("_x2") - F.col("_x1")) / 2)))) - F.abs(F.col(y)) + 1e-3
-
-    return out.withColumns({"_y1": F.col("_y1") - F.when(F.col("_y1") < 0, bulge("_y1")).otherwise(1e-3), "_y2": F.col("_y2") + F.when(F.col("_y2") > 0, bulge("_y2")).otherwise(1e-3)})
+#: Bytes of cells up to which the cells of all regions travel to every task.
+BROADCAST_BYTES = 32 << 20
+_COVER = f"_size int, _row int, _col int, _inside boolean, _polygons array<struct<odd: boolean, edges: array<{rings.EDGE_TYPE}>>>, _bytes long"
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each region, some regions at a time. Rows: region_id, polygons."""
+    edge = pa.struct([(c, pa.float64()) for c in rings.EDGE])
+    kind = pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(edge))]))
+    names = [c.split()[0] for c in _COVER.split(", ") if c.startswith("_")]
+    for batch in batches:
+        ids = batch.column(0)
+        at, many, held = [], [], 0
+        for k in range(len(batch)):
+            polygons = batch.column(1)[k].as_py()
+            if rings.ring_error(polygons) is None:
+                at.append(k)
+                many.append(polygons)
+                held += sum(len(ring) for p in polygons for ring in p)
+            if many and (held >= rings.BATCH_EDGES or k == len(batch) - 1):
+                for region, level, i, j, what in rings.covers(many):
+                    entries = [None if x is None else [{"odd": odd, "edges": [dict(zip(rings.EDGE, e, strict=True)) for e in own.tolist()]} for odd, own in x] for x in what]
+                    size = [64 + sum(len(own) for _, own in x or ()) * 8 * len(rings.EDGE) for x in what]
+                    cols = [ids.take(pa.array(np.array(at)[region])), *(pa.array(c.astype(np.int32)) for c in (level, i, j)), pa.array([x is None for x in what], pa.bool_()), pa.array(entries, kind), pa.array(size, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["_region", *names])
+                at, many, held = [], [], 0
+
+
+def region_cells(regions: DataFrame) -> DataFrame:
+    """``_region`` (region_id) and the cells of each region: size, row and column, whether the cell lies inside, else the edges that decide there, and bytes."""
+    kind = regions.schema["region_id"].dataType.simpleString()
+    return regions.select("region_id", "polygons").mapInArrow(_covered, f"_region {kind}, {_COVER}")
+
+
+def _met(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points with ``_region``: those in inner cells at once, those in cells on a boundary if the edges there say so.
+
+    A point is listed once for each size of cells in use. The cells travel to every task if they have at most BROADCAST_BYTES, else both sides
+    are shuffled by cell and Spark splits cells that are crowded.
+    """
+    cells = stored(region_cells(regions), "cells")
+    told = cells.groupBy("_size").agg(F.sum("_bytes").alias("bytes")).collect()  # a row for each size, 12 at most
+    cells = cells.drop("_bytes")
+    sizes = sorted(r["_size"] for r in told)
+    small = sum(r["bytes"] for r in told) <= BROADCAST_BYTES
 
+    def place(x: Column, low: float) -> Column:
+        return F.floor((x - low) / (F.lit(360.0) / F.pow(F.lit(2.0), F.col("_size")))).cast("int")
 
-#: The finest cells, as a power of two of a degree, and in how many parts the longer side of a region is cut at least.
-FINEST, SIDE_CELLS = -14, 4
+    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_size", F.explode(F.array(*map(F.lit, sizes))) if sizes else F.lit(0))
+    p = p.withColumns({"_row": place(F.col("lat"), -90.0), "_col": place(F.when(F.col("lon") == 180.0, -180.0).otherwise(F.col("lon")), -180.0)})
+    met = p.join(F.broadcast(cells) if small else cells, ["_size", "_row", "_col"])
+    return met.where(F.col("_inside") | geo.inside_edges(F.col("lat"), F.col("lon"), F.col("_polygons"))).drop("_size", "_row", "_col", "_inside", "_polygons")
 
 
 def within_join(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Points in each region: all columns of both. ``regions`` has region_id and polygons.
+    """Points in each region: all columns of both. ``regions`` has region_id (which names one region) and polygons.
 
-    Cells come in powers of two of a degree. A region is listed under the cells of its box that are a quarter to an eighth of its longer side,
-    at most 9 by 9 of them, and points meet it there, once for each size in use: what meets is little more
-    than what is in the box. Box and containment decide; AQE splits cells that are crowded.
+    Regions are covered by cells of three sizes, the smaller ones along the boundary. Most points are in cells that lie wholly inside and
+    are not tested; a cell on a boundary brings only the edges that matter there, so a point's test does not grow with the outline. Regions may
+    cross the antimeridian and hold a pole; a region with a ``polygon_error`` has no points.
     """
-    side = F.greatest(F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"))
-    size = F.least(F.greatest(F.floor(F.log2(side / SIDE_CELLS)), F.lit(FINEST)), F.lit(7)).cast("int")
-    boxed = _with_box(regions).withColumn("_edges", geo.polygon_edges(F.col("polygons"))).withColumn("_size", size)
-    sizes = sorted(r["_size"] for r in boxed.select("_size").distinct().collect() if r["_size"] is not None)  # 22 at most
-
-    def cell(x: Column) -> Column:
-        return F.floor(x / F.pow(F.lit(2.0), F.col("_size"))).cast("int")
-
-    r = boxed.withColumn("_row", F.explode(F.sequence(cell(F.col("_y1")), cell(F.col("_y2"))))).withColumn("_col", F.explode(F.sequence(cell(F.col("_x1")), cell(F.col("_x2")))))
-    p = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes))) if sizes else F.lit(0))
-    p = p.withColumns({"_row": cell(F.col("lat")), "_col": cell(F.col("lon"))})
-    met = p.join(F.broadcast(r) if _small(regions) else r, ["_size", "_row", "_col"])
-    met = met.where(F.col("lat").between(F.col("_y1"), F.col("_y2")) & F.col("lon").between(F.col("_x1"), F.col("_x2")))
-    return met.where(geo.inside_edges(F.col("lat"), F.col("lon"), F.col("_edges"))).drop("_size", "_row", "_col", "_x1", "_x2", "_y1", "_y2", "_edges")
+    return _met(points, regions).join(regions, F.col("_region").eqNullSafe(F.col("region_id"))).drop("_region")
 
 
 def region_summaries(points: DataFrame, regions: DataFrame) -> DataFrame:
-    return within_join(points, regions).groupBy("region_id").agg(*_summary())
+    return _met(points, regions).groupBy(F.col("_region").alias("region_id")).agg(*_summary())
 
 
 def polygon_error(polygons: Column) -> Column:
     """Why a column's multipolygon cannot be used; null where it can."""
-    rings = F.flatten(polygons)
+    every = F.flatten(polygons)
     return (
         F.when(polygons.isNull() | (F.size(polygons) == 0) | F.exists(polygons, lambda p: p.isNull() | (F.size(p) == 0)), "no rings")
-        .when(F.exists(rings, lambda r: r.isNull() | (F.size(r) < 4)), "a ring needs four positions")
-        .when(F.exists(F.flatten(rings), lambda xy: xy.isNull() | (F.size(xy) < 2) | F.coalesce(~xy[0].between(-180, 180) | ~xy[1].between(-90, 90), F.lit(True))), "a position is out of range")
-        .when(F.exists(rings, lambda r: F.element_at(r, 1) != F.element_at(r, -1)), "a ring is not closed")
+        .when(F.exists(every, lambda r: r.isNull() | (F.size(r) < 4)), "a ring needs four positions")
+        .when(F.exists(F.flatten(every), lambda xy: xy.isNull() | (F.size(xy) < 2) | F.coalesce(~xy[0].between(-180, 180) | ~xy[1].between(-90, 90), F.lit(True))), "a position is out of range")
+        .when(F.exists(every, lambda r: F.element_at(r, 1) != F.element_at(r, -1)), "a ring is not closed")
+        .when(F.exists(every, lambda r: F.exists(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.abs(F.get(r, i)[0] - F.get(r, i - 1)[0]) == 180)), "an edge of 180 degrees has no direction")
     )
