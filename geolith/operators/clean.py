@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions.geo import grid_id
 from geolith.functions.values import to_number, to_time
+from geolith.sources.shared import stored
 
 #: Names of the raw columns and of the clean ones.
 COLUMN_MAP = {
@@ -68,13 +69,18 @@ def drop_reason(columns: list[str], box: tuple[float, float, float, float] = BOX
 
 
 def tagged(raw: DataFrame, position: str | Column = "pos", box: tuple[float, float, float, float] = BOX) -> DataFrame:
-    """The typed rows with ``drop_reason``. ``position`` orders rows as the source does; rows that earlier rules reject never shadow others."""
+    """The typed rows with ``drop_reason``. ``position`` orders rows as the source does; rows that earlier rules reject never shadow others.
+
+    The source is read and parsed once, when this is called: the rows with the verdict of rules 1 to 6 are written to the shared folder.
+    Rule 7 reads ids and positions of the rows that are kept back from there, and ids that occur twice, which are few and a table of
+    known size, meet the rows when these are read.
+    """
     out = _typed(raw).withColumn("drop_reason", drop_reason(raw.columns, box))
     if "accident_id" in raw.columns:
-        # only ids and positions of rows that the other rules keep are grouped, and only ids that occur twice come back
         at = F.col(position) if isinstance(position, str) else position
-        out = out.withColumn("_at", at)
+        out = stored(out.withColumn("_at", at), "parsed")
         twice = out.where("drop_reason IS NULL").groupBy(F.col("accident_id").alias("_id")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        twice = stored(twice, "repeated")
         later = F.col("drop_reason").isNull() & (F.col("_at") > F.col("_first"))
         out = out.join(twice, F.col("accident_id").eqNullSafe(F.col("_id")), "left").withColumn("drop_reason", F.when(later, "duplicate").otherwise(F.col("drop_reason"))).drop("_at", "_id", "_first")
     return out.withColumn("severity", F.when(F.col("drop_reason").isNull(), F.col("severity")).cast("int")) if "severity" in raw.columns else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolith.sources.files import shared_dir
+from geolith.sources.shared import shared_dir
 
 
 def file_blocks(df: DataFrame) -> DataFrame:

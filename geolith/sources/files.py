@@ -4,26 +4,16 @@ from __future__ import annotations
 
 import functools
 import operator
-import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from geolith.operators.clean import COLUMN_MAP
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir. Only a session in one process may go without that setting: it gets a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="geolith-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from geolith.sources import keys as key_index
+from geolith.sources.shared import shared_dir  # noqa: F401
 
 
 def split_session(spark: SparkSession, split_bytes: int | None) -> SparkSession:
@@ -39,7 +29,7 @@ def split_session(spark: SparkSession, split_bytes: int | None) -> SparkSession:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int | None = None) -> DataFrame:
-    """Text columns of CSV files by the names of their header (the first file's; all of a path share it), in any number of splits.
+    """Text columns of CSV files by the names of their header, in any number of splits. A file whose header differs from the first file's is an error when it is read (``blocks`` reads such files).
 
     Rows with more fields than the header (empty ones count) are left out, rows with fewer have nulls, empty fields are null, columns that the
     files lack are null. ``columns`` are those to return, the raw names of the clean table unless told.
@@ -47,9 +37,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, s
     spark = split_session(spark, split_bytes)
     header, odd = spark.read.csv(path, header=True).columns, "_odd"
     schema = StructType([StructField(c, StringType()) for c in [*header, odd]])
-    raw = spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord=odd)
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, mode="PERMISSIVE", enforceSchema=False, escape='"', columnNameOfCorruptRecord=odd)
     # a row that has not as many fields as the header comes as text too; what stands in quotes has no separators
-    bare = F.regexp_replace(odd, r'"(?:[^"\\]|\\.|"")*"', "")
+    bare = F.regexp_replace(odd, r'"(?:[^"]|"")*"', "")
     read = F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0  # always so; Spark refuses to read the odd rows' text alone
     raw = raw.where(read & (F.col(odd).isNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) < len(header))))
     wanted = list(COLUMN_MAP) if columns is None else columns
@@ -91,22 +81,44 @@ def _observed(seen: Observation) -> int:
         return 0
 
 
-def append_new(incoming: DataFrame, path: str, *keys: str) -> dict[str, int]:
-    """Appends what is new by key, so that a second run appends nothing: ``rows_in, appended, skipped``."""
+def append_new(incoming: DataFrame, path: str, *keys: str, bucket_keys: int = key_index.BUCKET_KEYS) -> dict[str, int]:
+    """Appends what is new by key, so that a second run appends nothing: ``rows_in, appended, skipped``.
+
+    Of a table that has rows, only those stored keys are read that its index (see ``keys``) cannot rule out. ``incoming`` is
+    read twice: for its keys, and to be stored.
+    """
     spark = incoming.sparkSession
     read, put = Observation(), Observation()
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = incoming.limit(0)
-    fresh = new_rows(incoming.observe(read, F.count(F.lit(1)).alias("n")), existing, *keys)
+    existing = key_index.KeyIndex(spark, path, keys, bucket_keys).existing(incoming) if key_index.has_rows(spark, path) else None
+    seen = incoming.observe(read, F.count(F.lit(1)).alias("n"))
+    fresh = seen.dropDuplicates(list(keys)) if existing is None else new_rows(seen, existing, *keys)
     fresh.observe(put, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     n, k = _observed(read), _observed(put)
     return {"rows_in": n, "appended": k, "skipped": n - k}
 
 
+def replace(df: DataFrame, path: str) -> int:
+    """Writes a table beside the one at ``path`` and then puts it in its place, so that a failure loses neither; returns its row count.
+
+    Where renaming a folder is one step of the file system, readers see the old table or the new one.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    new, old = (f"{path}-{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(new)
+    if key_index.exists(spark, path):
+        key_index.rename(spark, path, old)
+        try:
+            key_index.rename(spark, new, path)
+        except Exception:
+            key_index.rename(spark, old, path)
+            raise
+        key_index.delete(spark, old)
+    else:
+        key_index.rename(spark, new, path)
+    return _observed(seen)
+
+
 def month_buckets(df: DataFrame, min_rows: int = 1) -> DataFrame:
     """The (year, month) buckets of a table, largest first; rows without a date are a bucket of their own."""
     out = df.groupBy(F.year("start_time").alias("year"), F.month("start_time").alias("month")).agg(F.count("*").alias("count")).where(F.col("count") >= min_rows)

@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.operators import aggregate, clean, enrich, filters, reading, sample, spatial
+from geolith.functions import geo
+from geolith.operators import aggregate, clean, enrich, filters, partials, reading, sample, spatial, tables
 from geolith.plans import jobs
-from geolith.sources import files
+from geolith.sources import blocks, files, keys, layout
 
 DIRTY = [
     ("A-1", "2", "2021-02-08 05:46:00", "34.0522", "-118.2437", "Los Angeles", "CA"),
@@ -268,3 +269,213 @@ def test_document_errors(spark):
 def test_json_times_have_an_offset(spark):
     df = spark.createDataFrame([(dt.datetime(2021, 2, 8, 5, 46),)], "start_time timestamp_ntz")
     assert enrich.as_json(df).first()[0] == '{"start_time":"2021-02-08T05:46:00.000000+00:00"}'
+
+
+# --- keys, blocks, increments ---
+
+
+def stored_rows(spark, path):
+    return sorted((r.k, r.v) for r in spark.read.parquet(path).collect())
+
+
+def test_an_append_reads_few_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(40_000).select(F.concat(F.lit("key-"), F.col("id") * 7919).alias("k"), F.col("id").alias("v"))
+    files.append_new(df, path, "k", bucket_keys=500)
+    index = keys.KeyIndex(spark, path, ("k",), bucket_keys=500)
+    fresh = spark.range(40_000, 40_400).select(F.concat(F.lit("key-"), F.col("id") * 7919).alias("k"), F.col("id").alias("v"))
+    index.existing(fresh)
+    assert index.bytes_read < 0.1 * index.bytes_all
+    some = df.where("v % 100 = 3")
+    found = index.existing(some)
+    assert some.join(found, "k", "left_anti").isEmpty() and index.bytes_read > 0
+    assert files.append_new(fresh.union(some), path, "k", bucket_keys=500) == {"rows_in": 800, "appended": 400, "skipped": 400}
+    assert spark.read.parquet(path).count() == 40_400
+
+
+def test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch):
+    """Tables without an index, appends that the index has not seen, files that have gone, and many segments."""
+    path, rows = str(tmp_path / "t"), [("a", 1), ("b", 2), (None, 3)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    df.write.parquet(path)
+    assert files.append_new(df, path, "k")["appended"] == 0
+    spark.createDataFrame([("c", 4)], "k string, v long").write.mode("append").parquet(path)
+    more = spark.createDataFrame([("c", 9), ("d", 5)], "k string, v long")
+    assert files.append_new(more, path, "k")["appended"] == 1
+    files.overwrite(more, path)
+    assert files.append_new(df, path, "k")["appended"] == 3
+    monkeypatch.setattr(keys, "MAX_SEGMENTS", 3)
+    for i in range(8):
+        assert files.append_new(spark.createDataFrame([(f"n{i}", i), ("a", 0)], "k string, v long"), path, "k")["appended"] == 1
+    segments = keys.KeyIndex(spark, path, ("k",)).refresh()
+    assert len(segments) <= 4 and sum(x.n for x in segments) == 13
+    assert files.append_new(spark.read.parquet(path), path, "k")["appended"] == 0
+
+
+def test_an_empty_folder_is_an_empty_table(spark, tmp_path):
+    path = tmp_path / "t"
+    path.mkdir()
+    df = spark.createDataFrame([("a", 1)], "k string, v long")
+    assert files.append_new(df, str(path), "k")["appended"] == 1
+    assert files.replace(df.union(df), str(path)) == 2 and stored_rows(spark, str(path)) == [("a", 1)] * 2
+    assert files.replace(df.limit(0), str(path)) == 0
+
+
+def test_a_failed_replacement_keeps_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1)], "k string, v long")
+    files.replace(df, path)
+    with pytest.raises(Exception, match="no such luck"):
+        files.replace(df.withColumn("v", F.raise_error(F.lit("no such luck")).cast("long")), path)
+    assert stored_rows(spark, path) == [("a", 1)]
+
+
+def test_blocks_of_files_are_all_lines_once(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID,Severity,City\n" + "".join(f"A{i},2,Town {i}\n" for i in range(200)))
+    (folder / "b.csv").write_bytes(b"City,ID,Other\r\n" + b"".join(f'"x, ""{i}""",B{i},y\r\n'.encode() for i in range(50)) + b"\nlast,B50,y")
+    (folder / "c.csv").write_text("ID,City\nC1,one\nC2,two,too many\nC3\n")
+    want = [(f"A{i}", "2", f"Town {i}") for i in range(200)] + [(f"B{i}", None, f'x, "{i}"') for i in range(50)] + [("B50", None, "last"), ("C1", None, "one"), ("C3", None, None)]
+    for size in (1 << 20, 97, 1):
+        source = blocks.CsvBlocks(spark, str(folder), block_bytes=size, columns=["ID", "Severity", "City"])
+        chosen = source.blocks()
+        if size == 1:
+            lines = [x for b in chosen for x in blocks.lines(b.file, b.start, b.length)]
+            assert len(lines) == len(set(lines)) == 200 + 51 + 3
+            continue
+        got = sorted((tuple(r)[2:] for r in source.read(chosen).collect()), key=repr)
+        assert got == sorted(want, key=repr)
+
+
+def test_a_sample_reads_few_blocks(spark, tmp_path):
+    folder = tmp_path / "csv"
+    rows = spark.range(6000).select(F.concat(F.lit("E"), "id").alias("ID"), F.lit("2").alias("Severity"), F.lit("2021-02-08 05:46:00").alias("Start_Time"), F.lit("34.05").alias("Start_Lat"), F.when(F.col("id") % 3 == 0, "").otherwise("-118.25").alias("Start_Lng"), F.lit("LA").alias("City"), F.lit("1").alias("Distance(mi)"))
+    rows.repartition(3).write.csv(str(folder), header=True)
+    source = blocks.CsvBlocks(spark, str(folder), block_bytes=8 << 10)
+    told = jobs.ingest_sample(source, str(tmp_path / "t"), 500, wave=2)
+    assert 500 <= told["stored"] < 1200 and told["bytes"] < 0.3 * sum(n for _, n in source.files)
+    assert told["rows_in"] == told["rows_out"] + told["null_coords"] and spark.read.parquet(str(tmp_path / "t")).count() == told["stored"]
+    again = blocks.CsvBlocks(spark, str(folder), block_bytes=8 << 10)
+    assert again.blocks() == source.blocks() and blocks.CsvBlocks(spark, str(folder), block_bytes=8 << 10, seed=1).blocks() != source.blocks()
+    assert jobs.ingest_sample(source, str(tmp_path / "t"), 1, wave=2)["stored_before"] > 0
+    with pytest.raises(FileNotFoundError):
+        blocks.CsvBlocks(spark, str(tmp_path / "t"))
+
+
+def test_headers_that_differ_are_an_error(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID,City\nA1,one\n")
+    (folder / "b.csv").write_text("City,ID\ntwo,B1\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, str(folder), ["ID", "City"]).collect()
+
+
+def rounded(df):
+    """Rows whose sums may have been added up in another order."""
+
+    def one(v):
+        return float(f"{v:.12g}") if isinstance(v, float) else [one(x) for x in v] if isinstance(v, list) else {k: one(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    return [one(r.asDict(True)) for r in df.collect()]
+
+
+def test_increments_equal_one_run(spark, tmp_path):
+    rows = [(f"E{i}", 33.0 + i % 37 / 10, -118.0 - i % 23 / 10, i % 4 + 1, dt.datetime(2020 + i % 3, i % 12 + 1, 1 + i % 28, i % 24), f"City{i % 19}", i / 7, None if i % 5 == 0 else f"S{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "accident_id string, lat double, lon double, severity int, start_time timestamp_ntz, city string, distance_mi double, state string")
+    parts = partials.Increments(str(tmp_path))
+    parts.add(df.where("accident_id < 'E2'"), "one")
+    parts.add(df.where("accident_id >= 'E2' AND accident_id < 'E4'"), "two")
+    parts.add(df.where("accident_id >= 'E4'"), "three")
+    parts.add(df.where("accident_id >= 'E4'"), "three")  # again, after a failure
+    got, want = parts.tables(spark), jobs.aggregates(df, exact=True)
+    for name, table in want.items():
+        columns = [c for c in table.columns if c != "distinct_cities"]
+        assert set(got[name].columns) == set(table.columns)
+        assert rounded(got[name].select(*columns)) == rounded(table.select(*columns)), name
+    estimates = got["state"].join(want["state"].select("state", F.col("distinct_cities").alias("n")), "state").collect()
+    assert estimates and all(abs(r.distinct_cities - r.n) <= 1 for r in estimates)
+    months = ["2020-01", "2021-02"]
+    some = parts.tables(spark, months=months)["state"].agg(F.sum("count")).first()[0]
+    assert some == df.where(F.date_format("start_time", "yyyy-MM").isin(months) & F.col("state").isNotNull()).count()
+
+
+def test_geohashes_roll_up(spark):
+    df = spark.range(300).select(F.concat(F.lit("E"), "id").alias("accident_id"), (33 + F.col("id") % 17).cast("double").alias("lat"), (-118 + F.col("id") % 13).cast("double").alias("lon"), F.lit(2).alias("severity"), F.lit(None).cast("timestamp_ntz").alias("start_time"), (F.col("id") % 29).cast("string").alias("city"), F.lit(1.0).alias("distance_mi"), F.lit(None).cast("string").alias("state"))
+    longest = partials.partial(df, "geohash", precision=6)
+    for p in (1, 3, 5):
+        got = {r.geohash: (r["count"], r.distinct_cities, r.precision) for r in partials.finished(partials.shortened(longest, p), "geohash").collect()}
+        want = {r.geohash: (r["count"], r.distinct_cities, p) for r in aggregate.geohashes(df, p, exact=True).collect()}
+        assert got == want  # so few cities are counted exactly
+
+
+def test_differences_of_tables(spark):
+    kind = "k long, g string, v double"
+    a = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 3}", i / 2) for i in range(500)] + [(None, "x", 1.0)], kind)
+    assert tables.differences(a, a.repartition(7).select("v", "k", "g"), "k").isEmpty()
+    b = a.where("k <> 7 OR k IS NULL").withColumn("v", F.when(F.col("k") == 11, 99.0).otherwise(F.col("v")))
+    b = b.union(a.where("k = 13")).union(spark.createDataFrame([(900, "new", 1.0)], kind)).withColumn("g", F.when(F.col("k") == 15, F.lit("0")).otherwise(F.col("g")))
+    b = b.where("k IS NOT NULL")
+    got = {(r.k, r.what) for r in tables.differences(a, b, "k").collect()}
+    assert got == {(7, "only_a"), (11, "changed"), (13, "repeated"), (900, "only_b"), (15, "changed"), (None, "only_a")}
+    assert {r.what for r in tables.differences(a, a.limit(0), "k").collect()} == {"only_a"}
+    moved = a.withColumns({"g": F.col("v").cast("string"), "v": F.lit(None).cast("double")})
+    assert not tables.differences(a, moved, "k").isEmpty()
+    with pytest.raises(ValueError):
+        tables.differences(a, a.drop("v"), "k")
+
+
+def test_pages_are_disjoint_and_complete(spark, tmp_path):
+    df = spark.range(1003).select(F.col("id"), (F.col("id") % 10).alias("v"))
+    pages = reading.OrderedPages.store(df, str(tmp_path / "p"), [F.desc("v"), F.asc("id")], n_ranges=5)
+    want = sorted(range(1003), key=lambda i: (-(i % 10), i))
+    got, place, n = [], 0, 0
+    while place is not None:
+        page, place = pages.page(97, place)
+        got += [r.id for r in page.collect()]
+        n += 1
+    assert got == want and n == 11
+    deep, after = pages.page(20, 700)
+    assert [r.id for r in deep.collect()] == want[700:720] and [r.id for r in pages.page(5, after)[0].collect()] == want[720:725]
+    assert 0 < len(deep.inputFiles()) <= len(pages.rows.inputFiles())
+    assert pages.page(10, 5000)[0].isEmpty() and pages.page(10, 5000)[1] is None
+    nothing = reading.OrderedPages.store(df.limit(0), str(tmp_path / "q"), [F.asc("id")])
+    assert nothing.page(5)[0].isEmpty()
+
+
+def test_nearest_without_a_radius(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(f"E{i}", rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(600)] + [("N", 90.0, 0.0), ("W", 0.0, -180.0), ("E", 0.0, 180.0), ("null", None, None)]
+    df = spark.createDataFrame(rows, "accident_id string, lat double, lon double")
+    cells = spatial.cell_counts(df)
+    far = geo.haversine_m
+    for lat, lon, k in ((89.9, 10.0, 5), (0.0, 179.99, 3), (-45.0, 3.0, 40), (10.0, 10.0, 10_000), (-90.0, 0.0, 1)):
+        got = [r.accident_id for r in spatial.nearest(df, lat, lon, k, cells).collect()]
+        d = far(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
+        assert got == [r.accident_id for r in df.where("lat IS NOT NULL").orderBy(d, "accident_id").limit(k).collect()]
+    radius = spatial.nearest_radius(cells, -45.0, 3.0, 5)
+    assert df.where(far(F.lit(-45.0), F.lit(3.0), F.col("lat"), F.col("lon")) <= radius).count() < 60
+    assert spatial.nearest(df.limit(0), 0, 0, 3).count() == 0
+
+
+def test_clustered_files_are_pruned(spark, tmp_path):
+    rows = [(i, -89 + (i * 37) % 178 + 0.5, -179 + (i * 101) % 358 + 0.25) for i in range(4000)] + [(9000, None, 1.0), (9001, 0.0, 180.0), (9002, 0.0, -180.0)]
+    df = spark.createDataFrame(rows, "accident_id long, lat double, lon double")
+    path = str(tmp_path / "t")
+    layout.write_clustered(df, path, n_files=30)
+    every = len(spark.read.parquet(f"{path}/rows").inputFiles())
+    for lat, lon, radius in ((34.0, -118.0, 400_000.0), (0.0, 179.9, 300_000.0), (89.0, 0.0, 200_000.0)):
+        part = layout.read_near(spark, path, lat, lon, radius)
+        want = {r.accident_id for r in spatial.near(df, lat, lon, radius, limit=None).collect()}
+        assert want and {r.accident_id for r in spatial.near(part, lat, lon, radius, limit=None).collect()} == want
+        assert len(part.inputFiles()) < every / 2
+    area = [[[[170.0, -5.0], [-175.0, -5.0], [-175.0, 5.0], [170.0, 5.0], [170.0, -5.0]]]]
+    part = layout.read_within(spark, path, area)
+    want = {r.accident_id for r in spatial.within(df, area, limit=None).collect()}
+    assert {9001, 9002} <= want and {r.accident_id for r in spatial.within(part, area, limit=None).collect()} == want
+    assert layout.read_near(spark, path, -89.9, 0.0, 1.0).count() >= 0
+    layout.write_clustered(df.limit(0), str(tmp_path / "e"))
+    assert layout.read_near(spark, str(tmp_path / "e"), 0, 0, 10.0).count() == 0
