@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from geolith import fixtures
 from geolith.functions import geo
 from geolith.functions.values import finite, to_number, to_time
-from geolith.operators import aggregate, clean, enrich, filters, reading, sample, spatial
+from geolith.operators import aggregate, clean, enrich, filters, partials, reading, sample, spatial, tables
 from geolith.plans import jobs
-from geolith.sources import files
+from geolith.sources import blocks, files, layout, shared
+from geolith.sources import keys as key_index
 from geolith.streaming import ingest as stream
 
 LAT, LON, RADIUS = 34.0522, -118.2437, 20_000.0
@@ -127,10 +128,16 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({"centroid_lon": xy[0], "centroid_lat": xy[1]}).drop("centroid")
 
 
-def _stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = files.shared_dir(spark, "grid")
-    files.overwrite(aggregate.grid(fixtures.accidents(spark, sf_dir), exact=True), path)
-    return spark.read.parquet(path)
+_GRIDS: dict[tuple[str, str], str] = {}
+
+
+def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of the events, stored once in a session: readers of aggregates read tables that exist."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRIDS or not key_index.exists(spark, _GRIDS[key]):
+        _GRIDS[key] = files.shared_dir(spark, "grid")
+        files.overwrite(aggregate.grid(fixtures.accidents(spark, sf_dir), exact=True), _GRIDS[key])
+    return spark.read.parquet(_GRIDS[key])
 
 
 def _unrounded(df: DataFrame) -> DataFrame:
@@ -208,6 +215,28 @@ def snk2_idempotent_append(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("keys"), F.lit(told["appended"]).cast("long").alias("appended"))
 
 
+@query("""select count(*) as keys, count(*) filter (l_orderkey % 100 = 7) as appended, count(*) filter (l_orderkey % 100 <> 7 and l_orderkey % 3 = 0) as skipped
+    from (select distinct l_orderkey, l_linenumber from lineitem)""")
+def snk2_indexed_append(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").dropDuplicates(["l_orderkey", "l_linenumber"])
+    path, keys = files.shared_dir(spark, "append"), ("l_orderkey", "l_linenumber")
+    files.append_new(items.where("l_orderkey % 100 <> 7"), path, *keys, bucket_keys=2000)
+    told = files.append_new(items.where("l_orderkey % 100 = 7"), path, *keys, bucket_keys=2000)
+    again = files.append_new(items.where("l_orderkey % 100 <> 7 and l_orderkey % 3 = 0"), path, *keys, bucket_keys=2000)
+    return spark.read.parquet(path).agg(F.count("*").alias("keys"), F.lit(told["appended"]).cast("long").alias("appended"), F.lit(again["skipped"]).cast("long").alias("skipped"))
+
+
+@query("select count(*) as total_matching, min(accident_id) as first_id, true as few_files from a where d <= 5000")
+def snk4_clustered_search(spark, sf_dir):
+    """A search of 5 km opens fewer than a third of the files of a table that is laid out by a curve."""
+    path = files.shared_dir(spark, "clustered")
+    layout.write_clustered(fixtures.accidents(spark, sf_dir), path, n_files=24)
+    near = layout.read_near(spark, path, LAT, LON, 5000.0)
+    found = spatial.near(near, LAT, LON, 5000.0, limit=None)
+    few = F.lit(3 * len(near.inputFiles()) < len(spark.read.parquet(f"{path}/rows").inputFiles()))
+    return found.agg(F.count("*").alias("total_matching"), F.min("accident_id").alias("first_id"), few.alias("few_files"))
+
+
 @query("""select year, month, count(*) as count, case when year is null then 'sin_fecha' else printf('%d-%02d', year, month) end as label
     from (select case when event_id % 50 = 0 then null else year end as year, case when event_id % 50 = 0 then null else month end as month from a) group by year, month having count(*) >= 2""")
 def snk4_month_layout(spark, sf_dir):
@@ -379,6 +408,12 @@ def geo1_near(spark, sf_dir):
     return page.select("accident_id", F.round("distance_m", 2).alias("distance_m"))
 
 
+@query(f"with p as ({fixtures.duckdb('far_events')}), m as (select accident_id, {_sql_distance('lat', 'lon', '71e0', '-179.5e0')} as d from p) select accident_id, round(d, 2) as distance_m from m order by d, accident_id limit 25")
+def geo1_nearest(spark, sf_dir):
+    found = spatial.nearest(fixtures.far_events(spark, sf_dir), 71.0, -179.5, 25)
+    return found.select("accident_id", F.round("distance_m", 2).alias("distance_m"))
+
+
 @query(f"select count(*) as total_matching from a where d <= {RADIUS} and d >= 5000")
 def geo2_near_count(spark, sf_dir):
     return spatial.near_count(events(spark, sf_dir), LAT, LON, RADIUS, min_m=5000.0)
@@ -449,6 +484,46 @@ def geo13_region_summaries(spark, sf_dir):
     return spatial.region_summaries(fixtures.accidents(spark, sf_dir), fixtures.regions(spark, sf_dir))
 
 
+_FAR_ARC = "atan((tan(radians({y1})) * sin(radians({x2} - {lon})) + tan(radians({y2})) * sin(radians({lon} - {x1}))) / sin(radians({x2} - {x1})))"
+
+
+def _far_arc(lon: str, x1: str, x2: str, y: str) -> str:
+    return _FAR_ARC.format(lon=lon, x1=x1, x2=x2, y1=y, y2=y)
+
+
+@query(f"""with p as ({fixtures.duckdb('far_events')}), r as ({fixtures.duckdb('far_regions')}),
+    met as (select *, case when lon < x1 then lon + 360 else lon end as x, -175 + 60 * floor((case when lon < -175 then lon + 360 else lon end + 175) / 60) as left_end, case when lon < -175 then lon + 360 else lon end as along from p, r)
+    select region_id, count(*) as events, min(accident_id) as first_id, max(accident_id) as last_id from met
+    where case when kind in (1, 2) then ({_far_arc('along', 'left_end', '(left_end + 60)', 'around')} > radians(lat)) = (kind = 2)
+        else x >= x1 and x < x2 and ({_far_arc('x', 'x1', 'x2', 'y1')} > radians(lat)) <> ({_far_arc('x', 'x1', 'x2', 'y2')} > radians(lat)) end
+    group by region_id""")
+def geo13_far_regions(spark, sf_dir):
+    met = spatial.within_join(fixtures.far_events(spark, sf_dir), fixtures.far_regions(spark, sf_dir))
+    return met.groupBy("region_id").agg(F.count("*").alias("events"), F.min("accident_id").alias("first_id"), F.max("accident_id").alias("last_id"))
+
+
+#: An outline of so many positions: a circle with waves.
+OUTLINE = 10_000
+
+
+def _outline() -> list:
+    ring = [(0.25 + 0.1 * math.cos(17 * 2 * math.pi * i / OUTLINE), 2 * math.pi * i / OUTLINE) for i in range(OUTLINE)]
+    ring = [[-118.25 + r * math.cos(a), 34.05 + r * math.sin(a)] for r, a in ring]
+    return [[[*ring, ring[0]]]]
+
+
+_OUTLINE_RADIUS = f"(0.25e0 + 0.1e0 * cos(17 * 2 * pi() * i / {OUTLINE}))"
+
+
+@query(_BASE + f""", v as (select i, -118.25e0 + {_OUTLINE_RADIUS} * cos(2 * pi() * i / {OUTLINE}) as x, 34.05e0 + {_OUTLINE_RADIUS} * sin(2 * pi() * i / {OUTLINE}) as y from range({OUTLINE}) t(i)),
+    e as (select v.x as x1, v.y as y1, w.x as x2, w.y as y2 from v join v w on w.i = (v.i + 1) % {OUTLINE}),
+    n as (select accident_id, city from a join e on least(x1, x2) <= lon and lon < greatest(x1, x2) where {_FAR_ARC.format(lon='lon', x1='x1', x2='x2', y1='y1', y2='y2')} > radians(lat) group by accident_id, city having count(*) % 2 = 1)
+    select city, count(*) as events, min(accident_id) as first_id from n group by city""")
+def geo3_outline(spark, sf_dir):
+    inside = spatial.within(events(spark, sf_dir), _outline(), limit=None)
+    return inside.groupBy("city").agg(F.count("*").alias("events"), F.min("accident_id").alias("first_id"))
+
+
 @query("with t as (select c_custkey as region_id, case c_custkey % 5 when 1 then 'a ring needs four positions' when 2 then 'a position is out of range' when 3 then 'a ring is not closed' when 4 then 'no rings' end as error from customer) select * from t")
 def geo11_polygon_errors(spark, sf_dir):
     k = F.col("c_custkey")
@@ -477,11 +552,26 @@ def agg3_geohash_levels(spark, sf_dir):
     return aggregate.geohash_levels(events(spark, sf_dir))
 
 
+@query("""select level, geohash, count(*) as count, count(distinct city) as cities, true as close from (select p as level, substr(geohash, 1, cast(p as int)) as geohash, city from a, (select cast(unnest(range(1, 6)) as int) as p)) group by level, geohash""")
+def agg3_distinct_rollup(spark, sf_dir):
+    """Tables of five levels, each from the one before by its sketches; estimates are within four times their stated error of exact counts."""
+    e = events(spark, sf_dir)
+    exact = e.select("city", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda p: F.struct(p.alias("level"), F.col("geohash").substr(F.lit(1), p).alias("geohash")))).alias("g"))
+    exact = exact.groupBy("g.level", "g.geohash").agg(F.count_distinct("city").alias("cities"))
+    states, out = shared.stored(partials.partial(fixtures.accidents(spark, sf_dir), "geohash"), "geohashes"), None
+    for level in range(5, 0, -1):
+        states = partials.shortened(states, level)
+        one = states.select(F.lit(level).alias("level"), "geohash", F.col("n").alias("count"), F.hll_sketch_estimate("cities").alias("estimate"))
+        out = one if out is None else out.unionByName(one)
+    error = F.greatest(F.lit(1.0), 4 * 1.04 / math.sqrt(1 << partials.LG_K) * F.col("cities"))
+    return out.join(exact, ["level", "geohash"]).select("level", "geohash", "count", "cities", (F.abs(F.col("estimate") - F.col("cities")) <= error).alias("close"))
+
+
 @query(_with_grid("""select row_number() over (order by concentration_index desc, count desc, grid_id) as rank, grid_id, grid_lat, grid_lon, count, avg_severity, max_severity, concentration_index,
     round(100e0 * count / sum(count) over (), 6) as pct_of_total, distinct_cities, sample_state, cell_deg, centroid_lon, centroid_lat
     from (select *, round(count * avg_severity, 4) as concentration_index from cells where count >= 10) order by rank limit 50"""))
 def agg4_hotspots(spark, sf_dir):
-    return _flat(aggregate.hotspots(_stored_grid(spark, sf_dir), top_n=50))
+    return _flat(aggregate.hotspots(stored_grid(spark, sf_dir), top_n=50))
 
 
 def _names(values: tuple[str, ...], at: str) -> str:
@@ -524,6 +614,16 @@ def set2_combined_grids(spark, sf_dir):
     return aggregate.combined_grids(*[aggregate.small_grid(e.where(f"event_id % 3 = {k}")) for k in range(3)])
 
 
+@query(_with_grid("select grid_id, count, avg_severity, max_severity, avg_distance_mi, first_event, last_event, sample_state, grid_lat, grid_lon, cell_deg, centroid_lon, centroid_lat from cells"))
+def set2_increments(spark, sf_dir):
+    """The grid of all events from the states of three increments."""
+    e = fixtures.accidents(spark, sf_dir)
+    parts = partials.Increments(files.shared_dir(spark, "increments"))
+    for k in range(3):
+        parts.add(e.where(f"event_id % 3 = {k}"), f"part{k}")
+    return _flat(parts.tables(spark)["grid"]).drop("distinct_cities")
+
+
 @query(f"select *, round(sum_severity / count, 4) as avg_severity from ({_SMALL}) order by count desc, cell_lat, cell_lon limit 10")
 def agg13_top_cells(spark, sf_dir):
     return aggregate.top_cells(aggregate.small_grid(fixtures.accidents(spark, sf_dir)))
@@ -583,7 +683,7 @@ def agg20_stored_aggregates(spark, sf_dir):
 
 @query(_with_grid(f"select grid_id, count, avg_severity from cells where count >= 20 and {_sql_inside('centroid_lat', 'centroid_lon', geo.box_rings(*BOX))} order by avg_severity, grid_id limit 15 offset 2"))
 def srt4_read_aggregate(spark, sf_dir):
-    tables = {"grid": _stored_grid(spark, sf_dir)}
+    tables = {"grid": stored_grid(spark, sf_dir)}
     page = reading.read_aggregate(tables, "grid", limit=15, skip=2, min_count=20, bbox=BOX, sort_by="avg_severity", ascending=True)
     return page.select("grid_id", "count", "avg_severity")
 
@@ -595,6 +695,32 @@ def set3_compare_runs(spark, sf_dir):
     return aggregate.compare_grids(agg12_small_grid(spark, sf_dir), set2_combined_grids(spark, sf_dir))
 
 
+@query("""select l_orderkey, l_linenumber, case when l_orderkey % 97 = 5 then 'only_a' when l_orderkey % 89 = 7 then 'changed' when l_orderkey % 83 = 9 then 'repeated' end as what
+    from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey % 97 = 5 or l_orderkey % 89 = 7 or l_orderkey % 83 = 9
+    union all select -l_orderkey, l_linenumber, 'only_b' from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey % 79 = 3""")
+def set3_differences(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").dropDuplicates(["l_orderkey", "l_linenumber"])
+    b = a.where("l_orderkey % 97 <> 5").withColumn("l_quantity", F.when(F.col("l_orderkey") % 89 == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    more = b.where("l_orderkey % 83 = 9 AND l_orderkey % 89 <> 7").unionByName(a.where("l_orderkey % 79 = 3").withColumn("l_orderkey", -F.col("l_orderkey")))
+    return tables.differences(a, b.unionByName(more), "l_orderkey", "l_linenumber")
+
+
+@query(_BASE.rstrip() + """, r as (select accident_id, severity, row_number() over (order by severity desc, accident_id) - 1 as k, count(*) over () as n from a)
+    select case when k < 50 then 'first' when k < 100 then 'second' else 'deep' end as page, accident_id, severity from r where k < 100 or (k >= greatest(100, n - n % 1000 - 30) and k < greatest(100, n - n % 1000 - 30) + 50)""")
+def srt2_seek_pages(spark, sf_dir):
+    """The first page, the one that its key leads to, and a page far behind."""
+    e = fixtures.accidents(spark, sf_dir).select("accident_id", "severity")
+    pages = reading.OrderedPages.store(e, files.shared_dir(spark, "pages"), [F.desc("severity"), F.asc("accident_id")], n_ranges=7)
+    first, then = pages.page(50)
+    n = sum(size for _, size in pages.sizes)
+    parts = {"first": first, "second": pages.page(50, then)[0], "deep": pages.page(50, max(100, n - n % 1000 - 30))[0]}
+    out = None
+    for name, page in parts.items():
+        one = page.select(F.lit(name).alias("page"), "accident_id", "severity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _BLOCKS = "select event_id, event_id // 50 as block from a"
 
 
@@ -642,6 +768,19 @@ def dq3_invariants(spark, sf_dir):
 # --- whole jobs ---
 
 
+@query(_TAGGED + f" select count(*) filter (drop_reason is null) as stored, count(*) as rows_in, {_COUNTS}, (select count(distinct accident_id) from r where drop_reason is null) as ids from r")
+def smp1_csv_blocks(spark, sf_dir):
+    """All blocks of some CSV files, in waves: together they are the table. Copies of a row stand beside it, so that one wave has both."""
+    base = files.shared_dir(spark, "csv")
+    raw = fixtures.raw_accidents(spark, sf_dir).withColumnsRenamed({v: k for k, v in clean.COLUMN_MAP.items()})
+    raw.repartitionByRange(3, "pos").sortWithinPartitions("pos").drop("pos").write.csv(f"{base}/raw", header=True)
+    source = blocks.CsvBlocks(spark, f"{base}/raw", block_bytes=1 << 22, seed=None)
+    told = jobs.ingest_sample(source, f"{base}/events", target_rows=1 << 40, wave=64, cell=0.1)
+    kinds = ", ".join(f"{c} {'double' if c == 'retention_pct' else 'long'}" for c in told)
+    account = spark.createDataFrame([tuple(told.values())], kinds).select("stored", "rows_in", *clean.REASONS)
+    return account.crossJoin(F.broadcast(spark.read.parquet(f"{base}/events").agg(F.count_distinct("accident_id").alias("ids"))))  # one row each
+
+
 _ACCOUNT = f"{_COUNTS}, count(*) as rows_in, count(*) filter (drop_reason is null) as rows_out, count(drop_reason) as dropped_total, round(100e0 * count(*) filter (drop_reason is null) / count(*), 2) as retention_pct"
 
 
