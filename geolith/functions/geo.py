@@ -245,10 +245,10 @@ def _written_out(lat: Column, lon: Column, parts: list) -> Column:
 
 
 def _looked_up(lat: Column, lon: Column, index: dict) -> Column:
-    """One text constant that Spark reads once, when it plans, whatever the number of edges."""
+    """Text constants that Spark reads when it plans: the expression is as long as for any other number of edges."""
     edge = rings.EDGE_TYPE.removesuffix(">") + ", polygon: int>"
-    kind = f"struct<breaks: array<double>, steps: array<int>, depth: int, nodes: array<array<int>>, edges: array<{edge}>, flips: array<int>>"
-    fixed = F.from_json(F.lit(json.dumps(index)), kind)
+    kinds = {"breaks": "double", "steps": "int", "nodes": "array<int>", "edges": edge, "flips": "int"}
+    fixed = {c: F.from_json(F.lit(json.dumps(index[c])), f"array<{kind}>") for c, kind in kinds.items()}
     size, slabs = 1 << index["depth"], len(index["breaks"]) - 1
     passed = F.aggregate(fixed["steps"], F.lit(0), lambda n, step: n + F.when(F.get(fixed["breaks"], n + step - 1) <= lon, step).otherwise(0))
 

@@ -147,7 +147,7 @@ def slab_index(polygons: Sequence[Sequence[Ring]]) -> dict:
 # --- many regions: cells ---
 
 #: Cells of level k are 360 / 2**k degrees high and wide. Regions are covered by cells of three levels that are even, the finest such that
-#: the longer side of a region has 8 to 32 of them, but none finer than LAST_LEVEL.
+#: a square of a region's size has 8 to 32 of them along its side, but none finer than LAST_LEVEL.
 LAST_LEVEL, STEP = 26, 2
 #: Degrees by which a cell is taken larger than it is, so that a rounded point is in it.
 SLACK = 1e-9
@@ -159,7 +159,8 @@ def _roots(polygons: Sequence[Sequence[Ring]]) -> tuple[int, np.ndarray, np.ndar
     """The level of the first cells, and their rows and columns."""
     south, north, stretches = bounds(polygons)
     wide = sum(b - a for a, b in stretches) if len(stretches) < 4 else 360.0
-    side = max(north - south, wide, 360 * 2.0**-LAST_LEVEL)
+    high = north - south
+    side = max(math.sqrt(high * wide), max(high, wide) / 16, 360 * 2.0**-LAST_LEVEL)  # the shape counts, and a long one does not have too many
     first = max(0, min(LAST_LEVEL - 2 * STEP, STEP * math.floor((math.log2(360 / side) + 1) / STEP)))
     size = 360 / 2**first
     i = np.arange(math.floor((south + 90 - SLACK) / size), math.floor((north + 90 + SLACK) / size) + 1)

@@ -220,9 +220,9 @@ def snk2_idempotent_append(spark, sf_dir):
 def snk2_indexed_append(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").dropDuplicates(["l_orderkey", "l_linenumber"])
     path, keys = files.shared_dir(spark, "append"), ("l_orderkey", "l_linenumber")
-    files.append_new(items.where("l_orderkey % 100 <> 7"), path, *keys, bucket_keys=2000)
-    told = files.append_new(items.where("l_orderkey % 100 = 7"), path, *keys, bucket_keys=2000)
-    again = files.append_new(items.where("l_orderkey % 100 <> 7 and l_orderkey % 3 = 0"), path, *keys, bucket_keys=2000)
+    files.append_new(items.where("l_orderkey % 100 <> 7"), path, *keys, bucket_keys=2000, index_from=1)
+    told = files.append_new(items.where("l_orderkey % 100 = 7"), path, *keys, bucket_keys=2000, index_from=1)
+    again = files.append_new(items.where("l_orderkey % 100 <> 7 and l_orderkey % 3 = 0"), path, *keys, bucket_keys=2000, index_from=1)
     return spark.read.parquet(path).agg(F.count("*").alias("keys"), F.lit(told["appended"]).cast("long").alias("appended"), F.lit(again["skipped"]).cast("long").alias("skipped"))
 
 

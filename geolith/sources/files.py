@@ -81,15 +81,23 @@ def _observed(seen: Observation) -> int:
         return 0
 
 
-def append_new(incoming: DataFrame, path: str, *keys: str, bucket_keys: int = key_index.BUCKET_KEYS) -> dict[str, int]:
+#: Bytes of a table from which on an append keeps an index of its keys.
+INDEX_FROM = 64 << 20
+
+
+def append_new(incoming: DataFrame, path: str, *keys: str, bucket_keys: int = key_index.BUCKET_KEYS, index_from: int = INDEX_FROM) -> dict[str, int]:
     """Appends what is new by key, so that a second run appends nothing: ``rows_in, appended, skipped``.
 
-    Of a table that has rows, only those stored keys are read that its index (see ``keys``) cannot rule out. ``incoming`` is
-    read twice: for its keys, and to be stored.
+    Of a table of at least ``index_from`` bytes, only those stored keys are read that its index (see ``keys``) cannot rule out, and
+    ``incoming`` is read twice: for its keys, and to be stored. Of a smaller table all keys are read.
     """
     spark = incoming.sparkSession
     read, put = Observation(), Observation()
-    existing = key_index.KeyIndex(spark, path, keys, bucket_keys).existing(incoming) if key_index.has_rows(spark, path) else None
+    size = sum(key_index.data_files(spark, path).values())
+    if size >= max(1, index_from):
+        existing = key_index.KeyIndex(spark, path, keys, bucket_keys).existing(incoming)
+    else:
+        existing = spark.read.parquet(path).select(*keys) if size else None
     seen = incoming.observe(read, F.count(F.lit(1)).alias("n"))
     fresh = seen.dropDuplicates(list(keys)) if existing is None else new_rows(seen, existing, *keys)
     fresh.observe(put, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)

@@ -63,25 +63,21 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be renamed to {new}")
 
 
-def data_files(spark: SparkSession, path: str) -> set[str]:
-    """The Parquet files of a table; none if there is no table."""
+def data_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """The Parquet files of a table and their bytes; none if there is no table."""
     if not exists(spark, path):
-        return set()
+        return {}
     fs, where = _fs(spark, path)
-    found, it = set(), fs.listFiles(where, True)
+    found, it = {}, fs.listFiles(where, True)
     root = fs.makeQualified(where).toString().rstrip("/") + "/"
     while it.hasNext():
-        name = it.next().getPath().toString()
-        inside = name.removeprefix(root)
-        if name.endswith(".parquet") and not any(part[0] in "_." for part in inside.split("/")):
-            found.add(name)
+        status = it.next()
+        name = status.getPath().toString()
+        if name.endswith(".parquet") and not any(part[0] in "_." for part in name.removeprefix(root).split("/")):
+            found[name] = status.getLen()
     return found
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    return bool(data_files(spark, path))
-
-
 def _filter_of(n_words: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one bucket's hashes: its filter."""
@@ -139,7 +135,7 @@ class KeyIndex:
 
     def refresh(self) -> list[Segment]:
         """Indexes the data files that no segment lists. Returns the segments that are good."""
-        there = data_files(self.spark, self.path)
+        there = {*data_files(self.spark, self.path)}
         found = sorted(self._segments(), key=lambda x: -x.n)
         good = [x for x in found if x.files <= there]
         left = there - {f for x in good for f in x.files}

@@ -281,7 +281,7 @@ def stored_rows(spark, path):
 def test_an_append_reads_few_keys(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(40_000).select(F.concat(F.lit("key-"), F.col("id") * 7919).alias("k"), F.col("id").alias("v"))
-    files.append_new(df, path, "k", bucket_keys=500)
+    files.append_new(df, path, "k", bucket_keys=500, index_from=1)
     index = keys.KeyIndex(spark, path, ("k",), bucket_keys=500)
     fresh = spark.range(40_000, 40_400).select(F.concat(F.lit("key-"), F.col("id") * 7919).alias("k"), F.col("id").alias("v"))
     index.existing(fresh)
@@ -289,13 +289,14 @@ def test_an_append_reads_few_keys(spark, tmp_path):
     some = df.where("v % 100 = 3")
     found = index.existing(some)
     assert some.join(found, "k", "left_anti").isEmpty() and index.bytes_read > 0
-    assert files.append_new(fresh.union(some), path, "k", bucket_keys=500) == {"rows_in": 800, "appended": 400, "skipped": 400}
+    assert files.append_new(fresh.union(some), path, "k", bucket_keys=500, index_from=1) == {"rows_in": 800, "appended": 400, "skipped": 400}
     assert spark.read.parquet(path).count() == 40_400
 
 
 def test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch):
     """Tables without an index, appends that the index has not seen, files that have gone, and many segments."""
     path, rows = str(tmp_path / "t"), [("a", 1), ("b", 2), (None, 3)]
+    monkeypatch.setattr(files.append_new, "__kwdefaults__", files.append_new.__kwdefaults__ | {"index_from": 1})
     df = spark.createDataFrame(rows, "k string, v long")
     df.write.parquet(path)
     assert files.append_new(df, path, "k")["appended"] == 0
