@@ -9,6 +9,8 @@ indexed when the next append begins, also those of a table that never had an ind
 half-way; a segment of which a file has gone is left aside, and its other files are indexed anew. When there are more than
 ``MAX_SEGMENTS``, the smaller ones become one, so a key is indexed again a logarithmic number of times, not at each append.
 
+One writer at a time: two appends at once can both find a key new, with or without an index.
+
 A bucket has about ``BUCKET_KEYS`` keys whatever the size of the table: larger segments have more buckets. Filters take
 ``BITS`` bits a key, for about one false answer in 20,000.
 """
