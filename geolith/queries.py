@@ -498,8 +498,9 @@ def _far_arc(lon: str, x1: str, x2: str, y: str) -> str:
         else x >= x1 and x < x2 and ({_far_arc('x', 'x1', 'x2', 'y1')} > radians(lat)) <> ({_far_arc('x', 'x1', 'x2', 'y2')} > radians(lat)) end
     group by region_id""")
 def geo13_far_regions(spark, sf_dir):
-    met = spatial.within_join(fixtures.far_events(spark, sf_dir), fixtures.far_regions(spark, sf_dir))
-    return met.groupBy("region_id").agg(F.count("*").alias("events"), F.min("accident_id").alias("first_id"), F.max("accident_id").alias("last_id"))
+    states = [F.count("*").alias("events"), F.min("accident_id").alias("first_id"), F.max("accident_id").alias("last_id")]
+    totals = [F.sum("events").alias("events"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")]
+    return spatial.region_totals(fixtures.far_events(spark, sf_dir), fixtures.far_regions(spark, sf_dir), states, totals)
 
 
 #: An outline of so many positions: a circle with waves.

@@ -121,6 +121,28 @@ def test_batch_joins_equal_single_searches(spark, events, monkeypatch, broadcast
     assert [r.accident_id for r in spatial.within_join(points, regions).collect()] == ["A-1"]
 
 
+def test_copies_of_a_region_are_summed_up_once(spark, monkeypatch):
+    ring = [[-119.0, 33.0], [-117.0, 33.0], [-117.0, 35.0], [-119.0, 35.0], [-119.0, 33.0]]
+    cap = [[float(x), 50.0] for x in (-175, -60, 60, -175)]
+    regions = spark.createDataFrame([(i, [[ring if i % 2 else cap]]) for i in range(300)] + [(900, None), (901, [])], "region_id long, polygons array<array<array<array<double>>>>")
+    points = spark.range(2000).selectExpr("concat('E', id) as id", "id * 7919 % 1799 / 10 - 89.9 as lat", "id * 6007 % 3600 / 10 - 180 as lon")
+    points = points.union(spark.range(300).selectExpr("concat('N', id)", "32.9 + id * 7 % 220 / 100", "-119.1 + id * 11 % 220 / 100"))
+    want = spatial.within_join(points, regions).groupBy("region_id").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    plain, covered = spatial.region_cells, []
+
+    def counted(df):
+        covered.append(df.count())
+        return plain(df)
+
+    monkeypatch.setattr(spatial, "region_cells", counted)
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_BYTES", most)
+        got = spatial.region_totals(points, regions, [F.count("*").alias("n"), F.min("id").alias("first")], [F.sum("n").alias("n"), F.min("first").alias("first")]).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 300
+    assert max(covered) == 4
+    assert spatial.region_totals(points, regions.limit(0), [F.count("*").alias("n")], [F.sum("n").alias("n")]).isEmpty()
+
+
 def test_aggregates(events):
     cells = aggregate.grid(events)
     assert cells.count() == 6 and cells.agg(F.sum("count")).first()[0] == 6
