@@ -143,6 +143,23 @@ def test_copies_of_a_region_are_summed_up_once(spark, monkeypatch):
     assert spatial.region_totals(points, regions.limit(0), [F.count("*").alias("n")], [F.sum("n").alias("n")]).isEmpty()
 
 
+def test_summaries_of_copies_of_regions(spark, monkeypatch):
+    boxes = [[[x, 33.0], [x + 1, 33.0], [x + 1, 34.0], [x, 34.0], [x, 33.0]] for x in (-119.0, -118.5, 10.0)]
+    regions = spark.createDataFrame([(i, [[boxes[i % 3]]]) for i in range(90)], "region_id long, polygons array<array<array<array<double>>>>")
+    points = spark.range(500).selectExpr("33 + id * 37 % 101 / 100.0D as lat", "-119 + id * 53 % 149 / 100.0D as lon", "cast(if(id % 9 = 0, null, 1 + id % 4) as int) as severity", "if(id % 7 = 0, null, id / 7) as distance_mi", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id as int)) as start_time", "if(id % 11 = 0, null, concat('c', id % 13)) as city")
+    want = spatial.within_join(points, regions).groupBy("region_id").agg(*spatial._summary())
+    plain, covered = spatial.region_cells, []
+
+    def counted(df):
+        covered.append(df.count())
+        return plain(df)
+
+    monkeypatch.setattr(spatial, "region_cells", counted)
+    got = spatial.region_summaries(points, regions)
+    assert rounded(got.select(*want.columns).orderBy("region_id")) == rounded(want.orderBy("region_id")) and got.count() == 60
+    assert set(covered) == {3}
+
+
 def test_aggregates(events):
     cells = aggregate.grid(events)
     assert cells.count() == 6 and cells.agg(F.sum("count")).first()[0] == 6
