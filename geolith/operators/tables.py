@@ -14,6 +14,12 @@ BUCKETS = 1024
 WHAT = ("only_a", "only_b", "changed", "repeated")
 
 
+def one_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, the least by its other columns: the same one in whatever order the table is read (which ``dropDuplicates`` does not promise)."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else df.distinct()
+
+
 def _hashed(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``_h, _r, _s`` beside the keys: a hash of the keys and two of the whole row."""
     columns = sorted(df.columns)

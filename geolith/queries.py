@@ -700,7 +700,8 @@ def set3_compare_runs(spark, sf_dir):
     from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey % 97 = 5 or l_orderkey % 89 = 7 or l_orderkey % 83 = 9
     union all select -l_orderkey, l_linenumber, 'only_b' from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey % 79 = 3""")
 def set3_differences(spark, sf_dir):
-    a = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").dropDuplicates(["l_orderkey", "l_linenumber"])
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    a = shared.stored(tables.one_each(items, "l_orderkey", "l_linenumber"), "rows")
     b = a.where("l_orderkey % 97 <> 5").withColumn("l_quantity", F.when(F.col("l_orderkey") % 89 == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     more = b.where("l_orderkey % 83 = 9 AND l_orderkey % 89 <> 7").unionByName(a.where("l_orderkey % 79 = 3").withColumn("l_orderkey", -F.col("l_orderkey")))
     return tables.differences(a, b.unionByName(more), "l_orderkey", "l_linenumber")

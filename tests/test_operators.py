@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from geolith import queries
 from geolith.functions import geo
 from geolith.operators import aggregate, clean, enrich, filters, partials, reading, sample, spatial, tables
 from geolith.plans import jobs
@@ -466,6 +467,26 @@ def test_differences_of_tables(spark):
         tables.differences(a, a.drop("v"), "k")
 
 
+def test_differences_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 700 as l_orderkey", "cast(1 + id % 2 as int) as l_linenumber", "id * 1.0D as l_quantity", "if(id % 5 = 0, 'N', 'R') as l_returnflag")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    class Shuffled:
+        """A session whose tables come in another order each time that they are read."""
+
+        sparkContext, conf, read = spark.sparkContext, spark.conf, None
+
+        def parquet(self, path):
+            return spark.read.parquet(path).orderBy(F.rand())
+
+    session = Shuffled()
+    session.read = session
+    got = {tuple(r) for r in queries.set3_differences(session, str(tmp_path)).collect()}
+    keys_there = {(r[0], r[1]) for r in rows.select("l_orderkey", "l_linenumber").distinct().collect()}
+    want = {(k, n, "only_a" if k % 97 == 5 else "changed" if k % 89 == 7 else "repeated") for k, n in keys_there if k % 97 == 5 or k % 89 == 7 or k % 83 == 9}
+    assert got == want | {(-k, n, "only_b") for k, n in keys_there if k % 79 == 3}
+
+
 def test_pages_are_disjoint_and_complete(spark, tmp_path):
     df = spark.range(1003).select(F.col("id"), (F.col("id") % 10).alias("v"))
     pages = reading.OrderedPages.store(df, str(tmp_path / "p"), [F.desc("v"), F.asc("id")], n_ranges=5)
