@@ -471,8 +471,8 @@ def geo7_top_cities(spark, sf_dir):
 
 @query(_BASE + f", c as ({fixtures.duckdb('centres')}) select centre_id, count(*) as events, round(min({_sql_distance('lat', 'lon', 'centre_lat', 'centre_lon')}), 2) as nearest_m from a, c where {_sql_distance('lat', 'lon', 'centre_lat', 'centre_lon')} <= 3000 group by centre_id")
 def geo12_near_join(spark, sf_dir):
-    met = spatial.near_join(fixtures.accidents(spark, sf_dir).select("accident_id", "lat", "lon"), fixtures.centres(spark, sf_dir), 3000.0)
-    return met.groupBy("centre_id").agg(F.count("*").alias("events"), F.round(F.min("distance_m"), 2).alias("nearest_m"))
+    totals = [F.count("*").alias("events"), F.round(F.min("distance_m"), 2).alias("nearest_m")]
+    return spatial.near_totals(fixtures.accidents(spark, sf_dir).select("lat", "lon"), fixtures.centres(spark, sf_dir), 3000.0, totals)
 
 
 _ARC = "atan((tan(radians({y})) * sin(radians(x2 - lon)) + tan(radians({y})) * sin(radians(lon - x1))) / sin(radians(x2 - x1)))"

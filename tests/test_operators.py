@@ -161,6 +161,24 @@ def test_summaries_of_copies_of_regions(spark, monkeypatch):
     assert set(covered) == {3}
 
 
+def test_copies_of_a_centre_meet_the_points_once(spark, events, monkeypatch):
+    rows = [(i, 34.0 if i % 2 else 41.0, -118.0 if i % 2 else -80.0) for i in range(100)] + [(900, 0.0, 0.0), (901, None, 0.0)]
+    centres = spark.createDataFrame(rows, "centre_id long, centre_lat double, centre_lon double")
+    points = events.select("accident_id", "lat", "lon")
+    totals = [F.count("*").alias("n"), F.min("distance_m").alias("m")]
+    want = spatial.near_join(points, centres, 1_000_000.0).groupBy("centre_id").agg(*totals).collect()
+    plain, met = spatial.near_join, []
+
+    def counted(points, centres, radius_m):
+        met.append(centres.count())
+        return plain(points, centres, radius_m)
+
+    monkeypatch.setattr(spatial, "near_join", counted)
+    got = spatial.near_totals(points, centres, 1_000_000.0, totals).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 100
+    assert met == [4]
+
+
 def test_aggregates(events):
     cells = aggregate.grid(events)
     assert cells.count() == 6 and cells.agg(F.sum("count")).first()[0] == 6
