@@ -11,7 +11,8 @@ half-way; a segment of which a file has gone is left aside, and its other files
 
 One writer at a time: two appends at once can both find a key new, with or without an index.
 
-A bucket has about ``BUCKET_KEYS`` keys whatever the size of the table: larger segments have more buckets. Filters take
+A bucket has about ``BUCKET_KEYS`` keys whatever the size of the table: larger segments have more buckets. Small buckets share
+files, sorted by bucket: a segment has a file for about ``BUCKET_KEYS`` keys, but ``PARTS`` at least if it has so many buckets. Filters take
 ``BITS`` bits a key, for about one false answer in 20,000.
 """
 
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 FOLDER = "_keys"
 BUCKET_KEYS, BITS, HASHES = 200_000, 21, 10
-MAX_SEGMENTS = 8
+MAX_SEGMENTS, PARTS = 8, 64
+#: Buckets up to which only their keys are taken from the files that hold them.
+MAX_NAMED = 1000
 
 FILTER_SCHEMA = "_bucket long, _words array<long>"
-FILES_SCHEMA = "file string, buckets long, words long, n long"
+FILES_SCHEMA = "file string, buckets long, words long, n long, per_part long"
 
 
 def _hash(keys: tuple[str, ...], seed: int) -> Column:
@@ -111,6 +114,7 @@ class Segment:
     buckets: int
     words: int  # of a filter
     n: int
+    per_part: int  # buckets that share a file
     files: frozenset[str]
 
 
@@ -132,7 +136,8 @@ class KeyIndex:
             name = status.getPath().toString()
             if exists(self.spark, f"{name}/files/_SUCCESS"):
                 rows = self.spark.read.schema(FILES_SCHEMA).parquet(f"{name}/files").collect()  # a row for each data file
-                out.append(Segment(name, rows[0].buckets, rows[0].words, rows[0].n, frozenset(r.file for r in rows)))
+                files = frozenset(r.file for r in rows) if rows[0].per_part else frozenset({""})  # one of an older layout counts as if a file had gone
+                out.append(Segment(name, rows[0].buckets, rows[0].words, rows[0].n, rows[0].per_part, files))
         return out
 
     def refresh(self) -> list[Segment]:
@@ -158,14 +163,15 @@ class KeyIndex:
         n = rows.count()
         buckets = 1 << max(0, math.ceil(math.log2(max(1, n) / self.bucket_keys)))
         words = max(1, math.ceil(n / buckets * 1.1 * BITS / 64))
-        dealt = _hashed(rows, self.keys).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(buckets)))
-        dealt.repartition("_bucket").sortWithinPartitions("_bucket").write.partitionBy("_bucket").parquet(f"{name}/keys")
+        per_part = max(1, min(BUCKET_KEYS // self.bucket_keys, buckets // PARTS))
+        dealt = _hashed(rows, self.keys).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(buckets))).withColumn("_part", F.expr(f"_bucket div {per_part}"))
+        dealt.repartition("_part").sortWithinPartitions("_part", "_bucket").write.partitionBy("_part").parquet(f"{name}/keys")
         kept = self.spark.read.schema("_g long, _h long, _bucket long").parquet(f"{name}/keys")
         filters = kept.select("_bucket", "_g", "_h").groupBy("_bucket").applyInArrow(_filter_of(words), FILTER_SCHEMA)
         filters.write.parquet(f"{name}/filters")
-        listed = self.spark.createDataFrame([(f, buckets, words, n) for f in sorted(files)], FILES_SCHEMA)
+        listed = self.spark.createDataFrame([(f, buckets, words, n, per_part) for f in sorted(files)], FILES_SCHEMA)
         listed.coalesce(1).write.parquet(f"{name}/files")
-        return Segment(name, buckets, words, n, frozenset(files))
+        return Segment(name, buckets, words, n, per_part, frozenset(files))
 
     def existing(self, incoming: DataFrame) -> DataFrame | None:
         """The stored keys among which all of ``incoming`` that are stored can be found; None where no bucket can hold any."""
@@ -174,11 +180,13 @@ class KeyIndex:
         for x in self.refresh():
             filters = self.spark.read.schema(FILTER_SCHEMA).parquet(f"{x.folder}/filters")
             asked = come.withColumn("_bucket", F.pmod(F.col("_h"), F.lit(x.buckets))).join(filters, "_bucket").where(_may_hold(F.col("_words"), x.words))
-            wanted = [f"{x.folder}/keys/_bucket={r[0]}" for r in asked.select("_bucket").distinct().collect()]  # a row for each bucket, not each key
+            named = [r[0] for r in asked.select("_bucket").distinct().collect()]  # a row for each bucket, not each key
+            wanted = sorted({f"{x.folder}/keys/_part={b // x.per_part}" for b in named})
             self.bytes_all += _bytes(self.spark, f"{x.folder}/keys")
             self.bytes_read += sum(_bytes(self.spark, p) for p in wanted)
             if wanted:
-                found.append(self.spark.read.parquet(*wanted).select(*self.keys))
+                held = self.spark.read.parquet(*wanted)
+                found.append((held.where(F.col("_bucket").isin(named)) if len(named) <= MAX_NAMED else held).select(*self.keys))
         return functools.reduce(DataFrame.unionByName, found) if found else None
 
 

@@ -352,6 +352,19 @@ def test_an_append_reads_few_keys(spark, tmp_path):
     assert spark.read.parquet(path).count() == 40_400
 
 
+def test_small_buckets_share_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(40_000).select(F.concat(F.lit("key-"), F.col("id") * 7919).alias("k"), F.col("id").alias("v"))
+    df.write.parquet(path)
+    index = keys.KeyIndex(spark, path, ("k",), bucket_keys=50)
+    some = df.where("v % 1000 = 3")
+    assert some.join(index.existing(some), "k", "left_anti").isEmpty()
+    assert 0 < index.bytes_read < index.bytes_all
+    assert len(list(tmp_path.glob("t/_keys/*/*/keys/**/*.parquet"))) <= 64  # of 1,024 buckets
+    every = index.existing(df)
+    assert df.join(every, "k", "left_anti").isEmpty()
+
+
 def test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch):
     """Tables without an index, appends that the index has not seen, files that have gone, and many segments."""
     path, rows = str(tmp_path / "t"), [("a", 1), ("b", 2), (None, 3)]
