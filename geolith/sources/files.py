@@ -83,18 +83,21 @@ def _observed(seen: Observation) -> int:
 
 #: Bytes of a table from which on an append keeps an index of its keys.
 INDEX_FROM = 64 << 20
+#: An append of more than this share of the table's rows reads all stored keys once: to index and to ask would shuffle more than that.
+INDEX_SHARE = 0.1
 
 
 def append_new(incoming: DataFrame, path: str, *keys: str, bucket_keys: int = key_index.BUCKET_KEYS, index_from: int = INDEX_FROM) -> dict[str, int]:
     """Appends what is new by key, so that a second run appends nothing: ``rows_in, appended, skipped``.
 
     Of a table of at least ``index_from`` bytes, only those stored keys are read that its index (see ``keys``) cannot rule out, and
-    ``incoming`` is read twice: for its keys, and to be stored. Of a smaller table all keys are read.
+    ``incoming`` is read three times: to be counted, for its keys, and to be stored. Of a smaller table all keys are read, and also for an
+    append of more than INDEX_SHARE of the table's rows; what such an append stores is indexed by the next one that is small.
     """
     spark = incoming.sparkSession
     read, put = Observation(), Observation()
     size = sum(key_index.data_files(spark, path).values())
-    if size >= max(1, index_from):
+    if size >= max(1, index_from) and incoming.count() <= INDEX_SHARE * spark.read.parquet(path).count():
         existing = key_index.KeyIndex(spark, path, keys, bucket_keys).existing(incoming)
     else:
         existing = spark.read.parquet(path).select(*keys) if size else None

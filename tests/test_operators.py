@@ -365,6 +365,15 @@ def test_small_buckets_share_files(spark, tmp_path):
     assert df.join(every, "k", "left_anti").isEmpty()
 
 
+def test_a_large_append_makes_no_index(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(2000).select(F.col("id").alias("k"))
+    told = [files.append_new(df.where(w), path, "k", index_from=1)["appended"] for w in ("k < 1000", "k < 1900", "k % 2 = 1")]
+    assert told == [1000, 900, 50] and not (tmp_path / "t" / "_keys").exists()
+    assert files.append_new(df.where("k > 1990"), path, "k", index_from=1) == {"rows_in": 9, "appended": 4, "skipped": 5}
+    assert (tmp_path / "t" / "_keys").exists() and spark.read.parquet(path).distinct().count() == spark.read.parquet(path).count() == 1954
+
+
 def test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch):
     """Tables without an index, appends that the index has not seen, files that have gone, and many segments."""
     path, rows = str(tmp_path / "t"), [("a", 1), ("b", 2), (None, 3)]
@@ -385,6 +394,13 @@ def test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch):
     assert files.append_new(spark.read.parquet(path), path, "k")["appended"] == 0
 
 
+def test_the_data_files_are_the_truth_for_an_index(spark, tmp_path, monkeypatch):
+    """The same, where each append goes by the index."""
+    monkeypatch.setattr(files, "INDEX_SHARE", 1000.0)
+    test_the_data_files_are_the_truth(spark, tmp_path, monkeypatch)
+    assert (tmp_path / "t" / "_keys").exists()
+
+
 def test_an_empty_folder_is_an_empty_table(spark, tmp_path):
     path = tmp_path / "t"
     path.mkdir()
