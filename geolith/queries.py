@@ -164,7 +164,7 @@ def src2_csv_splits(spark, sf_dir):
     path = files.shared_dir(spark, "csv")
     raw.write.option("emptyValue", "").csv(path, header=True)
     back = files.read_csv(spark, path, raw.columns, split_bytes=100_000).withColumn("pos", F.col("pos").cast("long"))
-    return clean.tagged(back).groupBy("drop_reason").agg(F.count("*").alias("count"), F.sum("pos").alias("positions"))
+    return clean.tagged(files.gathered(back)).groupBy("drop_reason").agg(F.count("*").alias("count"), F.sum("pos").alias("positions"))
 
 
 @query("with t as (select event_type, count(*) as rows, cast(sum(event_id) as bigint) as ids from events group by event_type) select * from t")

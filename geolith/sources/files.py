@@ -46,6 +46,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, s
     return raw.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in wanted])
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows of many small splits in partitions of usual size, so that what is stored from them is not a file for each split."""
+    return df.hint("rebalance")
+
+
 def file_position() -> Column:
     """Orders rows as their files do: file, split, row."""
     return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())

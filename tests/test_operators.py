@@ -238,6 +238,15 @@ def test_split_bytes_hold_for_one_read(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
+def test_small_splits_are_not_as_many_files(spark, tmp_path):
+    spark.range(20_000).selectExpr("concat('E', id) as ID", "concat('City', id % 7) as City").write.csv(str(tmp_path / "csv"), header=True)
+    fine = files.read_csv(spark, str(tmp_path / "csv"), ["ID", "City"], split_bytes=5_000)
+    files.gathered(fine).write.parquet(str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert fine.rdd.getNumPartitions() > 40 and len(stored.inputFiles()) <= 8
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fine.collect()))
+
+
 def test_geometry_bodies(spark):
     ring = "[[0,0],[1,0],[1,1],[0,0]]"
     bodies = [f'{{"type":"Polygon","coordinates":[{ring}]}}', f'{{"geometry":{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}}}', '{"bbox":[0,0,1,1]}', '{"bbox":[1,0,0,1]}', '{"type":"Point","coordinates":[1,2]}', "no json"]
