@@ -11,6 +11,7 @@ from geolith.functions import geo
 from geolith.operators import aggregate, clean, enrich, filters, partials, reading, sample, spatial, tables
 from geolith.plans import jobs
 from geolith.sources import blocks, files, keys, layout
+from geolith.streaming import ingest
 
 DIRTY = [
     ("A-1", "2", "2021-02-08 05:46:00", "34.0522", "-118.2437", "Los Angeles", "CA"),
@@ -598,3 +599,13 @@ def test_clustered_files_are_pruned(spark, tmp_path):
     assert layout.read_near(spark, path, -89.9, 0.0, 1.0).count() >= 0
     layout.write_clustered(df.limit(0), str(tmp_path / "e"))
     assert layout.read_near(spark, str(tmp_path / "e"), 0, 0, 10.0).count() == 0
+
+
+def test_a_stream_parses_each_text_once(spark):
+    raw = spark.createDataFrame([("A", "2", "2021-02-08 05:46:00", " 34.05", "-118.25", "LA"), ("B", "9", "2021-02-08 05:46:00", "34.05", "-118.25", "LA"), ("C", "2", "no time", "34.05", "-118.25", "LA"), ("D", None, None, None, "no-numero", None)], "accident_id string, severity string, start_time string, lat string, lon string, city string")
+    got = ingest.clean_stream(raw)
+    want = enrich.enriched(clean.kept(clean.tagged(raw.withColumn("pos", F.monotonically_increasing_id())))).drop("pos")
+    assert got.count() == 1 and got.select(*want.columns).collect() == want.collect()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for c in ("lat", "lon", "severity", "start_time"):
+        assert 1 <= plan.count(f"try_cast(trim({c}#") <= 2  # a number is asked for twice, to leave out NaN
