@@ -19,6 +19,8 @@ from geolith.operators import aggregate
 LG_K = 12
 #: Keys of each table's states.
 KEYS = {"grid": ["i", "j"], "geohash": ["geohash"], "temporal": ["dimension", "bucket"], "state": ["state"]}
+#: What events are grouped by first, where those are other keys.
+BASE = {"geohash": ["x", "y"], "temporal": ["hour", "dow", "month", "year"]}
 
 
 def _sketch(city: Column) -> Column:
@@ -52,18 +54,19 @@ def _keyed(events: DataFrame, table: str, cell: float, precision: int) -> DataFr
         return events.where(geo.valid_point(lat, lon)).withColumns({"x": x, "y": y})
     if table == "state":
         return events.where("state <> ''")
-    by = {"hour": F.hour(t), "dow": F.weekday(t), "month": F.month(t), "year": F.year(t)}
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("bucket")) for k, v in by.items()]))
-    return events.where(t.isNotNull()).select("*", parts.alias("_p")).select("*", "_p.*").drop("_p")
+    return events.where(t.isNotNull()).withColumns({"hour": F.hour(t), "dow": F.weekday(t), "month": F.month(t), "year": F.year(t)})
 
 
 def partial(events: DataFrame, table: str, cell: float = 0.1, precision: int = 5, also: dict[str, Column] | None = None) -> DataFrame:
     """The states of some events by the keys of ``table``, and by what ``also`` names."""
     if table not in KEYS:
         raise ValueError(f"there are {', '.join(KEYS)}")
-    by = {k: F.col(k) for k in (("x", "y") if table == "geohash" else KEYS[table])} | (also or {})
+    by = {k: F.col(k) for k in BASE.get(table, KEYS[table])} | (also or {})
     own = {f"key_{k}": k for k in by}  # a key may be called like a column that is summed up
     out = _keyed(events, table, cell, precision).groupBy(*[v.alias(f"key_{k}") for k, v in by.items()]).agg(*_states()).withColumnsRenamed(own)
+    if table == "temporal":  # each event is counted in one hour of a weekday of a month, and only those states go to all their buckets
+        parts = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("bucket")) for k in BASE[table]]))
+        return merged(out.select("*", parts.alias("_p")).select("*", "_p.*"), *KEYS[table], *(also or {}))
     # cells are grouped by their numbers, and only result rows get their text
     return out.withColumn("geohash", geo.geohash_text(F.col("x"), F.col("y"), precision)).drop("x", "y") if table == "geohash" else out
 
@@ -121,10 +124,11 @@ class Increments:
         self.folder, self.cell, self.precision = folder.rstrip("/"), cell, precision
 
     def add(self, events: DataFrame, name: str) -> None:
+        """A month's states of a table meet before they are written: a file for each month, not for each month and task."""
         month = F.coalesce(F.date_format("start_time", "yyyy-MM"), F.lit("none"))
         for table in KEYS:
             states = partial(events, table, self.cell, self.precision, {"event_month": month})
-            states.write.mode("overwrite").partitionBy("event_month").parquet(f"{self.folder}/{table}/increment={name}")
+            states.hint("rebalance", "event_month").write.mode("overwrite").partitionBy("event_month").parquet(f"{self.folder}/{table}/increment={name}")
 
     def tables(self, spark: SparkSession, top_n: int = 200, months: list[str] | None = None) -> dict[str, DataFrame]:
         """The five tables of ``jobs.aggregates``, of all months or some."""

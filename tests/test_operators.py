@@ -609,3 +609,18 @@ def test_a_stream_parses_each_text_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     for c in ("lat", "lon", "severity", "start_time"):
         assert 1 <= plan.count(f"try_cast(trim({c}#") <= 2  # a number is asked for twice, to leave out NaN
+
+
+def test_increments_are_a_file_for_each_month(spark, tmp_path):
+    """And an event is counted once for its four buckets of time."""
+    df = spark.range(0, 3000, 1, 16).select(F.concat(F.lit("E"), "id").alias("accident_id"), (33 + F.col("id") % 37 / 10).alias("lat"), (-118 - F.col("id") % 23 / 10).alias("lon"), (F.col("id") % 4 + 1).cast("int").alias("severity"), F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id % 300 as int), cast(id % 24 as int))").alias("start_time"), F.concat(F.lit("City"), F.col("id") % 19).alias("city"), F.lit(1.0).alias("distance_mi"), F.lit("S1").alias("state"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as there are with more rows
+    try:
+        partials.Increments(str(tmp_path)).add(df, "one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table in partials.KEYS:
+        months = [p for p in (tmp_path / table / "increment=one").iterdir() if p.is_dir()]
+        assert len(months) == 10 and all(len(list(p.glob("*.parquet"))) == 1 for p in months)
+    lines = partials.partial(df, "temporal")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert next(i for i, x in enumerate(lines) if "Generate" in x) < max(i for i, x in enumerate(lines) if "Aggregate" in x)  # below it, events are added up
