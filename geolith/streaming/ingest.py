@@ -22,9 +22,16 @@ def clean_stream(raw: DataFrame) -> DataFrame:
 
 
 def store_stream(events: DataFrame, path: str, checkpoint: str, key: str = "accident_id") -> StreamingQuery:
-    """Appends every micro-batch by key; a batch that runs again after a failure adds nothing twice."""
+    """Appends every micro-batch by key; a batch that runs again after a failure adds nothing twice.
+
+    The append reads its rows up to three times, so a batch is kept while it lasts and cleaned once.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
-        files.append_new(batch, path, key)
+        batch.persist()
+        try:
+            files.append_new(batch, path, key)
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -624,3 +624,17 @@ def test_increments_are_a_file_for_each_month(spark, tmp_path):
         assert len(months) == 10 and all(len(list(p.glob("*.parquet"))) == 1 for p in months)
     lines = partials.partial(df, "temporal")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert next(i for i, x in enumerate(lines) if "Generate" in x) < max(i for i, x in enumerate(lines) if "Aggregate" in x)  # below it, events are added up
+
+
+def test_a_batch_is_kept_while_it_is_appended(spark, tmp_path, monkeypatch):
+    spark.range(40).select(F.col("id").cast("string").alias("accident_id")).repartition(4).write.parquet(str(tmp_path / "in"))
+    append, kept = files.append_new, []
+
+    def appended(batch, *args):
+        kept.append(batch.storageLevel.useMemory)
+        return append(batch, *args)
+
+    monkeypatch.setattr(files, "append_new", appended)
+    rows = spark.readStream.schema("accident_id string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    ingest.store_stream(rows, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    assert kept == [True, True] and spark.read.parquet(str(tmp_path / "out")).distinct().count() == 40
